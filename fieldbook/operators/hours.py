@@ -48,10 +48,9 @@ def apply_corpus_rule(ops: DataFrame, rule: npt.CorpusRule, wellbore: str = "wel
         .when(~flagged, "productive")
         .otherwise(npt.category(c("operation_text"), c("op_code"), c("activity_code"))).alias("npt_category"),
     )
-    # A one-element generator: later filters on flag or category stay above it, so
-    # the pattern ladder runs once per row instead of once per use.
-    kept = [x for x in ops.columns if x not in ("is_npt", "npt_category", "npt_cat_label")]
-    return out.select(*kept, F.inline(F.array(result))).withColumn(
+    kept = out.drop("__f", "npt_category", "npt_cat_label").columns
+    both = ordered.once(out, __r=result)
+    return both.select(*[x for x in kept if x != "is_npt"], "__r.is_npt", "__r.npt_category").withColumn(
         "npt_cat_label", npt.category_label(c("npt_category"))
     )
 

@@ -17,8 +17,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _cols(names: Sequence[str]) -> list[Column]:
-    return [F.col(n) for n in names]
+def once(df: DataFrame, **exprs: Column) -> DataFrame:
+    """Add columns that are evaluated once per row.
+
+    A projection is copied into every filter and expression above it. Rows of a
+    one-element generator are not, so costly expressions (pattern ladders,
+    parsers) keep one evaluation however often their result is used."""
+    kept = [c for c in df.columns if c not in exprs]
+    return df.select(*kept, F.inline(F.array(F.struct(*[e.alias(n) for n, e in exprs.items()]))))
 
 
 def _join_bucket(df: DataFrame, side: DataFrame, on: Sequence[str]) -> DataFrame:

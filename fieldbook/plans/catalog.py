@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldbook.plans import hours_queries  # noqa: F401
+from fieldbook.plans import audit_queries, hours_queries  # noqa: F401
 from fieldbook.plans.registry import REGISTRY, Query
 
 

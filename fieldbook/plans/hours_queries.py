@@ -26,13 +26,10 @@ def phase_dim(spark):
 PH = "phd AS (SELECT 'P' || i AS phase, i::INTEGER AS ord, 'Phase ' || i AS label FROM range(1, 7) t(i))"
 
 
-def r6(df, *cols):
+def auto6(df, places=DEC):
     """Round double columns for comparison."""
-    return df.select(*[F.round(c, DEC).alias(c) if c in cols else F.col(c) for c in df.columns])
-
-
-def auto6(df):
-    return r6(df, *[f.name for f in df.schema if f.dataType.simpleString() == "double"])
+    doubles = {f.name for f in df.schema if f.dataType.simpleString() == "double"}
+    return df.select(*[F.round(c, places).alias(c) if c in doubles else F.col(c) for c in df.columns])
 
 
 def R(*names):
@@ -233,13 +230,13 @@ def _(s, d):
 
 @query("top_causes", "N5 E17", f"""WITH {o.ENR}, g AS (SELECT well_id, npt_cat_label, sum(duration_hr) AS hours FROM enr WHERE is_npt GROUP BY 1, 2)
 SELECT well_id, npt_cat_label, round(hours, 6) AS hours, (row_number() OVER w)::INTEGER AS rank, round(100 * hours / sum(hours) OVER (PARTITION BY well_id), 6) AS share_pct FROM g
-QUALIFY row_number() OVER w <= 5 WINDOW w AS (PARTITION BY well_id ORDER BY hours DESC, npt_cat_label)""")
+WINDOW w AS (PARTITION BY well_id ORDER BY hours DESC, npt_cat_label) QUALIFY row_number() OVER w <= 5""")
 def _(s, d):
     return auto6(hours.top_causes(enr(s, d)))
 
 
 @query("major_npt_days", "N6", f"""WITH {o.ENR}, g AS (SELECT well_id, report_date, phase, npt_cat_label, sum(duration_hr) AS hours FROM enr WHERE is_npt GROUP BY 1, 2, 3, 4)
-SELECT well_id, report_date, phase, npt_cat_label, round(hours, 6) AS hours, (row_number() OVER w)::INTEGER AS rank FROM g QUALIFY row_number() OVER w <= 8 WINDOW w AS (PARTITION BY well_id ORDER BY hours DESC, report_date, npt_cat_label)""")
+SELECT well_id, report_date, phase, npt_cat_label, round(hours, 6) AS hours, (row_number() OVER w)::INTEGER AS rank FROM g WINDOW w AS (PARTITION BY well_id ORDER BY hours DESC, report_date, npt_cat_label) QUALIFY row_number() OVER w <= 8""")
 def _(s, d):
     return auto6(hours.major_days(enr(s, d)))
 
@@ -293,7 +290,7 @@ def _(s, d):
 
 @query("time_sinks", "N14 E17", f"""WITH {o.ENR} SELECT well_id, seq, report_date, phase, activity_code, duration_hr, npt_cat_label, (row_number() OVER w)::INTEGER AS rank,
  round(100 * duration_hr / sum(duration_hr) OVER (PARTITION BY well_id), 6) AS share_pct, row_number() OVER w <= 3 AS recoverable FROM enr WHERE is_npt
- QUALIFY row_number() OVER w <= 10 WINDOW w AS (PARTITION BY well_id ORDER BY duration_hr DESC, seq)""")
+ WINDOW w AS (PARTITION BY well_id ORDER BY duration_hr DESC, seq) QUALIFY row_number() OVER w <= 10""")
 def _(s, d):
     return auto6(hours.time_sinks(enr(s, d)))
 
@@ -466,8 +463,8 @@ def _(s, d):
 
 
 for _key in ("wind_class", "sea_class"):
-    query(f"npt_by_{_key}", "I20 C40", f"WITH {_MER} SELECT {_key}, count(npt_pct) AS n_days, round(avg(npt_pct), 6) AS avg_npt_pct, round(avg(npt_h), 6) AS avg_npt_h FROM mer GROUP BY 1")(
-        lambda s, d, k=_key: auto6(weather.by_class(merged(s, d), k)))
+    query(f"npt_by_{_key}", "I20 C40", f"WITH {_MER} SELECT {_key}, count(npt_pct) AS n_days, round(avg(npt_pct), 8) AS avg_npt_pct, round(avg(npt_h), 8) AS avg_npt_h FROM mer GROUP BY 1")(
+        lambda s, d, k=_key: auto6(weather.by_class(merged(s, d), k), 8))
 
 
 @query("weather_correlation", "E6 I20", f"WITH {_MER} SELECT round(corr(wind_speed_kn, npt_pct), 6) AS wind_corr, round(corr(wave_height_ft, npt_pct), 6) AS wave_corr FROM mer")
