@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 # Characters cleaned from page text.
-SOFT_HYPHEN = "­"
-NONCHAR = "￾"
-ZERO_WIDTH = "​‌‍﻿"
-LIGATURES = [("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl")]
+SOFT_HYPHEN = "\u00ad"
+NONCHAR = "\ufffe"
+ZERO_WIDTH = "\u200b\u200c\u200d\ufeff"
+LIGATURES = [("\ufb00", "ff"), ("\ufb01", "fi"), ("\ufb02", "fl"), ("\ufb03", "ffi"), ("\ufb04", "ffl")]
 BULLETS = "•▶"
 
 # Markers of a daily report and of its sections, in order.
