@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldbook.plans import audit_queries, hours_queries, retrieval_queries, text_queries  # noqa: F401
+from fieldbook.plans import audit_queries, graph_queries, hours_queries, retrieval_queries, text_queries  # noqa: F401
 from fieldbook.plans.registry import REGISTRY, Query
 
 

@@ -127,7 +127,7 @@ FROM documents"""
 VIEWS["trows"] = """
 SELECT l_orderkey AS doc_id, CAST(1 + l_orderkey % 4 AS INT) AS page, CAST(0 AS INT) AS table_no, CAST(l_linenumber AS INT) AS row_no,
   'Item ' || CAST(l_partkey AS STRING) || ' ' || l_returnflag AS c0,
-  CASE WHEN l_linenumber % 5 = 0 THEN '(' || CAST(CAST(l_extendedprice AS BIGINT) AS STRING) || ')' ELSE CAST(CAST(l_extendedprice AS BIGINT) AS STRING) END AS c1,
+  CASE WHEN l_linenumber % 5 = 0 THEN '(' || CAST(CAST(floor(l_extendedprice) AS BIGINT) AS STRING) || ')' ELSE CAST(CAST(floor(l_extendedprice) AS BIGINT) AS STRING) END AS c1,
   CAST(CAST(round(l_discount * 100) AS BIGINT) AS STRING) || '.5%' AS c2,
   CASE WHEN l_linenumber % 4 = 0 THEN 'n/a' ELSE CAST(CAST(l_quantity AS BIGINT) AS STRING) || ',' || lpad(CAST(l_suppkey % 1000 AS STRING), 3, '0') END AS c3
 FROM lineitem"""
