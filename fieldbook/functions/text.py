@@ -270,7 +270,7 @@ def digit_ratio(c: Column) -> Column:
     return F.when(F.length(c) > 0, F.length(F.regexp_replace(c, r"[^\d]", "")) / F.length(c)).otherwise(0.0)
 
 
-def many_numbers(c: Column, ratio: float = 0.25) -> Column:
+def many_numbers(c: Column, ratio: float = 0.10) -> Column:
     """Digits over non-blank characters above ``ratio``."""
     solid = F.length(F.regexp_replace(c, WS, ""))
     return F.length(F.regexp_replace(c, r"[^\d]", "")) / F.greatest(solid, F.lit(1)) > ratio

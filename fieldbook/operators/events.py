@@ -181,11 +181,12 @@ def extract_events(ops: DataFrame) -> DataFrame:
 
 
 def assemble(events: DataFrame, header_depth: DataFrame) -> DataFrame:
-    """Header depth as fallback, then one event per (date, type, sub-type,
-    20 ft bucket)."""
+    """Header depth as fallback, then the first event per (date, phase,
+    type, sub-type, 20 ft bucket, force); a missing depth is its own bucket."""
     j = events.join(header_depth, "report_date", "left").withColumn("depth_ft", F.coalesce("depth_ft", "header_depth_ft"))
-    b = j.withColumn("bucket", F.bround(F.col("depth_ft") / 20.0, 0)).withColumn("__o", F.struct("seq", "force_klbs", "loss_rate_bbl_hr", "ecd_ppge"))
-    return ordered.first_by(b, ["report_date", "event_type", "sub_type", "bucket"], ["__o"]).drop("__o")
+    b = j.withColumn("bucket", F.bround(F.coalesce("depth_ft", F.lit(-1.0)) / 20.0, 0))
+    keys = ["report_date", "phase", "event_type", "sub_type", "bucket", "force_klbs"]
+    return ordered.first_by(b, keys, ["seq", "depth_ft", "loss_rate_bbl_hr", "ecd_ppge"])
 
 
 def summary(events: DataFrame) -> DataFrame:

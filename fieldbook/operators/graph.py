@@ -148,7 +148,7 @@ def transition_windows(rows: DataFrame, phases: DataFrame, days: int = 14) -> Da
     return pre.unionByName(post)
 
 
-def carryover(windows: DataFrame, min_freq: int, signal: float, escalation: float) -> DataFrame:
+def carryover(windows: DataFrame, min_freq: int = 3, signal: float = 0.40, escalation: float = 1.5) -> DataFrame:
     """Terms on both sides of a transition with their change.
 
     Both sides are one grouped pass; a term counts when it occurs on each side."""

@@ -20,29 +20,34 @@ def strip_margins(lines: DataFrame, frac: float = 0.08, rotated_frac: float = 0.
 
 
 def repeated_lines(lines: DataFrame, share: float = 0.4, depth: int = 5) -> DataFrame:
-    """Lines among the first or last ``depth`` of at least ``share`` of a
-    document's pages; section anchors are exempt.
+    """Lines among the first (``top``) or last (``bottom``) ``depth`` non-blank
+    lines of a page on at least ``int(share * pages)`` pages; anchors are exempt.
 
     The ends of a page come from two group limits, the rest is counting."""
-    norm = F.lower(text.collapse(F.col("text")))
-    l = lines.select("doc_id", "page", "line_no", norm.alias("norm"), text.is_anchor_line(F.col("text")).alias("anchor"))
+    l = lines.select("doc_id", "page", "line_no", text.collapse(F.col("text")).alias("norm")).filter("norm <> ''")
     k = ["doc_id", "page"]
-    ends = ordered.top_n_per(l, k, [F.asc("line_no")], depth).unionByName(ordered.top_n_per(l, k, [F.desc("line_no")], depth))
-    seen = ends.filter(~F.col("anchor") & (F.col("norm") != "")).select("doc_id", "norm", "page").distinct().groupBy("doc_id", "norm").agg(
-        F.count(F.lit(1)).alias("n_pages"))
+    top = ordered.top_n_per(l, k, [F.asc("line_no")], depth).withColumn("place", F.lit("top"))
+    bottom = ordered.top_n_per(l, k, [F.desc("line_no")], depth).withColumn("place", F.lit("bottom"))
+    seen = top.unionByName(bottom).groupBy("doc_id", "place", "norm").agg(F.count(F.lit(1)).alias("n_lines"))
     total = lines.select("doc_id", "page").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("__p"))
-    need = F.greatest(F.lit(2), F.floor(share * F.col("__p")))
-    return seen.join(total, "doc_id").filter(F.col("n_pages") >= need).drop("__p")
+    hit = seen.join(total, "doc_id").filter(F.col("n_lines") >= F.floor(share * F.col("__p"))).drop("__p")
+    return hit.filter(~text.is_anchor_line(F.col("norm")))
 
 
-def drop_repeated(lines: DataFrame, repeated: DataFrame) -> DataFrame:
-    """Lines without repeated headers and footers."""
-    return lines.withColumn("norm", F.lower(text.collapse(F.col("text")))).join(repeated.select("doc_id", "norm"), ["doc_id", "norm"], "left_anti").drop("norm")
+def drop_repeated(lines: DataFrame, repeated: DataFrame, depth: int = 5) -> DataFrame:
+    """Lines without repeated headers at the top and footers at the bottom."""
+    l = lines.withColumn("norm", text.collapse(F.col("text"))).filter("norm <> ''")
+    page = Window.partitionBy("doc_id", "page")
+    l = l.withColumn("__i", F.row_number().over(page.orderBy("line_no"))).withColumn("__j", F.row_number().over(page.orderBy(F.desc("line_no"))))
+    r = repeated.groupBy("doc_id", "norm").agg(F.max(F.col("place") == "top").alias("__t"), F.max(F.col("place") == "bottom").alias("__b"))
+    gone = (F.col("__t") & (F.col("__i") <= depth)) | (F.col("__b") & (F.col("__j") <= depth))
+    return l.join(r, ["doc_id", "norm"], "left").filter(~F.coalesce(gone, F.lit(False))).drop("norm", "__i", "__j", "__t", "__b")
 
 
-def needs_ocr(clean_text: Column, min_chars: int = 40) -> Column:
-    """Too little text on the page."""
-    return F.length(text.collapse(F.coalesce(clean_text, F.lit("")))) < min_chars
+def needs_ocr(clean_text: Column, min_chars: int = 80) -> Column:
+    """Page text that is too short, holds replacement marks or few letters."""
+    t = text.collapse(F.coalesce(clean_text, F.lit("")))
+    return (F.length(t) < min_chars) | t.contains("\ufffd") | (text.alpha_ratio(t) < 0.15)
 
 
 def sections(labels: DataFrame, width: int = 256) -> DataFrame:

@@ -54,10 +54,10 @@ _HD = "hd AS (SELECT o_orderdate::DATE AS report_date, CAST(max(o_custkey) AS DO
 
 
 @query("event_assembly", "I8 D5 E18 S3", f"""WITH {EVT}, {_HD}, j AS (SELECT evt.* EXCLUDE (depth_ft), coalesce(depth_ft, header_depth_ft) AS depth_ft FROM evt LEFT JOIN hd USING (report_date))
-SELECT report_date, event_type, sub_type, round_even(depth_ft / 20, 0) AS bucket, min(seq) AS seq FROM j GROUP BY 1, 2, 3, 4""")
+SELECT report_date, phase, event_type, sub_type, round_even(coalesce(depth_ft, -1) / 20, 0) AS bucket, min(seq) AS seq FROM j GROUP BY 1, 2, 3, 4, 5""")
 def _(s, d):
     hd = s.read.parquet(f"{d}/orders.parquet").groupBy(F.to_date("o_orderdate").alias("report_date")).agg((F.max("o_custkey") * 10.0).alias("header_depth_ft"))
-    return ev.assemble(evs(s, d).filter("event_type <> 'restriction'"), hd).select("report_date", "event_type", "sub_type", "bucket", "seq")
+    return ev.assemble(evs(s, d).filter("event_type <> 'restriction'"), hd).select("report_date", "phase", "event_type", "sub_type", "bucket", "seq")
 
 
 @query("risk_flags", "N5", f"WITH {EVT} SELECT NULL::DOUBLE AS max_overpull, max(ecd_ppge) AS max_ecd, count(*) FILTER (severity = 'total') AS n_total_losses, count(*) FILTER (sub_type = 'gas_influx') AS n_gas, false AS flag_overpull, coalesce(max(ecd_ppge) > 14.5, false) AS flag_ecd, count(*) FILTER (severity = 'total') > 0 AS flag_losses, count(*) FILTER (sub_type = 'gas_influx') > 0 AS flag_gas FROM evt")

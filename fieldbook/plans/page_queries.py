@@ -38,7 +38,7 @@ SELECT doc_id, page, coalesce(t, 'Unknown') AS section_title FROM j QUALIFY row_
             "doc_id", F.concat("section_title", F.col("run").cast("string")).alias("section_title"), "page_start", (F.col("page_end") + 2).alias("page_end")), latest, 4))
 
 
-@query("page_needs_ocr", "J4", "WITH {docpages} SELECT rec_id, length(trim(regexp_replace(clean_text, '[\\s\\x{a0}]+', ' ', 'g'))) < 400 AS needs_ocr FROM docpages")
+@query("page_needs_ocr", "J4", "WITH {docpages} SELECT rec_id, length(trim(regexp_replace(clean_text, '[\\s\\x{a0}]+', ' ', 'g'))) < 400 OR contains(clean_text, chr(65533)) OR len(regexp_extract_all(clean_text, '\\p{L}')) / greatest(length(trim(regexp_replace(clean_text, '[\\s\\x{a0}]+', ' ', 'g'))), 1) < 0.15 AS needs_ocr FROM docpages")
 def _(s, d):
     return view(s, d, "docpages").select("rec_id", pg.needs_ocr(F.col("clean_text"), 400).alias("needs_ocr"))
 

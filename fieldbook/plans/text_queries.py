@@ -36,7 +36,7 @@ _doc("numeric_density", "C30", lambda: text.numeric_density(T()), f"round(CASE W
 _doc("rerank_tokens", "C28", lambda: F.array_join(text.rerank_tokens(T()), " "), None)
 _doc("question_entities", "C29", lambda: F.array_join(text.question_entities(T()), " "), None)
 _doc("char_ratios", "C33", lambda: text.digit_ratio(T()), "round(CASE WHEN length(text) > 0 THEN length(regexp_replace(text, '[^\\d]', '', 'g')) / length(text) ELSE 0 END, 6)")
-_doc("many_numbers", "C33", lambda: text.many_numbers(T()), f"length(regexp_replace(text, '[^\\d]', '', 'g')) / greatest(length(regexp_replace(text, '{WS}', '', 'g')), 1) > 0.25")
+_doc("many_numbers", "C33", lambda: text.many_numbers(T()), f"length(regexp_replace(text, '[^\\d]', '', 'g')) / greatest(length(regexp_replace(text, '{WS}', '', 'g')), 1) > 0.10")
 _doc("artifact_counts", "C36", lambda: text.artifacts(T())["zero_width"], "(length(text) - length(translate(text, '\u200b\u200c\u200d\ufeff', '')))::INTEGER")
 _doc("is_daily_report", "B9", lambda: text.is_daily_report(T()), "(contains(lower(text), 'daily well operation')::INT + contains(lower(text), 'drilling original')::INT + contains(lower(text), 'operation summary')::INT) >= 2")
 _doc("asks_aggregate", "B10", lambda: text.asks_aggregate(T()), "regexp_matches(lower(text), 'maximum|minimum|highest|lowest|total|average|how many|most|least|all phases|across all|entire well|cumulative|sum of|count of')")
