@@ -15,11 +15,11 @@ give empty results or no hits.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -193,17 +193,6 @@ def shards(items: DataFrame, id_col: str, text_col: str, most: int = SHARD_BYTES
     return [dealt.where(F.col("shard") == k).drop("shard") for k in range(2 * n)]
 
 
-_BUILT: dict[str, Automaton] = {}
-
-
-def _automaton(key: str, rows: list[tuple[str | None, bytes | None]], window: int) -> Automaton:
-    """The automaton of a shard, built once in a worker."""
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = Automaton([(item, words(text)) for item, text in rows], window)
-    return _BUILT[key]
-
-
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 SPAN_ARROW = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
@@ -228,17 +217,17 @@ def find_spans(docs: DataFrame, items: DataFrame, text_col: str = "text", window
     text_at = docs.columns.index(text_col)
     for k, part in enumerate(shards(items, item_id, item_text, shard_bytes)):
         rows = [(r.item, None if r.text is None else r.text.encode()) for r in part.collect()]
-        out = out.mapInArrow(_pass(rows, window, text_at, at), schema)
+        shared = docs.sparkSession.sparkContext.broadcast(vars(Automaton([(item, words(text)) for item, text in rows], window)))
+        out = out.mapInArrow(_pass(shared, text_at, at), schema)
         if k % PASSES == PASSES - 1:
             out = settle(out, "spans")
     return out, names
 
 
-def _pass(rows: list[tuple[str | None, bytes | None]], window: int, text_at: int, at: list[int]):
-    key = hashlib.sha256(repr((rows, window)).encode()).hexdigest()
-
+def _pass(shared: Broadcast, text_at: int, at: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = _automaton(key, rows, window)
+        auto = Automaton.__new__(Automaton)
+        vars(auto).update(shared.value)
         for batch in batches:
             n_words, spans, items = [], [], []
             before = zip(batch.column(at[1]).to_pylist(), batch.column(at[2]).to_pylist(), strict=True)

@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldbook.llm import decontam, simhash
+from fieldbook.llm import decontam, langid, mixing, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": simhash.op2_simhash,
     "op3_decontamination": decontam.op3_decontamination,
+    "op7_mixing": mixing.op7_mixing,
+    "op8_sharding": sharding.op8_sharding,
+    "op9_language_id": langid.op9_language_id,
 }
 
 SQL: dict[str, str] = {
     "op3_decontamination": decontam.OP3_SQL,
+    "op7_mixing": mixing.OP7_SQL,
 }
