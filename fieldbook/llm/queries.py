@@ -6,17 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldbook.llm import decontam, langid, mixing, sharding, simhash
+from fieldbook.llm import ann, decontam, htmltext, langid, mixing, sharding, simhash, suffixes, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_repeated_passages": suffixes.op1_repeated_passages,
     "op2_simhash": simhash.op2_simhash,
     "op3_decontamination": decontam.op3_decontamination,
+    "op4_neighbours": ann.op4_neighbours,
+    "op6_url_filter": urlfilter.op6_url_filter,
     "op7_mixing": mixing.op7_mixing,
     "op8_sharding": sharding.op8_sharding,
     "op9_language_id": langid.op9_language_id,
+    "op10_html_text": htmltext.op10_html_text,
 }
 
 SQL: dict[str, str] = {
     "op3_decontamination": decontam.OP3_SQL,
+    "op6_url_filter": urlfilter.OP6_SQL,
     "op7_mixing": mixing.OP7_SQL,
 }
