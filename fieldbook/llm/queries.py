@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldbook.llm import ann, decontam, htmltext, langid, mixing, sharding, simhash, suffixes, urlfilter
+from fieldbook.llm import ann, decontam, htmltext, langid, mixing, sharding, simhash, suffixes, tokencount, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeated_passages": suffixes.op1_repeated_passages,
     "op2_simhash": simhash.op2_simhash,
     "op3_decontamination": decontam.op3_decontamination,
     "op4_neighbours": ann.op4_neighbours,
+    "op5_token_counts": tokencount.op5_token_counts,
     "op6_url_filter": urlfilter.op6_url_filter,
     "op7_mixing": mixing.op7_mixing,
     "op8_sharding": sharding.op8_sharding,
