@@ -147,7 +147,8 @@ FOUND = "row long, start int, end int, later boolean, gram long, at int, right b
 
 
 def _pairs(table: dict[str, list], length: int) -> pa.RecordBatch:
-    """Passages of both sides of each pair of near neighbours; ``later`` is the side that comes second in (row, place)."""
+    """Passages of both sides of each pair of near neighbours and, marked ``later``, once more that of the side which
+    comes second in (row, place)."""
     row, gram, at = (np.array(table[c], np.int64) for c in ("row", "gram", "at"))
     right, left = padded(table["right"], length), padded(table["left"], length)
     out = []
@@ -156,8 +157,12 @@ def _pairs(table: dict[str, list], length: int) -> pa.RecordBatch:
         reach, back = common(*right, i, i + d), common(*left, i, i + d)
         good = reach + back >= length
         i, j, reach, back = i[good], i[good] + d, reach[good], back[good]
-        second = (row[i] > row[j]) | ((row[i] == row[j]) & (at[i] > at[j]))
-        out += [(row[i], at[i] - back, at[i] + reach, second), (row[j], at[j] - back, at[j] + reach, ~second)]
+        out += [(row[k], at[k] - back, at[k] + reach, np.zeros(len(k), bool)) for k in (i, j)]
+        swap = (row[i] > row[j]) | ((row[i] == row[j]) & (at[i] > at[j]))
+        one, two = np.where(swap, j, i), np.where(swap, i, j)
+        # What comes second in a text of repetitions begins where the first ends.
+        start = np.where(row[one] == row[two], np.maximum(at[two] - back, at[one] + reach), at[two] - back)
+        out.append((row[two], start, at[two] + reach, np.ones(len(two), bool)))
     found = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool)]
     # Of the passages of one row and end, the longest is enough.
     order = np.lexsort((found[1], found[3], found[2], found[0]))
@@ -199,7 +204,7 @@ def _neighbours(length: int, borders: bool):
 
 def passages(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """(row, start, end, later): stretches of words, of at least ``length`` each, that occur elsewhere too (row: place in
-    the scan); ``later`` where the other occurrence comes first."""
+    the scan); those that occur before are there once more, with ``later``."""
     part = docs.select(F.monotonically_increasing_id().alias("row"), column(docs, text_col).cast("string").alias("text"))
     sparse = settle(part.mapInArrow(_sparse(length), "row long, gram long, at int"), "minimisers")
     repeated = sparse.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
@@ -239,7 +244,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.monotonically_increasing_id().alias("row"), column(docs, id_col).alias("id"),
         F.coalesce(F.regexp_count(column(docs, text_col).cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("n_words"),
     )
-    out = ids.join(_by_row(passages(docs, text_col, length)), "row", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
+    out = ids.join(_by_row(passages(docs, text_col, length).where("NOT later")), "row", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
     covered = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]).cast("long"))
     return out.select("id", "n_words", covered.alias("n_repeated"), "spans")
 
