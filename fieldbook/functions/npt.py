@@ -14,9 +14,9 @@ from fieldbook import dims
 class CorpusRule:
     """Which rows are classified from their text rather than from a stored flag (H3)."""
 
-    doc_pattern: str = r"(?i)^UtahForge-DDR-FORGE-16A-78-32-"
-    well_pattern: str = r"(?i)\bFORGE-16A-78-32\b"
-    field: str = "utahforge"
+    doc_pattern: str = r"(?i)^NorthSite-DDR-SITE-16A-78-32-"
+    well_pattern: str = r"(?i)\bSITE-16A-78-32\b"
+    field: str = "northsite"
 
     def member(self, doc_id: Column, wellbore: Column, field_name: Column) -> Column:
         return (

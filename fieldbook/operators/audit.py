@@ -15,7 +15,7 @@ NAME_A = (
     r"(?i)^([A-Za-z0-9_-]+)\s+(DDR)\s+(\d+)\s*([A-Za-z][A-Za-z0-9_-]*)\s+(RB|R\d+)\s+(\d{2}\.\d{2}\.\d{4})(\.*)\.pdf$"
 )
 NAME_B = (
-    r"(?i)^Utah_Forge_(FORGE_16A_[\[(]\d+[\])]-\d+)_([A-Za-z]+)-C_(\d{6,16})(?:_(\d{6,8}))?_(\d+)(_\d+)?_(reporttmp|tmp)( 2)?\.pdf$"
+    r"(?i)^North_Site_(SITE_16A_[\[(]\d+[\])]-\d+)_([A-Za-z]+)-C_(\d{6,16})(?:_(\d{6,8}))?_(\d+)(_\d+)?_(reporttmp|tmp)( 2)?\.pdf$"
 )
 RECORD = [
     "source_filename", "parsed", "safe_doc_id", "rig", "report_type", "ddr_number", "asset_or_project",
@@ -27,10 +27,10 @@ RECORD = [
 class CompactNames:
     """Parameters of the compact-date layout: names and first campaign day."""
 
-    rig: str = "UtahForge"
-    asset: str = "FORGE"
+    rig: str = "NorthSite"
+    asset: str = "SITE"
     suffix: str = "16A-78-32"
-    wellbore: str = "FORGE-16A-78-32"
+    wellbore: str = "SITE-16A-78-32"
     first_day: str = "2020-10-21"
 
 

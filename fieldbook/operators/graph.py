@@ -61,7 +61,7 @@ def node_stats(rows: DataFrame) -> DataFrame:
     g = t.groupBy("phase", "term").agg(F.count(F.lit(1)).alias("n_rows"), F.avg(F.col("is_npt").cast("double")).alias("__r"))
     op = F.col("term").startswith("op:")
     return g.select("phase", "term", "n_rows", F.bround("__r", 3).alias("npt_ratio"), F.when(op, "op_code").otherwise("term").alias("node_type"),
-                    F.when(op, F.substring("term", 4, 1000)).otherwise(F.col("term")).alias("label"))
+                    F.when(op, F.expr("substring(term, 4)")).otherwise(F.col("term")).alias("label"))
 
 
 def _ends(edges: DataFrame) -> DataFrame:
@@ -80,10 +80,12 @@ def _keep(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(a, ["phase", "a"], "left_semi").join(b, ["phase", "b"], "left_semi")
 
 
-def prune(edges: DataFrame, min_degree: int = 2, max_nodes: int = 120) -> DataFrame:
-    """One degree cut, then all op codes plus the strongest terms up to
-    ``max_nodes`` per phase; nodes left without edge disappear with their edges."""
+def prune(edges: DataFrame, min_degree: int = 2, max_nodes: int | None = None) -> DataFrame:
+    """One degree cut, then, if ``max_nodes`` is given, all op codes plus the strongest terms up to it per phase;
+    nodes left without edge disappear with their edges."""
     e = _keep(edges, degrees(edges).filter(F.col("degree") >= min_degree))
+    if max_nodes is None:
+        return e
     d = degrees(e).withColumn("op", F.col("term").startswith("op:"))
     n_op = d.filter("op").groupBy("phase").agg(F.count(F.lit(1)).alias("n_op"))
     ranked = ordered.top_n_per(d.filter(~F.col("op")), ["phase"], [F.desc("strength"), F.asc("term")], max_nodes)
@@ -102,27 +104,32 @@ def strongest_edges(edges: DataFrame, n: int = 15) -> DataFrame:
     return ordered.top_n_per(edges, ["phase"], [F.desc("weight"), F.asc("a"), F.asc("b")], n)
 
 
-def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
+def communities(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     """Label propagation over the edge table (in place of a modularity solver).
 
-    Each round a node takes the label with most weight among itself and its
-    neighbours, the smallest on ties. A checkpoint per round cuts the lineage, so a
-    lost executor replays one round; the loop ends when no label moves."""
+    A node wants the label with most weight among its neighbours (the smallest on ties) if that outweighs its own. In
+    each round about half of the nodes, drawn by a hash of term and round, may move, so that two neighbours do not
+    swap for ever. The loop ends when no node wants to move, and fails if that does not happen in ``most_rounds``.
+    A checkpoint per round cuts the lineage, so a lost executor replays one round."""
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
     ends = _ends(edges).checkpoint()
-    own = ends.groupBy("phase", "term").agg(F.max("weight").alias("weight"))
-    links = ends.unionByName(own.select("phase", "term", F.col("term").alias("other"), "weight")).checkpoint()
-    labels = own.select("phase", "term", F.col("term").alias("community"))
-    for _ in range(rounds):
-        votes = links.join(labels.select("phase", F.col("term").alias("other"), "community"), ["phase", "other"]).groupBy(
+    labels = ends.select("phase", "term").distinct().withColumn("community", F.col("term")).checkpoint()
+    for k in range(most_rounds):
+        votes = ends.join(labels.select("phase", F.col("term").alias("other"), "community"), ["phase", "other"]).groupBy(
             "phase", "term", "community").agg(F.sum("weight").alias("w"))
-        new = votes.groupBy("phase", "term").agg(F.min_by("community", F.struct(-F.col("w"), F.col("community"))).alias("community")).checkpoint()
-        moved = new.exceptAll(labels).limit(1).count()
-        labels = new
-        if not moved:
-            break
-    return labels
+        own = labels.withColumnRenamed("community", "own")
+        best = votes.join(own, ["phase", "term"]).groupBy("phase", "term", "own").agg(
+            F.min(F.struct((-F.col("w")).alias("w"), "community")).alias("best"),
+            F.coalesce(F.max(F.when(F.col("community") == F.col("own"), F.col("w"))), F.lit(0)).alias("kept"))
+        wants = -F.col("best.w") > F.col("kept")
+        free = F.pmod(F.xxhash64("phase", "term", F.lit(k)), F.lit(2)) == 0
+        new = best.select("phase", "term", F.when(wants & free, F.col("best.community")).otherwise(F.col("own")).alias("community"), wants.alias("wants")).checkpoint()
+        labels = new.select("phase", "term", "community")
+        if new.filter("wants").isEmpty():
+            return labels
+    raise RuntimeError(f"labels still move after {most_rounds} rounds")
+
 
 
 def term_profile(rows: DataFrame, keys: list[str]) -> DataFrame:

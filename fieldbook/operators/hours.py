@@ -593,15 +593,15 @@ def rolling_cost_median(headers: DataFrame) -> DataFrame:
     )
 
 
-def cost_anomalies(headers: DataFrame, ops: DataFrame, factor: float = 1.6, bulk: float = 3.0, n: int = 40) -> DataFrame:
+def cost_anomalies(headers: DataFrame, ops: DataFrame, factor: float = 1.6, bulk: float = 3.0, n: int | None = None) -> DataFrame:
     """Cost spikes with the day's dominant cause, one per (cause, month); the
-    peak day itself is left out."""
+    peak day itself is left out. ``n`` looks at the ``n`` dearest days of a well only (a chart's limit); by default at all."""
     c = rolling_cost_median(headers)
     stat = c.groupBy("well_id").agg(
         F.avg("daily_cost_num").alias("avg_cost"),
         F.min_by("report_date", F.struct(-F.col("daily_cost_num"), F.col("report_date"))).alias("peak_date"),
     )
-    top = ordered.top_n_per(c, ["well_id"], [F.desc("daily_cost_num"), F.asc("report_date")], n).drop("rank")
+    top = ordered.top_n_per(c, ["well_id"], [F.desc("daily_cost_num"), F.asc("report_date")], n).drop("rank") if n else c
     cause = dominant(ops.filter(_lost()), ["well_id", "report_date"], "npt_category", "cause")
     hrs = hours_by(ops, ["well_id", "report_date"]).select("well_id", "report_date", "total_h", "npt_h")
     spikes = top.join(stat, "well_id").filter(

@@ -65,14 +65,16 @@ def totals(chunks: DataFrame, lengths: DataFrame, scope: Sequence[str] = ()) ->
 def bm25(chunks: DataFrame, questions: DataFrame, scope: Sequence[str] = (), k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """M2/M3: score of every chunk that shares a term with the question.
 
-    Only postings of asked terms survive the term join, and scores are summed with
-    map-side combine. ``scope`` columns recompute N, df and mean length per scope."""
-    post = postings(chunks, scope=scope)
-    lengths = doc_lengths(post, scope=scope)
-    tot = totals(chunks, lengths, scope)
+    A chunk's tokens are cut once; its length rides along with them, only asked terms survive the term join, and
+    document frequencies are counted over those alone. ``scope`` columns recompute N, df and mean length per scope."""
+    t = ordered.once(chunks.select(*scope, "chunk_key", "chunk_text"), __t=text.bm25_tokens(F.col("chunk_text")))
+    size = F.coalesce(F.size("__t"), F.lit(0))
+    tot = t.groupBy(*scope).agg(F.count(F.lit(1)).alias("n_docs"), (F.coalesce(F.sum(size), F.lit(0)) / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("avgdl"))
     q = questions.select("query_id", *scope, F.explode(F.array_distinct(text.bm25_tokens(F.col("question")))).alias("term"))
-    asked = q.join(term_stats(post, tot, scope), [*scope, "term"])
-    hit = post.join(asked, [*scope, "term"]).join(lengths, [*scope, "chunk_key"])
+    asked = q.select(*scope, "term").distinct()
+    hit = t.select(*scope, "chunk_key", size.alias("dl"), F.explode("__t").alias("term")).join(asked, [*scope, "term"]).groupBy(
+        *scope, "chunk_key", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    hit = hit.join(q.join(term_stats(hit, tot, scope), [*scope, "term"]), [*scope, "term"])
     hit = hit.join(tot, list(scope)) if scope else hit.join(tot)
     f = F.col("tf")
     denom = f + k1 * (1.0 - b + b * (F.col("dl") / F.greatest("avgdl", F.lit(1e-9))))
@@ -89,17 +91,23 @@ def l2_normalize(v: Column, eps: float = 1e-12) -> Column:
     return F.transform(v, lambda x: x.cast("double") / n)
 
 
-def dense_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def dense_top(vectors: DataFrame, queries: DataFrame, k: int, blocks: int = 64) -> DataFrame:
     """M4: ``k`` nearest chunks per question by inner product of unit vectors.
 
-    Every (question, chunk) score is needed once; chunks stream past the question
-    batch and the rank limit runs before the shuffle, so at most ``k`` rows per
-    question leave a task. Question batches are small by contract; Spark decides by
-    its size threshold whether they are broadcast."""
-    v = vectors.select("chunk_key", l2_normalize(F.col("embedding")).alias("v"))
-    q = queries.select("query_id", l2_normalize(F.col("qvec")).alias("q"))
-    s = v.join(q).select("query_id", "chunk_key", dot(F.col("v"), F.col("q")).alias("score"))
-    return ordered.top_n_per(s, ["query_id"], [_score_order(), F.asc("chunk_key")], k)
+    An exact scan: linear in the vectors, since the question table does not follow the corpus. Vectors are dealt into
+    ``blocks`` and every question is sent to each of them by an equality on the block; a block keeps its ``k`` best per
+    question before the blocks are merged."""
+    block = F.pmod(F.xxhash64("chunk_key"), F.lit(blocks)).cast("int")
+    v = vectors.select("chunk_key", block.alias("block"), l2_normalize(F.col("embedding")).alias("v"))
+    q = queries.select("query_id", l2_normalize(F.col("qvec")).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    s = v.join(q, "block").select("query_id", "block", "chunk_key", dot(F.col("v"), F.col("q")).alias("score"))
+    best = ordered.top_n_per(s, ["query_id", "block"], [_score_order(), F.asc("chunk_key")], k).drop("rank", "block")
+    return ordered.top_n_per(best, ["query_id"], [_score_order(), F.asc("chunk_key")], k)
+
+
+def fusion_depth(k: int) -> int:
+    """M5: length of the lists that are fused; the result is cut to ``k`` afterwards."""
+    return max(100, 20 * k)
 
 
 def _score_order() -> Column:
@@ -123,17 +131,17 @@ def rrf(dense: DataFrame, lexical: DataFrame, k: int = 20, dense_weight: float =
     )
 
 
-def _minmax(df: DataFrame, col: str, out: str, flat_one: bool) -> DataFrame:
+def _minmax(df: DataFrame, col: str, out: str) -> DataFrame:
     lim = df.groupBy("query_id").agg(F.min(col).alias("__lo"), F.max(col).alias("__hi"))
     rng = F.col("__hi") - F.col("__lo")
-    norm = (F.col(col) - F.col("__lo")) / (F.when(rng == 0, 1.0).otherwise(rng) if flat_one else rng)
+    norm = (F.col(col) - F.col("__lo")) / rng
     return df.join(lim, "query_id").withColumn(out, F.when(rng > 0, norm).otherwise(0.0)).drop("__lo", "__hi")
 
 
 def score_fusion(dense: DataFrame, lexical: DataFrame, dense_weight: float = 0.5, bm25_weight: float = 2.0) -> DataFrame:
     """Weighted sum of per-question min-max scores; a flat list counts 0."""
-    d = _minmax(dense.select("query_id", "chunk_key", "score"), "score", "dn", False).drop("score")
-    b = _minmax(lexical.select("query_id", "chunk_key", "score"), "score", "bn", False).drop("score")
+    d = _minmax(dense.select("query_id", "chunk_key", "score"), "score", "dn").drop("score")
+    b = _minmax(lexical.select("query_id", "chunk_key", "score"), "score", "bn").drop("score")
     z = F.lit(0.0)
     return d.join(b, ["query_id", "chunk_key"], "full_outer").select(
         "query_id", "chunk_key", (dense_weight * F.coalesce("dn", z) + bm25_weight * F.coalesce("bn", z)).alias("score")

@@ -29,8 +29,8 @@ fb0 AS (SELECT source_filename, seq, file_size_bytes, {_gb(2)} AS ph, {_gb(3)} A
 fb1 AS (SELECT *, second = '' AND length(blob) % 2 = 0 AND left(blob, (length(blob) // 2)::INT) = right(blob, (length(blob) // 2)::INT) AS dbl FROM fb0),
 fb2 AS (SELECT *, CASE WHEN dbl THEN left(blob, (length(blob) // 2)::INT) ELSE blob END AS t1, CASE WHEN dbl THEN left(blob, (length(blob) // 2)::INT) WHEN second <> '' THEN second END AS t2 FROM fb1),
 fb3 AS (SELECT *, {_cd('t1', '')} AS d1, {_cd('t2', '')} AS d2 FROM fb2),
-recb AS (SELECT source_filename, true AS parsed, 'UtahForge-DDR-FORGE-16A-78-32-' || upper(left(ph, 1)) || lower(substr(ph, 2)) || '-' || d1 || '-R' || printf('%03d', rno::INT) || '-' || left(sha1(source_filename), 8) AS safe_doc_id,
-  'UtahForge' AS rig, 'DDR' AS report_type, (d1 - DATE '2020-10-21' + 1)::BIGINT AS ddr_number, 'FORGE' AS asset_or_project, '16A-78-32' AS wellbore_suffix, 'FORGE-16A-78-32' AS wellbore, 'FORGE-16A-78-32' AS block_wellbore,
+recb AS (SELECT source_filename, true AS parsed, 'NorthSite-DDR-SITE-16A-78-32-' || upper(left(ph, 1)) || lower(substr(ph, 2)) || '-' || d1 || '-R' || printf('%03d', rno::INT) || '-' || left(sha1(source_filename), 8) AS safe_doc_id,
+  'NorthSite' AS rig, 'DDR' AS report_type, (d1 - DATE '2020-10-21' + 1)::BIGINT AS ddr_number, 'SITE' AS asset_or_project, '16A-78-32' AS wellbore_suffix, 'SITE-16A-78-32' AS wellbore, 'SITE-16A-78-32' AS block_wellbore,
   d1 AS report_date, CASE WHEN second <> '' THEN blob || '_' || second ELSE blob END AS date_text, file_size_bytes,
   array_to_string(list_filter([CASE WHEN d1 <> d2 THEN 'filename_start_end_date_mismatch' END, CASE WHEN cp <> '' THEN 'filename_copy_marker' END, CASE WHEN rev <> '' THEN 'filename_source_revision_marker' END], lambda x: x IS NOT NULL), ';') AS warnings, '' AS parse_error FROM fb3),
 fa0 AS (SELECT source_filename, file_size_bytes, {_ga(1)} AS rig, {_ga(3)} AS no, upper({_ga(4)}) AS asset, upper({_ga(5)}) AS suf, {_ga(6)} AS dt, {_ga(7)} AS dots FROM filenames WHERE regexp_matches(source_filename, {o.q(_A)}, 'i')),
@@ -54,10 +54,10 @@ iss AS (
  SELECT 'error' AS severity, 'unparsed_filename' AS issue_type, parse_error AS message, source_filename, safe_doc_id, ddr_number, coalesce(report_date::VARCHAR, '') AS report_date, wellbore FROM rec WHERE NOT parsed
  UNION ALL SELECT 'warning', w, replace(w, '_', ' '), source_filename, safe_doc_id, ddr_number, coalesce(report_date::VARCHAR, ''), wellbore FROM (SELECT *, unnest(string_split(warnings, ';')) AS w FROM rec WHERE warnings <> '')
  UNION ALL SELECT 'error', 'pdf_file_quality', 'zero_byte_file', source_filename, safe_doc_id, ddr_number, coalesce(report_date::VARCHAR, ''), wellbore FROM rec WHERE file_size_bytes <= 0
- UNION ALL SELECT CASE WHEN rig = 'UtahForge' THEN 'warning' ELSE 'error' END, 'duplicate_ddr_number', 'Duplicate ddr_number=' || ddr_number || ': ' || n || ' files', source_filename, safe_doc_id, ddr_number, report_date::VARCHAR, wellbore
-   FROM (SELECT *, count(*) OVER (PARTITION BY rig = 'UtahForge', ddr_number) AS n FROM rec WHERE parsed) WHERE n > 1
- UNION ALL SELECT CASE WHEN rig = 'UtahForge' THEN 'warning' ELSE 'error' END, 'duplicate_report_date', 'Duplicate report_date=' || report_date || ': ' || n || ' files', source_filename, safe_doc_id, ddr_number, report_date::VARCHAR, wellbore
-   FROM (SELECT *, count(*) OVER (PARTITION BY rig = 'UtahForge', report_date) AS n FROM rec WHERE parsed) WHERE n > 1
+ UNION ALL SELECT CASE WHEN rig = 'NorthSite' THEN 'warning' ELSE 'error' END, 'duplicate_ddr_number', 'Duplicate ddr_number=' || ddr_number || ': ' || n || ' files', source_filename, safe_doc_id, ddr_number, report_date::VARCHAR, wellbore
+   FROM (SELECT *, count(*) OVER (PARTITION BY rig = 'NorthSite', ddr_number) AS n FROM rec WHERE parsed) WHERE n > 1
+ UNION ALL SELECT CASE WHEN rig = 'NorthSite' THEN 'warning' ELSE 'error' END, 'duplicate_report_date', 'Duplicate report_date=' || report_date || ': ' || n || ' files', source_filename, safe_doc_id, ddr_number, report_date::VARCHAR, wellbore
+   FROM (SELECT *, count(*) OVER (PARTITION BY rig = 'NorthSite', report_date) AS n FROM rec WHERE parsed) WHERE n > 1
  UNION ALL SELECT 'error', 'duplicate_safe_doc_id', 'Duplicate safe_doc_id=' || safe_doc_id || ': ' || n || ' files', source_filename, safe_doc_id, ddr_number, report_date::VARCHAR, wellbore
    FROM (SELECT *, count(*) OVER (PARTITION BY safe_doc_id) AS n FROM rec WHERE parsed) WHERE n > 1
  UNION ALL SELECT 'error', 'date_sequence_mismatch', 'DDR ' || ddr_number || ' has date ' || report_date || '; expected ' || expected_date || ' from sequence.', source_filename, safe_doc_id, ddr_number, report_date::VARCHAR, wellbore FROM mm
@@ -112,7 +112,7 @@ def _(s, d):
 
 
 _GAPS = """{events_meta}, rp0 AS (SELECT 'W' || (user_id % 4) AS well_id, user_id AS number, max(d) AS report_date, max_by(event_type, event_id) AS phase, CAST(max(floor(value)) AS BIGINT) AS depth, CAST(count(*) AS VARCHAR) || ' rows' AS summary FROM events_meta GROUP BY 1, 2),
-rp AS (SELECT * FROM rp0 WHERE number % 7 < 5)"""
+rp AS (SELECT * FROM rp0)"""
 
 
 @query("gap_blocks", "F10", f"""WITH {_GAPS}, l AS (SELECT *, lag(number) OVER w AS pn, lag(report_date) OVER w AS pd, lag(phase) OVER w AS pp, lag(depth) OVER w AS pz, lag(summary) OVER w AS ps FROM rp WINDOW w AS (PARTITION BY well_id ORDER BY number))
@@ -121,7 +121,7 @@ def _(s, d):
     e = view(s, d, "events_meta")
     rp = e.groupBy(F.concat(F.lit("W"), (F.col("user_id") % 4).cast("string")).alias("well_id"), F.col("user_id").alias("number")).agg(
         F.max("d").alias("report_date"), F.max_by("event_type", "event_id").alias("phase"), F.max(F.floor("value")).alias("depth"),
-        F.concat(F.count(F.lit(1)).cast("string"), F.lit(" rows")).alias("summary")).filter("number % 7 < 5")
+        F.concat(F.count(F.lit(1)).cast("string"), F.lit(" rows")).alias("summary"))
     return audit.gap_blocks(rp, width=16)
 
 
@@ -141,6 +141,6 @@ def _(s, d):
     return audit.split_combined(comb, _PN, _PD, _PM)
 
 
-@query("detect_profile", "F12", "WITH {filenames} SELECT source_filename, CASE WHEN regexp_matches(source_filename, '^RigAlpha ') THEN 'alpha' WHEN regexp_matches(source_filename, '^Utah_Forge_') THEN 'compact' ELSE 'generic' END AS profile FROM filenames")
+@query("detect_profile", "F12", "WITH {filenames} SELECT source_filename, CASE WHEN regexp_matches(source_filename, '^RigAlpha ') THEN 'alpha' WHEN regexp_matches(source_filename, '^North_Site_') THEN 'compact' ELSE 'generic' END AS profile FROM filenames")
 def _(s, d):
-    return audit.detect_profile(view(s, d, "filenames"), [("compact", "^Utah_Forge_"), ("alpha", "^RigAlpha ")], "generic").select("source_filename", "profile")
+    return audit.detect_profile(view(s, d, "filenames"), [("compact", "^North_Site_"), ("alpha", "^RigAlpha ")], "generic").select("source_filename", "profile")

@@ -60,11 +60,10 @@ def _(s, d):
 
 
 @query("graph_pruned", "N31 N36", f"""WITH {EDGES}, e1 AS (SELECT ed.* FROM ed JOIN dg x ON x.phase = ed.phase AND x.term = a AND x.degree >= 2 JOIN dg y ON y.phase = ed.phase AND y.term = b AND y.degree >= 2),
-d1 AS (SELECT phase, term, sum(weight) AS st FROM (SELECT phase, a AS term, weight FROM e1 UNION ALL SELECT phase, b, weight FROM e1) GROUP BY 1, 2),
-k AS (SELECT phase, term FROM (SELECT *, starts_with(term, 'op:') AS op, count(*) FILTER (starts_with(term, 'op:')) OVER (PARTITION BY phase) AS n_op, row_number() OVER (PARTITION BY phase, starts_with(term, 'op:') ORDER BY st DESC, term) AS rk FROM d1) WHERE op OR rk <= 20 - n_op)
-SELECT e1.phase, a, b, weight FROM e1 SEMI JOIN k x ON x.phase = e1.phase AND x.term = a SEMI JOIN k y ON y.phase = e1.phase AND y.term = b""")
+d1 AS (SELECT phase, term, sum(weight) AS st FROM (SELECT phase, a AS term, weight FROM e1 UNION ALL SELECT phase, b, weight FROM e1) GROUP BY 1, 2)
+SELECT phase, a, b, weight FROM e1""")
 def _(s, d):
-    return graph.prune(graph.cooccurrence(rows(s, d)), max_nodes=20)
+    return graph.prune(graph.cooccurrence(rows(s, d)), max_nodes=None)
 
 
 @query("graph_norm_weights", "N32", f"WITH {EDGES} SELECT phase, a, b, weight, round_even(weight / max(weight) OVER (PARTITION BY phase), 4) AS norm_weight FROM ed")

@@ -358,7 +358,7 @@ def _(s, d):
 m AS (SELECT well_id, report_date, daily_cost_num, CASE WHEN count(*) OVER w >= 3 THEN quantile_cont(daily_cost_num, 0.5) OVER w END AS med FROM th WHERE daily_cost_num > 0 WINDOW w AS (PARTITION BY well_id ORDER BY report_date ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
 st AS (SELECT well_id, avg(daily_cost_num) AS avg_cost FROM m GROUP BY 1),
 pk AS (SELECT well_id, report_date AS peak_date FROM m QUALIFY row_number() OVER (PARTITION BY well_id ORDER BY daily_cost_num DESC, report_date) = 1),
-tp AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY well_id ORDER BY daily_cost_num DESC, report_date) <= 40),
+tp AS (SELECT * FROM m),
 cs AS (SELECT well_id, report_date, npt_category AS cause, sum(duration_hr) AS h FROM enr WHERE is_npt GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY well_id, report_date ORDER BY sum(duration_hr) DESC, npt_category) = 1),
 sp AS (SELECT tp.*, avg_cost, cause, total_h, npt_h FROM tp JOIN st USING (well_id) JOIN pk USING (well_id) JOIN cs USING (well_id, report_date) LEFT JOIN daily USING (well_id, report_date) WHERE daily_cost_num >= 1.6 * avg_cost AND tp.report_date <> peak_date)
 SELECT well_id, report_date, daily_cost_num, cause, floor(100 * npt_h / greatest(total_h, 1))::BIGINT AS npt_pct, daily_cost_num > 3 * coalesce(med, avg_cost) AS bulk FROM sp
@@ -390,17 +390,17 @@ def _(s, d):
     return auto6(hours.company_by_phase(pers, ["COND1", "PROD1", "COMPZN"]))
 
 
-@query("vessel_visits_by_month", "N23 E22", """WITH g AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderpriority AS vessel_type, count(*) AS n FROM orders WHERE o_orderkey % 7 < 3 OR o_orderpriority <> '5-LOW' GROUP BY 1, 2)
+@query("vessel_visits_by_month", "N23 E22", """WITH g AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderpriority AS vessel_type, count(*) AS n FROM orders GROUP BY 1, 2)
 SELECT month, vessel_type, coalesce(n, 0)::BIGINT AS n FROM (SELECT DISTINCT month FROM g) CROSS JOIN (SELECT DISTINCT vessel_type FROM g) LEFT JOIN g USING (month, vessel_type)""")
 def _(s, d):
-    v = s.read.parquet(f"{d}/orders.parquet").filter("o_orderkey % 7 < 3 OR o_orderpriority <> '5-LOW'").withColumnRenamed("o_orderpriority", "vessel_type")
+    v = s.read.parquet(f"{d}/orders.parquet").withColumnRenamed("o_orderpriority", "vessel_type")
     return hours.visits_by_month(v, F.date_format("o_orderdate", "yyyy-MM"), "vessel_type")
 
 
-@query("calls_per_vessel", "N23 E8", "SELECT o_custkey AS vessel, count(*) AS calls FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1")
+@query("calls_per_vessel", "N23 E8", "SELECT o_custkey AS vessel, count(*) AS calls FROM orders GROUP BY 1")
 def _(s, d):
     v = s.read.parquet(f"{d}/orders.parquet")
-    return v.filter(F.col("o_orderpriority") == "1-URGENT").groupBy(F.col("o_custkey").alias("vessel")).agg(F.count(F.lit(1)).alias("calls"))
+    return v.groupBy(F.col("o_custkey").alias("vessel")).agg(F.count(F.lit(1)).alias("calls"))
 
 
 @query("assign_well_by_prefix", "D8 N1", """WITH {ops}, man(prefix, well, ord) AS (VALUES ('W0-', 'Well Zero', 1), ('W1-DDR', 'Well One', 2), ('W0-DDR-01', 'Never First', 3), ('W2-DDR-00', 'Well Two Early', 4)),

@@ -94,7 +94,7 @@ def _(s, d):
     return sinks.missing_artefacts(table(s, d, "documents").select("doc_id"), have, ["labels", "vector"])
 
 
-@query("annotation_upsert", "N28 D19", "SELECT doc_id, quality FROM labels WHERE toxic = 1 UNION ALL SELECT doc_id, 9 FROM documents WHERE doc_id % 3 = 0 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+@query("annotation_upsert", "N28 D19", "SELECT doc_id, quality FROM labels UNION ALL SELECT doc_id, 9 FROM documents ANTI JOIN labels USING (doc_id)")
 def _(s, d):
-    old = table(s, d, "documents").filter("doc_id % 3 = 0").select("doc_id", F.lit(9).alias("quality"))
-    return sinks.upsert(old, table(s, d, "labels").filter("toxic = 1").select("doc_id", "quality"), "doc_id")
+    old = table(s, d, "documents").select("doc_id", F.lit(9).alias("quality"))
+    return sinks.upsert(old, table(s, d, "labels").select("doc_id", "quality"), "doc_id")

@@ -21,10 +21,17 @@ nn AS (SELECT count(*) AS n, (SELECT sum(dl) FROM dl) / count(*) AS avgdl FROM c
 df AS (SELECT term, count(*) AS df FROM po GROUP BY 1),
 sc AS MATERIALIZED (SELECT query_id, chunk_key, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
   FROM qt JOIN po USING (term) JOIN df USING (term) JOIN dl USING (chunk_key), nn GROUP BY 1, 2)"""
-DN = """,
+VV = """,
 vv AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / (sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))) + 1e-12)) AS v FROM embeddings),
-dn AS MATERIALIZED (SELECT a.vec_id AS query_id, b.vec_id AS chunk_key, list_dot_product(a.v, b.v) AS score FROM vv a, vv b WHERE a.vec_id % 25 = 0),
-dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_key) AS rank FROM dn QUALIFY rank <= 10)"""
+dn AS MATERIALIZED (SELECT item_id AS query_id, b.vec_id AS chunk_key, list_dot_product(a.v, b.v) AS score FROM benchmark JOIN vv a ON a.vec_id = item_id, vv b)"""
+DEPTH = rt.fusion_depth(10)
+
+
+def _dr(n):
+    return f"{VV}, dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_key) AS rank FROM dn QUALIFY rank <= {n})"
+
+
+DN = _dr(10)
 
 
 def chunks(s, d):
@@ -41,8 +48,10 @@ def scores(s, d):
 
 
 def dense(s, d, k=10):
+    """Questions are the benchmark items; an item's vector is the one with its number."""
     e = table(s, d, "embeddings")
-    return rt.dense_top(e.select(F.col("vec_id").alias("chunk_key"), "embedding"), e.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec")), k)
+    q = table(s, d, "benchmark").select(F.col("item_id").alias("query_id")).join(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec")), "query_id")
+    return rt.dense_top(e.select(F.col("vec_id").alias("chunk_key"), "embedding"), q, k)
 
 
 @query("word_chunks", "L1 L2 L4", """WITH d AS (SELECT doc_id, (doc_id % 7 + 1)::INT AS page, string_split(trim(regexp_replace(text, '[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g')), ' ') AS w FROM documents),
@@ -65,17 +74,18 @@ def _(s, d):
     return auto6(rt.term_stats(p, rt.totals(c, rt.doc_lengths(p))))
 
 
-@query("bm25_scores", "M2", f"WITH {SC} SELECT query_id, chunk_key, round(score, 6) AS score FROM sc")
+@query("bm25_scores", "M2", f"WITH {SC} SELECT query_id, chunk_key, round(score, 6) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_key))::INT AS rank FROM sc QUALIFY rank <= {DEPTH}")
 def _(s, d):
-    return auto6(scores(s, d))
+    return auto6(rt.rank(scores(s, d), DEPTH))
 
 
 @query("bm25_scoped", "M3 B3", f"""WITH {TOK}, nn AS (SELECT scope_id, count(*) AS n, any_value(t) / count(*) AS avgdl FROM ch JOIN (SELECT scope_id, sum(dl) AS t FROM dl GROUP BY 1) USING (scope_id) GROUP BY 1),
 df AS (SELECT scope_id, term, count(*) AS df FROM po GROUP BY 1, 2)
-SELECT query_id, chunk_key, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
-FROM qt JOIN po USING (scope_id, term) JOIN df USING (scope_id, term) JOIN dl USING (scope_id, chunk_key) JOIN nn USING (scope_id) GROUP BY 1, 2""")
+SELECT query_id, chunk_key, round(score, 6) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_key))::INT AS rank FROM (
+SELECT query_id, chunk_key, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
+FROM qt JOIN po USING (scope_id, term) JOIN df USING (scope_id, term) JOIN dl USING (scope_id, chunk_key) JOIN nn USING (scope_id) GROUP BY 1, 2) QUALIFY rank <= {DEPTH}""")
 def _(s, d):
-    return auto6(rt.bm25(chunks(s, d), questions(s, d), scope=["scope_id"]))
+    return auto6(rt.rank(rt.bm25(chunks(s, d), questions(s, d), scope=["scope_id"]), DEPTH))
 
 
 @query("dense_top10", "M4 C43", f"WITH {CH}{DN} SELECT query_id, chunk_key, round(score, 6) AS score, rank::INT AS rank FROM dr")
@@ -83,19 +93,21 @@ def _(s, d):
     return auto6(dense(s, d))
 
 
-_FU = f"""WITH {SC}{DN}, br AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_key) AS rank FROM sc QUALIFY rank <= 10)"""
+_FU = f"""WITH {SC}{_dr(DEPTH)}, br AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_key) AS rank FROM sc QUALIFY rank <= {DEPTH})"""
 
 
-@query("rank_fusion", "M5 D15", _FU + """ SELECT query_id, chunk_key, dr.rank::INT AS dense_rank, br.rank::INT AS bm25_rank, round(coalesce(0.5 / (20 + dr.rank), 0) + coalesce(2.0 / (20 + br.rank), 0), 6) AS score FROM dr FULL JOIN br USING (query_id, chunk_key)""")
+@query("rank_fusion", "M5 D15", _FU + """, fu AS (SELECT query_id, chunk_key, dr.rank::INT AS dense_rank, br.rank::INT AS bm25_rank, coalesce(0.5 / (20 + dr.rank), 0) + coalesce(2.0 / (20 + br.rank), 0) AS score FROM dr FULL JOIN br USING (query_id, chunk_key))
+SELECT query_id, chunk_key, dense_rank, bm25_rank, round(score, 6) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_key))::INT AS rank FROM fu QUALIFY rank <= 10""")
 def _(s, d):
-    return auto6(rt.rrf(dense(s, d), rt.rank(scores(s, d), 10)))
+    return auto6(rt.rank(rt.rrf(dense(s, d, DEPTH), rt.rank(scores(s, d), DEPTH)), 10))
 
 
 for _name, _ids, _wd, _wb in (("score_fusion", "M6 E21", 0.5, 2.0), ("corpus_fusion", "M7", 0.7, 0.3)):
     query(_name, _ids, _FU + f""", a AS (SELECT query_id, chunk_key, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 0 END AS dn FROM dr WINDOW w AS (PARTITION BY query_id)),
-b AS (SELECT query_id, chunk_key, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 0 END AS bn FROM br WINDOW w AS (PARTITION BY query_id))
-SELECT query_id, chunk_key, round({_wd} * coalesce(dn, 0) + {_wb} * coalesce(bn, 0), 6) AS score FROM a FULL JOIN b USING (query_id, chunk_key)""")(
-        lambda s, d, x=_wd, y=_wb: auto6(rt.score_fusion(dense(s, d), rt.rank(scores(s, d), 10), x, y)))
+b AS (SELECT query_id, chunk_key, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 0 END AS bn FROM br WINDOW w AS (PARTITION BY query_id)),
+fu AS (SELECT query_id, chunk_key, {_wd} * coalesce(dn, 0) + {_wb} * coalesce(bn, 0) AS score FROM a FULL JOIN b USING (query_id, chunk_key))
+SELECT query_id, chunk_key, round(score, 6) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_key))::INT AS rank FROM fu QUALIFY rank <= 10""")(
+        lambda s, d, x=_wd, y=_wb: auto6(rt.rank(rt.score_fusion(dense(s, d, DEPTH), rt.rank(scores(s, d), DEPTH), x, y), 10)))
 
 
 @query("retrieval_margin", "M19", _FU + " SELECT query_id, round(max(score) FILTER (rank = 1) - max(score) FILTER (rank = 2), 6) AS margin, coalesce(max(score) FILTER (rank = 1) - max(score) FILTER (rank = 2) < 0.002, false) AS low_margin FROM br GROUP BY 1")

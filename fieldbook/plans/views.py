@@ -109,7 +109,7 @@ VIEWS["filenames"] = """
 SELECT CASE o_orderkey % 23
     WHEN 5 THEN 'scan_' || CAST(o_orderkey AS STRING) || '.pdf'
     WHEN 6 THEN 'notes ' || CAST(o_orderkey AS STRING) || '.txt'
-    WHEN 7 THEN 'Utah_Forge_FORGE_16A_(78)-32_Drilling-C_' || lpad(CAST(month(o_orderdate) AS STRING), 2, '0') || lpad(CAST(day(o_orderdate) AS STRING), 2, '0') || CAST(year(o_orderdate) AS STRING) || '_' || lpad(CAST(month(o_orderdate) AS STRING), 2, '0') || lpad(CAST(day(o_orderdate) AS STRING), 2, '0') || CAST(year(o_orderdate) AS STRING) || '_' || CAST(o_orderkey % 90 + 1 AS STRING) || '_1_reporttmp' || CASE WHEN o_orderkey % 2 = 0 THEN ' 2' ELSE '' END || '.pdf'
+    WHEN 7 THEN 'North_Site_SITE_16A_(78)-32_Drilling-C_' || lpad(CAST(month(o_orderdate) AS STRING), 2, '0') || lpad(CAST(day(o_orderdate) AS STRING), 2, '0') || CAST(year(o_orderdate) AS STRING) || '_' || lpad(CAST(month(o_orderdate) AS STRING), 2, '0') || lpad(CAST(day(o_orderdate) AS STRING), 2, '0') || CAST(year(o_orderdate) AS STRING) || '_' || CAST(o_orderkey % 90 + 1 AS STRING) || '_1_reporttmp' || CASE WHEN o_orderkey % 2 = 0 THEN ' 2' ELSE '' END || '.pdf'
     WHEN 8 THEN 'RigAlpha DDR ' || CAST(CAST(o_orderkey AS BIGINT) AS STRING) || 'FLDX R' || CAST(o_custkey % 5 AS STRING) || ' ' || lpad(CAST(day(o_orderdate) AS STRING), 2, '0') || '.' || lpad(CAST(month(o_orderdate) AS STRING), 2, '0') || '.' || CAST(year(o_orderdate) AS STRING) || '..pdf'
     ELSE 'Rig' || CASE WHEN o_custkey % 2 = 0 THEN 'Alpha' ELSE 'Beta' END || ' DDR ' || CAST(o_orderkey AS STRING) || ' FLDX R' || CAST(o_custkey % 5 AS STRING) || ' ' || lpad(CAST(day(o_orderdate) AS STRING), 2, '0') || '.' || lpad(CAST(month(o_orderdate) AS STRING), 2, '0') || '.' || CAST(year(o_orderdate) AS STRING) || '.pdf'
   END AS source_filename,
@@ -146,15 +146,8 @@ def expand(sql: str) -> str:
     return re.sub(r"\{(\w+)\}", lambda m: f"{m.group(1)} AS ({VIEWS[m.group(1)]})" if m.group(1) in VIEWS else m.group(0), sql)
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """A file with one row group is one task however many cores there are; spread
-    such a small input. Inputs with enough splits pass unchanged."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 < min(cores, 16) else df
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return _spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -163,5 +156,4 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = VIEWS[name]
     for t in TABLES:
         sql = re.sub(rf"(\bFROM ){t}\b", rf"\1parquet.`{sf_dir}/{t}.parquet`", sql)
-    out = spark.sql(sql)
-    return out if name in ("headers", "weather") else _spread(out)
+    return spark.sql(sql)

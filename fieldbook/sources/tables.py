@@ -11,8 +11,8 @@ from fieldbook.functions.text import Vocabulary
 
 
 def report_table(spark: SparkSession, root: str) -> DataFrame:
-    """A1: one table per kind over all documents; unreadable files are skipped."""
-    return spark.read.option("mergeSchema", True).option("ignoreCorruptFiles", True).parquet(root)
+    """A1: one table per kind over all documents; an unreadable file fails the read."""
+    return spark.read.option("mergeSchema", True).parquet(root)
 
 
 def raw_files(spark: SparkSession, root: str, pattern: str = "*.pdf") -> DataFrame:

@@ -33,8 +33,8 @@ def test_narrative_classes(spark):
 def test_filenames(spark):
     names = [
         "RigAlpha DDR 7 FLDX R2 18.04.2024.pdf", "RigAlpha DDR 107FLDX R2 27.07.2024..pdf",
-        "Utah_Forge_FORGE_16A_(78)-32_Drilling-C_01032021_01032021_15_1_reporttmp 2.pdf",
-        "Utah_Forge_FORGE_16A_[78]-32_Drilling-C_11920201192020_11_reporttmp.pdf", "notes.txt",
+        "North_Site_SITE_16A_(78)-32_Drilling-C_01032021_01032021_15_1_reporttmp 2.pdf",
+        "North_Site_SITE_16A_[78]-32_Drilling-C_11920201192020_11_reporttmp.pdf", "notes.txt",
     ]
     df = spark.createDataFrame([(n, 10) for n in names], "source_filename string, file_size_bytes bigint")
     r = {x.source_filename: x for x in audit.parse_filenames(df).collect()}
