@@ -1,4 +1,4 @@
-"""Events and measurements out of operation text.
+"""Events and measurements out of operation text.
 
 One row becomes many through arrays of matches; the patterns run once per row
 and nothing crosses rows before the final grouping.
@@ -18,6 +18,10 @@ KLBS = r"(?i)([\d]+(?:[–\-][\d]+)?(?:\.\d+)?)\s*[Kk]lbs?\b"
 RESTRICT_FD = r"(?i)([\d]+(?:[–\-][\d]+)?)\s*[Kk]lbs?\s+(?:restriction|tight|packoff)\s+(?:at|@)\s*([\d,]+)\s*ft"
 RESTRICT_D = r"(?i)(?:restriction|packoff|tight\s+spot)\s+(?:at|@)\s*([\d,]+)\s*ft"
 TAG = r"(?i)tagged\s+\w+\s+at\s+([\d,]+)\s*ft\s+with\s+([\d]+(?:\.\d+)?)\s*[Kk]lbs?"
+OVERPULL = r"(?i)([\d]+(?:[–\-][\d]+)?(?:\.\d+)?)\s*[Kk](?:lbs?)?\s+overpull|overpull\s+(?:of\s+)?([\d]+(?:\.\d+)?)\s*[Kk](?:lbs?)?"
+OVERPULL_DEPTH = r"(?i)overpull\s+(?:at|to|from)\s+([\d,]+)\s*ft|([\d,]+)\s*ft[^.]{0,40}?overpull"
+LATCHED = r"(?i)confirm(?:ed)?\s+(?:latched|engaged|landed)|lockdown\s+dogs"
+LATCH_FORCE = r"(?i)\b[1-9]\s*[Kk]lbs?\s+overpull"
 LOSS_RATE = (
     r"(?i)(?:loss\s+rate\s+of\s+[\d]+(?:[–\-][\d]+)?(?:\.\d+)?\s*bbls?(?:/hr)?|[\d]+(?:[–\-][\d]+)?\s*bbls?\s+loss(?:es)?|"
     r"observed\s+[\d]+(?:[–\-][\d]+)?\s*bbls?\s+loss)"
@@ -41,7 +45,18 @@ OPEN = r"(?i)open hole|below shoe|below casing shoe|in formation|rat hole|below
 LINER = r"(?i)rih liner|set packer|liner hanger|running liner|liner deployment"
 PHASE_HOLE = {"MIRU": "surface", "COND1": "open", "INTRM1": "open", "INTRM2": "open", "COMPZN": "cased"}
 
+# Integrity and leak-off tests.
+TEST = r"(?i)\b(?:dynamic\s+)?(?:FIT|DFIT|LOT|leak[\s\-]?off\s+test|formation\s+integrity\s+test)\b"
+TEST_LIMIT = r"(?i)(1[2-6]\.\d{1,3})\s*ppge\b"
+TEST_SHOE = r"(?i)(20\"\s*(?:shoe|conductor)|13[\-\s]3/8\"\s*(?:casing|shoe)|9[\-\s]7/8\"\s*(?:casing|liner|shoe)|7\"\s*(?:liner|shoe))"
+TEST_PASS = r"(?i)good\s+(?:FIT|DFIT|LOT)|no\s+losses\s+observed|converge\s+to\s+stable"
+TEST_INIT = r"(?i)until\s+divergen|diversion|leak[\s\-]?off|initiat"
+
 # Measurement wording.
+TRIP = r"(?i)(\d+)\s*ft/min"
+TRIP_OPEN = r"(?i)\bopen\s*hole\b|\boh\b"
+TRIP_CASED = r"(?i)\bcased\s*hole\b|\bcasing\b|\bliner\b|inside.*liner|through.*casing|\binside\s+\d+[\"′]|in\s+liner"
+TRIP_PHASE = {"COND1": "OH", "INTRM1": "OH", "INTRM2": "OH", "COMPZN": "CH"}
 ROP_INST = r"(?i)(?:instantaneous|inst\.?)\s+rop[^\d]{0,12}(\d+\.?\d*)\s*ft/h"
 ROP_AVG = r"(?i)(?:average|avg\.?)\s+rop[^\d]{0,12}(\d+\.?\d*)\s*ft/h"
 ROP_GEN = r"(?i)\brop\b[^\d]{0,12}(\d+\.?\d*)\s*ft/h"
@@ -107,12 +122,52 @@ def _forced() -> Column:
     return F.when(_t().rlike(RESTRICT_FD), made).otherwise(_none())
 
 
+def spans(pattern: str) -> Column:
+    """Matches of a pattern with their places: array of (m, s, e), from the lengths of what stands before them."""
+    pieces, found = F.split(_t(), pattern, -1), _all(pattern, 0)
+    total = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + F.length(x))
+
+    def one(m: Column, i: Column) -> Column:
+        s = total(F.slice(pieces, F.lit(1), i + 1)) + total(F.slice(found, F.lit(1), i))
+        return F.struct(m.alias("m"), s.alias("s"), (s + F.length(m)).alias("e"))
+
+    return F.transform(found, one)
+
+
+def around(x: Column, width: int) -> Column:
+    """The match with ``width`` characters on either side."""
+    s = F.greatest(x["s"] - width, F.lit(0))
+    return F.substring(_t(), s + 1, x["e"] + width - s)
+
+
+def _group(text: Column, pattern: str, *groups: int) -> Column:
+    """The first of the groups that took part in the first match; NULL without match."""
+    return F.coalesce(*[F.nullif(F.regexp_extract(text, pattern, g), F.lit("")) for g in groups])
+
+
 def _depth_only() -> Column:
-    around = r"(?is)(.{0,80}" + RESTRICT_D.removeprefix("(?i)") + r"(?=(.{0,80})))"
-    g = lambda i: F.regexp_extract_all(_t(), F.lit(around), F.lit(i))
-    made = F.transform(F.arrays_zip(g(2).alias("d"), g(1).alias("l"), g(3).alias("r")), lambda x: _event(
-        "restriction", "restriction", _num(x["d"]), range_value(F.nullif(F.regexp_extract(F.concat(x["l"], x["r"]), KLBS, 1), F.lit("")))))
-    return F.when(_t().rlike(RESTRICT_D), made).otherwise(_none())
+    """Forced restrictions, then the mentions of a depth alone in their order, unless within 50 ft of an event so far."""
+    made = F.transform(spans(RESTRICT_D), lambda x: _event(
+        "restriction", "restriction", _num(F.regexp_extract(x["m"], RESTRICT_D, 1)), range_value(_group(around(x, 80), KLBS, 1))))
+    near = lambda acc, x: F.exists(acc, lambda e: (e["depth_ft"] != 0) & (F.abs(e["depth_ft"] - x["depth_ft"]) < 50))
+    folded = F.aggregate(made, _forced(), lambda acc, x: F.when(near(acc, x), acc).otherwise(F.concat(acc, F.array(x))))
+    return F.when(_t().rlike(RESTRICT_D), folded).otherwise(_forced())
+
+
+def overpulls() -> Column:
+    """I4: each overpull force with the depth named beside it, else the first plausible depth within 200 characters;
+    small pulls that only confirm a latch are left out."""
+
+    def one(x: Column) -> Column:
+        named = _num(_group(around(x, 120), OVERPULL_DEPTH, 1, 2))
+        parts = F.regexp_replace(around(x, 200), r"[.•\n]", "|")  # depths do not cross sentences
+        plausible = F.filter(F.transform(F.regexp_extract_all(parts, F.lit(DEPTH), F.lit(1)), _num), lambda v: v.between(50, 30000))
+        depth = F.coalesce(F.when(named.between(50, 30000), named), F.get(plausible, 0))
+        return _event("overpull", "overpull", depth, range_value(_group(x["m"], OVERPULL, 1, 2)))
+
+    made = F.filter(F.transform(spans(OVERPULL), one), lambda e: e["force_klbs"].isNotNull())
+    minor = _t().rlike(LATCHED) & _t().rlike(LATCH_FORCE)
+    return F.when(_t().rlike(OVERPULL) & ~minor, made).otherwise(_none())
 
 
 def _tags() -> Column:
@@ -122,14 +177,11 @@ def _tags() -> Column:
 
 
 def restrictions() -> Column:
-    """Force with depth, depth alone (not within 50 ft of one with force; force
-    within 80 characters), tags of at least 20 klbs, else a pack-off mention."""
-    fd = F.col("__fd")
-    fresh = F.filter("__do", lambda a: ~F.exists(fd, lambda e: F.abs(e["depth_ft"] - a["depth_ft"]) < 50))
-    found = F.concat(fd, fresh, F.col("__tg"))
+    """Force with depth, depth alone (not within 50 ft of an event so far; force within 80 characters), tags of at
+    least 20 klbs, else a pack-off mention."""
+    found = F.concat("__do", "__tg")
     pack = F.array(_event("restriction", "packoff", _first_depth()))
-    none_yet = (F.size(fd) == 0) & (F.size("__do") == 0) & (F.size("__tg") == 0)
-    return F.when(none_yet & _t().rlike(r"(?i)\bpackoff\b"), pack).otherwise(found)
+    return F.when((F.size(found) == 0) & _t().rlike(r"(?i)\bpackoff\b"), pack).otherwise(found)
 
 
 def _rated() -> Column:
@@ -170,14 +222,14 @@ def formation() -> Column:
 
 
 def extract_events(ops: DataFrame) -> DataFrame:
-    """One row per event with hole type."""
+    """One row per event with hole type."""
     t = _t()
     base = ordered.once(
         ops.filter(t.isNotNull()).select("seq", "report_date", "phase", "operation_text"), __d=depths(), hole_type=hole_type(),
-        __fd=_forced(), __do=_depth_only(), __tg=_tags(), __rt=_rated(), __full=t.rlike(FULL_LOSS), __lcm=t.rlike(LCM),
+        __do=_depth_only(), __op=overpulls(), __tg=_tags(), __rt=_rated(), __full=t.rlike(FULL_LOSS), __lcm=t.rlike(LCM),
         __sv=F.regexp_extract(t, STATIC_LOSS, 1).try_cast("double"),
     )
-    return base.select("seq", "report_date", "phase", "hole_type", F.inline(F.concat(restrictions(), losses(), formation())))
+    return base.select("seq", "report_date", "phase", "hole_type", F.inline(F.concat(restrictions(), F.col("__op"), losses(), formation())))
 
 
 def assemble(events: DataFrame, header_depth: DataFrame) -> DataFrame:
@@ -197,6 +249,40 @@ def summary(events: DataFrame) -> DataFrame:
         F.count_if(F.col("hole_type") == "open").alias("n_open"), F.count_if(F.col("hole_type") == "cased").alias("n_cased"))
 
 
+def fit_lot(ops: DataFrame) -> DataFrame:
+    """Integrity tests; each trigger takes the nearest limit, a limit counts once per row and once per (date,
+    phase), the earliest row first."""
+    t = _t()
+    limits = F.transform(spans(TEST_LIMIT), lambda x: F.struct(x["s"].alias("s"), F.regexp_extract(x["m"], TEST_LIMIT, 1).try_cast("double").alias("v")))
+    kind = lambda m: F.when(F.upper(m).contains("LOT"), "LOT").when(F.upper(m).contains("DFIT"), "DFIT").otherwise("FIT")
+
+    def one(x: Column) -> Column:
+        middle = F.floor((x["s"] + x["e"]) / 2)
+        near = F.array_min(F.transform("__lim", lambda p: F.struct(F.abs(p["s"] - middle).alias("gap"), p["s"].alias("s"), p["v"].alias("v"))))
+        return F.struct(kind(x["m"]).alias("test_type"), near["v"].alias("limit_ppge"))
+
+    base = ordered.once(ops.filter(t.rlike(TEST) & t.rlike(TEST_LIMIT)), __lim=limits)
+    base = ordered.once(base, __tests=F.transform(spans(TEST), one))
+    once = F.filter("__tests", lambda x, i: ~F.exists(F.slice("__tests", F.lit(1), i), lambda y: y["limit_ppge"] == x["limit_ppge"]))
+    result = F.when(t.rlike(TEST_INIT), "initiation").when(t.rlike(TEST_PASS), "pass").otherwise("unknown")
+    rows = base.select("seq", "report_date", "phase", result.alias("result"), _group(t, TEST_SHOE, 1).alias("casing_shoe"), F.posexplode(once).alias("pos", "x"))
+    rows = rows.select("seq", "report_date", "phase", "pos", "x.test_type", "x.limit_ppge", "result", "casing_shoe")
+    return ordered.first_by(rows, ["report_date", "phase", "limit_ppge"], ["seq", "pos"])
+
+
+def trip_speed(ops: DataFrame) -> DataFrame:
+    """Trip speeds up to 500 ft/min with the hole named within 40 characters, else in the row, else by phase."""
+    by_text = lambda c: F.when(c.rlike(TRIP_OPEN) & ~c.rlike(TRIP_CASED), "OH").when(c.rlike(TRIP_CASED) & ~c.rlike(TRIP_OPEN), "CH")
+    by_phase = F.lit(None).cast("string")
+    for phase, hole in TRIP_PHASE.items():
+        by_phase = F.when(F.col("phase") == phase, hole).otherwise(by_phase)
+    whole = F.coalesce(by_text(_t()), by_phase, F.lit("unknown"))
+    made = F.transform(spans(TRIP), lambda x: F.struct(F.regexp_extract(x["m"], TRIP, 1).try_cast("double").alias("value"), F.coalesce(by_text(around(x, 40)), whole).alias("hole_type")))
+    rows = ops.filter(_t().rlike(TRIP)).select(
+        "seq", "phase", _num(F.regexp_extract(_t(), INTERVAL, 1)).alias("depth_from_ft"), _num(F.regexp_extract(_t(), INTERVAL, 2)).alias("depth_to_ft"), F.inline(made))
+    return rows.filter(F.col("value").between(1, 500))
+
+
 def metrics(ops: DataFrame) -> DataFrame:
     """Penetration rate, running speed, bit weight, flow with the depth interval."""
     def vals(p: str, kind, unit: str, lo: float, hi: float) -> Column:

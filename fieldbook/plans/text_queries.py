@@ -42,9 +42,17 @@ _doc("is_daily_report", "B9", lambda: text.is_daily_report(T()), "(contains(lowe
 _doc("asks_aggregate", "B10", lambda: text.asks_aggregate(T()), "regexp_matches(lower(text), 'maximum|minimum|highest|lowest|total|average|how many|most|least|all phases|across all|entire well|cumulative|sum of|count of')")
 _doc("year_range", "C5", lambda: dates.year_range(T()), None)
 _doc("period_end_date", "C6", lambda: dates.period_end(T()), None)
-_doc("title_normalize", "C42", lambda: text.title_norm(F.substring_index(T(), "\n", 1)), None)
-_doc("canonical_section_title", "C52", lambda: text.canonical_section(F.substring_index(T(), "\n", 1)), None)
-_doc("heading_flags", "C44", lambda: F.concat_ws(",", *[f(F.substring_index(T(), "\n", 1)).cast("string") for f in (text.is_title_heading, text.is_lettered_heading, text.is_anchor_line, text.is_numbered_heading)]), None)
+
+
+def _lines(name, ids, expr):
+    """One row for each line of each text."""
+    query(name, ids, None)(
+        lambda s, d: table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select("doc_id", "line_no", expr(F.col("line")).alias("v")))
+
+
+_lines("title_normalize", "C42", text.title_norm)
+_lines("canonical_section_title", "C52", text.canonical_section)
+_lines("heading_flags", "C44", lambda c: F.concat_ws(",", *[f(c).cast("string") for f in (text.is_title_heading, text.is_lettered_heading, text.is_anchor_line, text.is_numbered_heading)]))
 _nar("first_sentence", "C31", lambda: text.first_sentence(F.col("operation_text"), 60), None, src="ops")
 _nar("report_hour", "C22", lambda: dates.report_hour(F.col("start_time")), f"round({o.HOUR('start_time')}, 6)", src="ops")
 _nar("shift_block", "C21", lambda: dates.shift_block(F.col("start_time")), "CASE WHEN start_time < '06' THEN '00:00-06:00' WHEN start_time < '12' THEN '06:00-12:00' WHEN start_time < '18' THEN '12:00-18:00' ELSE '18:00-00:00' END", src="ops")

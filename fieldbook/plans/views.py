@@ -84,22 +84,27 @@ SELECT l_orderkey * 8 + l_linenumber AS seq,
   CAST(l_linenumber AS INT) AS page,
   l_quantity / 10 AS duration_hr,
   l_linestatus = 'F' AS is_npt,
-  CASE (l_orderkey + l_linenumber) % 16
+  CASE (l_orderkey + l_linenumber) % 21
     WHEN 0 THEN CAST(CAST(l_quantity AS BIGINT) AS STRING) || 'klbs restriction at ' || CAST(1000 + l_partkey % 9000 AS STRING) || 'ft in open hole'
     WHEN 1 THEN 'Confirmed latched with 5klbs overpull. Continue RIH to ' || CAST(1000 + l_partkey % 9000 AS STRING) || ' ft.'
     WHEN 2 THEN 'Observed 12-' || CAST(CAST(l_quantity AS BIGINT) + 12 AS STRING) || 'klbs overpull at ' || CAST(1000 + l_partkey % 9000 AS STRING) || 'ft while pulling out'
     WHEN 3 THEN 'Loss rate of ' || CAST(CAST(l_quantity AS BIGINT) AS STRING) || ' bbls/hr while drilling ahead'
     WHEN 4 THEN 'No losses observed during circulation'
     WHEN 5 THEN 'Full losses, pumped LCM pill, total loss of ' || CAST(CAST(l_quantity AS BIGINT) * 3 AS STRING) || ' bbls'
-    WHEN 6 THEN 'Drilled ahead with ECD ' || CAST(9 + l_suppkey % 7 AS STRING) || '.' || CAST(l_partkey % 9 AS STRING) || ' ppge and ballooning observed'
+    WHEN 6 THEN 'Drilled ahead with ECD ' || CAST(9 + l_suppkey % 7 AS STRING) || '.' || CAST(l_partkey % 9 AS STRING) || '5 ppge and ballooning observed'
     WHEN 7 THEN 'Performed FIT to 14.' || CAST(l_partkey % 9 AS STRING) || ' ppge, good FIT at casing shoe ' || CAST(1000 + l_partkey % 9000 AS STRING) || 'ft'
     WHEN 8 THEN 'Performed LOT to 15.' || CAST(l_partkey % 9 AS STRING) || ' ppge until divergence'
     WHEN 9 THEN 'Drilled with average ROP ' || CAST(CAST(l_quantity AS BIGINT) + 20 AS STRING) || ' ft/hr, instantaneous ROP of ' || CAST(CAST(l_quantity AS BIGINT) + 60 AS STRING) || ' ft/hr'
     WHEN 10 THEN 'Drilled from ' || CAST(1000 + l_partkey % 9000 AS STRING) || ' ft to ' || CAST(1100 + l_partkey % 9000 AS STRING) || ' ft with WOB ' || CAST(CAST(l_quantity AS BIGINT) AS STRING) || ' klbs and flow rate ' || CAST(400 + l_suppkey % 300 AS STRING) || ' gpm'
     WHEN 11 THEN 'RIH from ' || CAST(1000 + l_partkey % 9000 AS STRING) || ' ft to ' || CAST(1500 + l_partkey % 9000 AS STRING) || ' ft at ' || CAST(CAST(l_quantity AS BIGINT) AS STRING) || ' ft/min in cased hole'
     WHEN 12 THEN 'Sleeve #' || CAST(1 + l_suppkey % 18 AS STRING) || ' opened at ' || CAST(3000 + l_partkey % 2000 AS STRING) || ' psi'
-    WHEN 13 THEN 'Ran 7 inch casing at running speed ' || CAST(CAST(l_quantity AS BIGINT) AS STRING) || ' ft/min, tag bottom at ' || CAST(1000 + l_partkey % 9000 AS STRING) || 'ft with 25klbs'
-    WHEN 14 THEN 'Gas influx noted, wellbore instability, pack off at ' || CAST(1000 + l_partkey % 9000 AS STRING) || 'ft'
+    WHEN 13 THEN 'Ran 7 inch casing at running speed ' || CAST(CAST(l_quantity AS BIGINT) AS STRING) || ' ft/min, tagged bottom at ' || CAST(1000 + l_partkey % 9000 AS STRING) || 'ft with 25klbs'
+    WHEN 14 THEN 'Gas influx noted, wellbore instability, packoff at ' || CAST(1000 + l_partkey % 9000 AS STRING) || 'ft'
+    WHEN 15 THEN 'Tight spot at ' || CAST(1000 + l_partkey % 9000 AS STRING) || ' ft and packoff at ' || CAST(1500 + l_partkey % 9000 AS STRING) || ' ft with 15 klbs'
+    WHEN 16 THEN 'Static loss rate of ' || CAST(1 + l_suppkey % 9 AS STRING) || ' gpm while tripping at ' || CAST(60 + l_suppkey % 60 AS STRING) || ' ft/min in open hole, differential sticking at ' || CAST(1000 + l_partkey % 9000 AS STRING) || ' ft'
+    WHEN 17 THEN 'Pumped LCM sweep with returns to surface'
+    WHEN 18 THEN CAST(CAST(l_quantity AS BIGINT) AS STRING) || ' bbls losses while cementing at ' || CAST(1000 + l_partkey % 9000 AS STRING) || ' ft'
+    WHEN 19 THEN 'ROP ' || CAST(CAST(l_quantity AS BIGINT) + 10 AS STRING) || ' ft/hr, running ' || CAST(1 + l_suppkey % 20 AS STRING) || ' joints/hr, evacuate gas from well'
     ELSE 'Recommend review of mud programme before next run. Lesson learned on hole cleaning; prevent repeat.'
   END AS operation_text
 FROM lineitem"""

@@ -153,3 +153,43 @@ def test_upsert(spark):
     a = spark.createDataFrame([("k1", 1), ("k2", 1)], "k string, v int")
     b = spark.createDataFrame([("k2", 2)], "k string, v int")
     assert sorted(map(tuple, sinks.upsert(a, b, "k").collect())) == [("k1", 1), ("k2", 2)]
+
+
+def _events(spark, *texts):
+    from fieldbook.operators import events
+
+    df = spark.createDataFrame([(i, None, "INTRM1", t) for i, t in enumerate(texts)], "seq int, report_date date, phase string, operation_text string")
+    out = {}
+    for r in events.extract_events(df).collect():
+        out.setdefault(r.seq, []).append((r.sub_type, r.depth_ft, r.force_klbs))
+    return [out.get(i, []) for i in range(len(texts))]
+
+
+def test_restrictions_in_order(spark):
+    far = " while circulating at full rate and reciprocating the string over the whole stand length, then "
+    got = _events(
+        spark, "Tight spot at 7,000 ft and packoff at 7,500 ft", "Tight spot at 7,000 ft" + far + "tight spot at 7,010 ft",
+        "Tight spot at 7,000 ft and packoff at 7,010 ft", "20klbs restriction at 5000ft, tight spot at 5,020 ft, restriction at 6000 ft 15-30 klbs",
+        "tagged TOC at 900 ft with 15klbs", "packoff, depth 800 ft", "",
+    )
+    assert [[e[:2] for e in g] for g in got] == [
+        [("restriction", 7000.0), ("restriction", 7500.0)], [("restriction", 7000.0)], [("restriction", 7000.0)],
+        [("restriction", 5000.0), ("restriction", 6000.0)], [], [("packoff", 800.0)], []]
+    assert got[3][0][2] == 20.0
+
+
+def test_overpulls(spark):
+    got = _events(
+        spark, "Confirmed latched with 5klbs overpull at 900 ft", "30k overpull at 4,500 ft", "overpull of 40 klbs. Set slips. Bit at 6,000 ft",
+        "At 3,000 ft saw 10-25klbs overpull, then 60 Klbs overpull",
+    )
+    assert got == [[], [("overpull", 4500.0, 30.0)], [("overpull", 6000.0, 40.0)], [("overpull", 3000.0, 25.0), ("overpull", 3000.0, 60.0)]]
+
+
+def test_fit_lot_nearest_limit(spark):
+    from fieldbook.operators import events
+
+    rows = [(1, "2024-01-01", "A", "FIT to 12.5 ppge. Later performed LOT to 14.25 ppge until divergence at 9-7/8\" casing shoe"), (2, "2024-01-01", "A", "DFIT 12.5 ppge"), (3, "2024-01-02", "A", "FIT good, 9.9 ppge")]
+    df = spark.createDataFrame(rows, "seq int, report_date string, phase string, operation_text string")
+    got = sorted((r.seq, r.test_type, r.limit_ppge, r.result, r.casing_shoe) for r in events.fit_lot(df).collect())
+    assert got == [(1, "FIT", 12.5, "initiation", '9-7/8" casing'), (1, "LOT", 14.25, "initiation", '9-7/8" casing')]
