@@ -157,11 +157,14 @@ def missing_reports(parsed: DataFrame, width: int = 1000) -> DataFrame:
     neighbours need no search."""
     one = numbered(parsed).withColumn("__b", F.floor(F.col("ddr_number") / width))
     here = F.struct("ddr_number", "rig", "asset_or_project", "wellbore_suffix", "wellbore", "block_wellbore", "source_filename")
-    prev = ordered.lag_across(one, [], "__b", ["ddr_number"], here, "prev")
+    prev = ordered.lag_across(one, [], "__b", ["ddr_number"], here, "prev", coarser=F.floor(F.col("__b") / width))
     gaps = prev.filter(F.col("ddr_number") - F.col("prev.ddr_number") > 1)
     span = _span(numbered(parsed))
-    rows = gaps.select(
-        F.explode(F.sequence(F.col("prev.ddr_number") + 1, F.col("ddr_number") - 1)).alias("number"),
+    # A gap is cut into pieces first: one mistyped number must not become one huge array.
+    last = F.col("ddr_number") - 1
+    pieces = gaps.select(F.explode(F.sequence(F.col("prev.ddr_number") + 1, last, F.lit(width).cast("long"))).alias("lo"), last.alias("last"), "prev", "source_filename")
+    rows = pieces.select(
+        F.explode(F.sequence(F.col("lo"), F.least(F.col("lo") + width - 1, F.col("last")))).alias("number"),
         "prev", F.col("source_filename").alias("next_source_filename"),
     ).join(F.broadcast(span))
     date = F.date_add("d0", (F.col("number") - F.col("n0")).cast("int"))
@@ -189,12 +192,13 @@ def issues(records: DataFrame, free_rig: str = CompactNames.rig) -> DataFrame:
     n_dt = parsed.groupBy("free", "report_date").agg(F.count(F.lit(1)).alias("n_dt"))
     n_id = parsed.groupBy("safe_doc_id").agg(F.count(F.lit(1)).alias("n_id"))
     last = parsed.filter(c("report_date").isNotNull()).groupBy("ddr_number").agg(F.max("source_filename").alias("last_file"))
-    j = (
-        records.withColumn("free", F.when(c("parsed"), free))
-        .join(n_no, ["free", "ddr_number"], "left").join(n_dt, ["free", "report_date"], "left")
+    # Files that did not parse have no keys; they stay out of the joins, where all would meet under NULL.
+    known = (
+        parsed.join(n_no, ["free", "ddr_number"], "left").join(n_dt, ["free", "report_date"], "left")
         .join(n_id, "safe_doc_id", "left").join(last, "ddr_number", "left")
-        .join(F.broadcast(_span(numbered(parsed.drop("free")))))  # a single row
     )
+    j = known.unionByName(records.filter(~F.coalesce("parsed", F.lit(False))), allowMissingColumns=True).join(
+        F.broadcast(_span(numbered(parsed.drop("free")))))  # a single row
     want = F.date_add("d0", (c("ddr_number") - c("n0")).cast("int"))
     sev = F.when(c("free"), "warning").otherwise("error")
 

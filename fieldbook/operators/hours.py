@@ -90,7 +90,7 @@ def phase_timeline(ops: DataFrame, phases: DataFrame) -> DataFrame:
         F.countDistinct("report_date").alias("n_days"), F.count(F.lit(1)).alias("n_ops"),
         F.sum(_dur()).alias("__t"), _npt_h().alias("__n"),
     )
-    return agg.join(F.broadcast(phases), "phase").select(
+    return agg.join(phases, "phase").select(
         "well_id", "phase", "ord", "label", "date_start", "date_end", "n_days", "n_ops",
         F.bround("__t", 1).alias("total_hrs"), F.bround("__n", 1).alias("npt_hrs"),
         F.bround(pct("__n", "__t"), 1).alias("npt_pct"),

@@ -18,8 +18,8 @@ def label_of(code: Column, labels: dict[str, str]) -> Column:
 
 
 def report_no_by_date(headers: DataFrame) -> DataFrame:
-    """The last report number per date wins."""
-    return headers.groupBy("report_date").agg(F.max_by("report_no", F.struct("report_no", "doc_id")).alias("report_no"))
+    """The number of the last document (by id, the ingest order) of each date."""
+    return headers.groupBy("report_date").agg(F.max_by("report_no", "doc_id").alias("report_no"))
 
 
 def frequent_ngrams(rows: DataFrame, n: int = 2, min_count: int = 8) -> DataFrame:

@@ -114,17 +114,23 @@ def lag_across(
     order: Sequence[str],
     value: Column,
     out: str,
+    coarser: Column | None = None,
 ) -> DataFrame:
     """Previous row's ``value`` per key; the first row of a bucket looks into the
-    bucket before it."""
+    bucket before it. ``coarser`` (of the bucket, never decreasing) puts a second
+    level above the buckets, so that no task sees all buckets of a key."""
     on = [*keys, bucket]
     src = df.withColumn("__v", F.struct(value.alias("v")))
     w = Window.partitionBy(*on).orderBy(*order)
     local = src.withColumn("__loc", F.lag("__v").over(w))
     tail = src.groupBy(*on).agg(F.max_by("__v", F.struct(*order)).alias("__tail"))
-    state = tail.select(
-        *on, F.lag("__tail").over(Window.partitionBy(*keys).orderBy(bucket)).alias("__prev")
-    )
+    if coarser is None:
+        state = tail.select(
+            *on, F.lag("__tail").over(Window.partitionBy(*keys).orderBy(bucket)).alias("__prev")
+        )
+    else:
+        wide = tail.withColumn("__wide", coarser)
+        state = lag_across(wide, keys, "__wide", [bucket], F.col("__tail"), "__back").select(*on, F.col("__back").alias("__prev"))
     return (
         _join_bucket(local, state, on)
         .withColumn(out, F.coalesce("__loc", "__prev")["v"])

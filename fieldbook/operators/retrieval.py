@@ -27,8 +27,9 @@ def word_chunks(docs: DataFrame, size: int = 224, overlap: int = 56) -> DataFram
     starts = F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0)), F.lit(step))
     # A start inside the previous chunk's tail adds nothing once the end is reached.
     useful = F.filter(starts, lambda i: (i == 0) | (i + over < F.col("n")))
-    c = w.select("doc_id", "page", "w", F.posexplode(useful).alias("chunk_no", "s"))
-    body = F.slice("w", F.col("s") + 1, words)
+    # Slices are made inside the row, so a chunk row carries its own words only.
+    c = w.select("doc_id", "page", F.posexplode(F.transform(useful, lambda i: F.slice("w", i + 1, words))).alias("chunk_no", "body"))
+    body = F.col("body")
     return c.select(
         "doc_id", "page", "chunk_no", F.format_string("p%04d_%03d", "page", "chunk_no").alias("chunk_id"),
         F.array_join(body, " ").alias("chunk_text"), F.size(body).alias("word_count"),

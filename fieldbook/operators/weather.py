@@ -13,19 +13,21 @@ WEATHER_MENTION = r"(?i)sea state|weather|wind|wave|swell|crane.*rest|unable.*ve
 
 
 def derived(weather: DataFrame) -> DataFrame:
-    """Derived indicators and day-on-day deltas (one row per day)."""
-    w = Window.orderBy("report_date")
+    """Derived indicators and day-on-day deltas (one row per day); the day before comes from the month's rows or
+    the month before."""
     c = F.col
+    cols = weather.columns
+    weather = ordered.lag_across(weather.withColumn("__m", F.trunc("report_date", "MM")), [], "__m", ["report_date"], F.struct("wind_speed_kn", "wave_height_ft"), "__day")
     b = wx.beaufort(c("wind_speed_kn"))
     return weather.select(
-        "*",
+        *cols,
         wx.wind_cardinal(c("wind_direction_deg")).alias("wind_cardinal"),
         b["number"].alias("beaufort_num"), b["label"].alias("beaufort_label"),
         wx.head_to_wind(c("vessel_heading_deg"), c("wind_direction_deg")).alias("head_to_wind_angle"),
         wx.wave_steepness(c("wave_height_ft"), c("wave_period_s")).alias("wave_steepness"),
         F.bround(c("swell_height_ft") / F.nullif(c("wave_height_ft"), F.lit(0.0)), 3).alias("swell_dominance"),
-        F.bround(c("wind_speed_kn") - F.lag("wind_speed_kn").over(w), 1).alias("wind_delta_kn"),
-        F.bround(c("wave_height_ft") - F.lag("wave_height_ft").over(w), 2).alias("wave_delta_ft"),
+        F.bround(c("wind_speed_kn") - c("__day.wind_speed_kn"), 1).alias("wind_delta_kn"),
+        F.bround(c("wave_height_ft") - c("__day.wave_height_ft"), 2).alias("wave_delta_ft"),
     )
 
 
