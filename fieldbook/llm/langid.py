@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -136,16 +137,24 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     counts = settle(taken.mapInArrow(_counts, "lang string, unit string, kind int, n long").groupBy("kind", "unit", "lang").agg(F.sum("n").alias("n")), "counts")
     totals = {(r.kind, r.lang): (r.n, r.units) for r in counts.groupBy("kind", "lang").agg(F.sum("n").alias("n"), F.count("*").alias("units")).collect()}
     units = counts.groupBy("kind", "unit").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by"))
-    words = units.where("kind = 0 AND all > 1").orderBy(F.desc("all"), "unit").limit(WORDS).collect()
-    pieces = units.where("kind > 0 AND all > 1").orderBy(F.desc("all"), "kind", "unit").limit(GRAMS).collect()
-    at = {lang: k for k, lang in enumerate(languages)}
-    table = np.zeros((len(words) + len(pieces), len(languages)))
+    words = units.where("kind = 0 AND all > 1").orderBy(F.desc("all"), "unit").limit(WORDS).select("unit", "kind", "by").toArrow()
+    pieces = units.where("kind > 0 AND all > 1").orderBy(F.desc("all"), "kind", "unit").limit(GRAMS).select("unit", "kind", "by").toArrow()
     scale = np.array([[(totals.get((kind, lang)) or (0, 1))[0] + SMOOTHING * (totals.get((kind, lang)) or (0, 1))[1] for lang in languages] for kind in range(max(ORDERS) + 1)])
-    for row, r in enumerate([*words, *pieces]):
-        for x in r.by:
-            table[row, at[x.lang]] = x.n
-        table[row] = np.log((table[row] + SMOOTHING) / np.maximum(scale[r.kind], 1.0))
-    return Model(languages, {r.unit: k for k, r in enumerate(words)}, {r.unit: len(words) + k for k, r in enumerate(pieces)}, table)
+    table = np.concatenate([_logs(part, languages, scale) for part in (words, pieces)])
+    first = words.num_rows
+    return Model(languages, {u: k for k, u in enumerate(words.column("unit").to_pylist())}, {u: first + k for k, u in enumerate(pieces.column("unit").to_pylist())}, table)
+
+
+def _logs(units: pa.Table, languages: list[str], scale: np.ndarray) -> np.ndarray:
+    """Log frequencies (units, languages) from the counts by language of each unit."""
+    table = np.zeros((units.num_rows, len(languages)))
+    by = units.column("by").combine_chunks()
+    if len(by):
+        row = np.repeat(np.arange(len(by)), by.value_lengths().to_numpy(zero_copy_only=False))
+        pairs = by.flatten()
+        lang = pc.index_in(pairs.field("lang"), value_set=pa.array(languages, pairs.field("lang").type))
+        table[row, lang.to_numpy(zero_copy_only=False)] = pairs.field("n").to_numpy(zero_copy_only=False)
+    return np.log((table + SMOOTHING) / np.maximum(scale[units.column("kind").to_numpy()], 1.0))
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> tuple[DataFrame, list[str]]:
