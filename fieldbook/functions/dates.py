@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 
 def report_date(text: Column) -> Column:
-    """ISO text is read as ISO; anything else day first."""
+    """ISO text is read as ISO; anything else day first, then month first and the other common forms."""
     t = F.trim(text.cast("string"))
     iso = t.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$")
     day_first = F.coalesce(
         F.try_to_date(t, "d/M/yyyy"), F.try_to_date(t, "d.M.yyyy"), F.try_to_date(t, "d-M-yyyy"),
         F.try_to_date(t, "d MMM yyyy"), F.try_to_date(t, "d MMMM yyyy"),
     )
-    return F.when(iso, F.try_to_date(t, "yyyy-M-d")).otherwise(day_first)
+    other = F.coalesce(*[F.try_to_date(t, f) for f in ("M/d/yyyy", "M-d-yyyy", "yyyy/M/d", "MMM d, yyyy", "MMMM d, yyyy", "yyyy-MM-dd HH:mm:ss")])
+    return F.when(iso, F.try_to_date(t, "yyyy-M-d")).otherwise(F.coalesce(day_first, other))
 
 
 def header_date(text: Column) -> Column:
