@@ -207,7 +207,8 @@ def passages(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> D
     the scan); those that occur before are there once more, with ``later``."""
     part = docs.select(F.monotonically_increasing_id().alias("row"), column(docs, text_col).cast("string").alias("text"))
     sparse = settle(part.mapInArrow(_sparse(length), "row long, gram long, at int"), "minimisers")
-    repeated = sparse.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # Written, so that both sides of the join are dealt anew and a very frequent gram can be split.
+    repeated = settle(sparse.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "repeated")
     kept = sparse.join(repeated, "gram").groupBy("row").agg(F.collect_list(F.struct("at", "gram")).alias("places"))
     suffixes = settle(part.join(kept, "row").mapInArrow(_suffixes(length), SUFFIX), "suffixes")
     out = None
