@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from fieldbook.llm.langid import letters
 
-from test_operators import SCHEMA, brute_components, brute_fingerprint, brute_hits, corpus
+from test_llm_operators import SCHEMA, brute_components, brute_fingerprint, brute_hits, corpus
 
 SF = "/root/testdata/sf0.001"
 
