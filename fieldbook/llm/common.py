@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from fieldbook.session import ensure_checkpoint_dir
 
 
+SLICE = 256
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared checkpoint folder and read it back.
 
@@ -42,9 +45,15 @@ def column(df: DataFrame, name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def texts(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
+def values(array: pa.Array) -> Iterator:
+    """Python values of a column, made for ``SLICE`` rows at a time: a batch of long texts is not copied as a whole."""
+    for at in range(0, len(array), SLICE):
+        yield from array.slice(at, SLICE).to_pylist()
+
+
+def texts(batch: pa.RecordBatch, name: str | int) -> Iterator[bytes | None]:
     """UTF-8 bytes of a string column."""
-    return batch.column(name).cast(pa.binary()).to_pylist()
+    return values(batch.column(name).cast(pa.binary()))
 
 
 def ascii_words(text: bytes | None) -> list[bytes]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldbook.llm.common import column, fresh, settle
+from fieldbook.llm.common import column, fresh, settle, texts, values
 
 WINDOW = 10
 #: Text of one automaton, in bytes: about 60 MB of Python objects in a task.
@@ -207,31 +207,35 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def find_spans(docs: DataFrame, items: DataFrame, text_col: str = "text", window: int = WINDOW, item_id: str = "item_id", item_text: str = "text", shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, list[str]]:
+def find_spans(docs: DataFrame, items: DataFrame, text_col: str = "text", window: int = WINDOW, item_id: str = "item_id", item_text: str = "text", shard_bytes: int = SHARD_BYTES, coverage: float | None = None) -> tuple[DataFrame, list[str]]:
     """``docs`` with three more columns, whose names come back with it: the number of words, the hit spans (in words,
-    merged) and the sorted ids of the items with occurring windows."""
+    merged) and the sorted ids of the items with occurring windows.
+
+    With ``coverage``, the last pass also acts on what was found: rows of which more is hit go, and hit spans are cut out
+    of the other texts."""
     names = fresh(docs, "n_words", "spans", "items")
     out = docs.withColumns({names[0]: F.lit(0).cast("long"), names[1]: F.array().cast(SPAN), names[2]: F.array().cast("array<string>")})
     schema = out.schema
     at = [schema.fieldNames().index(n) for n in names]
     text_at = docs.columns.index(text_col)
-    for k, part in enumerate(shards(items, item_id, item_text, shard_bytes)):
+    parts = shards(items, item_id, item_text, shard_bytes)
+    for k, part in enumerate(parts):
         rows = [(r.item, None if r.text is None else r.text.encode()) for r in part.collect()]
         shared = docs.sparkSession.sparkContext.broadcast(vars(Automaton([(item, words(text)) for item, text in rows], window)))
-        out = out.mapInArrow(_pass(shared, text_at, at), schema)
-        if k % PASSES == PASSES - 1:
+        out = out.mapInArrow(_pass(shared, text_at, at, coverage if k == len(parts) - 1 else None), schema)
+        if k % PASSES == PASSES - 1 and k < len(parts) - 1:
             out = settle(out, "spans")
     return out, names
 
 
-def _pass(shared: Broadcast, text_at: int, at: list[int]):
+def _pass(shared: Broadcast, text_at: int, at: list[int], coverage: float | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = Automaton.__new__(Automaton)
         vars(auto).update(shared.value)
         for batch in batches:
             n_words, spans, items = [], [], []
-            before = zip(batch.column(at[1]).to_pylist(), batch.column(at[2]).to_pylist(), strict=True)
-            for text, (old, ids) in zip(batch.column(text_at).cast(pa.binary()).to_pylist(), before, strict=True):
+            before = zip(values(batch.column(at[1])), values(batch.column(at[2])), strict=True)
+            for text, (old, ids) in zip(texts(batch, text_at), before, strict=True):
                 found = words(text)
                 new, hit = auto.scan(found)
                 n_words.append(len(found))
@@ -241,11 +245,24 @@ def _pass(shared: Broadcast, text_at: int, at: list[int]):
             columns[at[0]] = pa.array(n_words, pa.int64())
             columns[at[1]] = pa.array(spans, SPAN_ARROW)
             columns[at[2]] = pa.array(items, pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+            out = pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+            yield out if coverage is None else _acted(out, text_at, at, coverage)
 
     return run
 
 
+def _acted(batch: pa.RecordBatch, text_at: int, at: list[int], coverage: float) -> pa.RecordBatch:
+    """Without the rows of which more than ``coverage`` is hit, and with the hit spans of the others cut out."""
+    spans = [[(s["start"], s["end"]) for s in x] for x in values(batch.column(at[1]))]
+    hit = [sum(e - s for s, e in x) for x in spans]
+    keep = [h <= n * coverage for h, n in zip(hit, values(batch.column(at[0])), strict=True)]
+    if any(hit):
+        columns = list(batch.columns)
+        columns[text_at] = pa.array([cut_words(t, x) for t, x in zip(values(batch.column(text_at)), spans, strict=True)], pa.string())
+        batch = pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+    return batch.filter(pa.array(keep, pa.bool_()))
+
+
 def cut_words(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     """``text`` without the words of the spans (and what stands between them); a line break marks each cut."""
     if not text or not spans:
@@ -268,23 +285,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", win
 
     Clean documents pass unchanged. Columns stay as they are; ``n_chars``, if named, is set anew where the text changed.
     """
-    found, (n_words, spans, _) = find_spans(docs, items, text_col, window)
-    hit = F.aggregate(spans, F.lit(0), lambda n, s: n + s["end"] - s["start"])
-    kept = found.where((F.size(spans) == 0) | (hit <= F.col(n_words) * coverage))
-    text_at, span_at, schema = docs.columns.index(text_col), found.columns.index(spans), kept.schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = list(batch.columns)
-            each = zip(columns[text_at].to_pylist(), columns[span_at].to_pylist(), strict=True)
-            columns[text_at] = pa.array([cut_words(t, [(s["start"], s["end"]) for s in x]) for t, x in each], pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
-
-    cut = kept.mapInArrow(run, schema)
+    found, (n_words, spans, _) = find_spans(docs, items, text_col, window, coverage=coverage)
     if n_chars:
-        changed = F.when(F.size(spans) > 0, F.length(column(cut, text_col)).cast(docs.schema[n_chars].dataType)).otherwise(column(cut, n_chars))
-        cut = cut.withColumn(n_chars, changed)
-    return cut.select(*[column(cut, c) for c in docs.columns])
+        changed = F.when(F.size(spans) > 0, F.length(column(found, text_col)).cast(docs.schema[n_chars].dataType)).otherwise(column(found, n_chars))
+        found = found.withColumn(n_chars, changed)
+    return found.select(*[column(docs, c) for c in docs.columns])
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

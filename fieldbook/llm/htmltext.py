@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from fieldbook.llm.common import column
+from fieldbook.llm.common import column, values
 
 #: Lines in a window, and the characters in it at which a stretch begins and ends.
 LINES, SURGE, DIVE = 4, 80, 0
@@ -230,7 +230,7 @@ def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [main_text(page) for page in batch.column(len(keep)).to_pylist()]
+            found = [main_text(page) for page in values(batch.column(len(keep)))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())], names=schema.fieldNames())
 
     return part.mapInArrow(run, schema)

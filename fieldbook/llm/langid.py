@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldbook.llm.common import column, fresh, settle
+from fieldbook.llm.common import column, fresh, settle, values
 
 #: Documents of each language that the model is fitted on, on average.
 SAMPLE = 2000
@@ -108,7 +108,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, gram, kind, n): words (kind 0) and, of each distinct word of a batch, n-grams (kind: order)."""
     for batch in batches:
         by: dict[str, Counter[str]] = {}
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        for lang, text in zip(values(batch.column("lang")), values(batch.column("text")), strict=True):
             by.setdefault(lang, Counter()).update(letters(text))
         for lang, found in by.items():
             out = [(w, 0, k) for w, k in found.items()]
@@ -166,7 +166,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> tuple[Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted, cache = Model(**shared.value), {}
         for batch in batches:
-            found = [fitted.predict(t, cache) for t in batch.column(text_at).to_pylist()]
+            found = [fitted.predict(t, cache) for t in values(batch.column(text_at))]
             more = [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *names])
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldbook.llm.common import ascii_words, column, fresh, settle, texts
+from fieldbook.llm.common import ascii_words, column, fresh, settle, texts, values
 
 LENGTH, GRAM = 50, 8
 #: Words whose hashes a task keeps.
@@ -84,7 +84,7 @@ def _sparse(length: int):
         hashed = Words()
         for batch in batches:
             rows, grams, places = [], [], []
-            for row, text in zip(batch.column("row").to_pylist(), texts(batch, "text"), strict=True):
+            for row, text in zip(values(batch.column("row")), texts(batch, "text"), strict=True):
                 words = ascii_words(text)
                 if len(words) < length:
                     continue
@@ -109,7 +109,7 @@ def _suffixes(length: int):
         hashed = Words()
         for batch in batches:
             out: list[tuple] = []
-            for row, text, places in zip(batch.column("row").to_pylist(), texts(batch, "text"), batch.column("places").to_pylist(), strict=True):
+            for row, text, places in zip(values(batch.column("row")), texts(batch, "text"), values(batch.column("places")), strict=True):
                 h = hashed(ascii_words(text)) & np.uint64(0xFFFFFFFF)
                 ahead, back = h.astype(">u4").tobytes(), h[::-1].astype(">u4").tobytes()
                 n = len(h)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldbook.llm.common import column
+from fieldbook.llm.common import column, values
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern that belongs to the vocabulary (a fixed value).
@@ -179,7 +179,7 @@ def recount(docs: DataFrame, edits: Column, id_col: str = "doc_id", text_col: st
         counter = Counter(read_ranks(shared.value.split("\n")), pattern)
         for batch in batches:
             numbers, after = [], []
-            for text, own in zip(batch.column("text").to_pylist(), batch.column("edits").to_pylist(), strict=True):
+            for text, own in zip(values(batch.column("text")), values(batch.column("edits")), strict=True):
                 tree = Tree(counter, text or "")
                 before, encoded = tree.total, tree.encoded
                 own = [e for e in own or [] if e is not None]
