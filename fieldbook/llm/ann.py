@@ -3,16 +3,16 @@
 Vectors are scaled to length one, turned by a random rotation and kept in lists around centroids. A query probes its
 nearest lists. Inside a list, candidates are scanned in blocks of ``BLOCK`` columns: after d of D dimensions the scaled
 partial distance is an estimate of the whole one, and a candidate is abandoned when the estimate exceeds the k-th best
-distance so far by more than the test allows (factor 1 + EPSILON / sqrt(d)). What survives is scored exactly, as the cosine of the
-original vectors in double precision.
+distance so far by more than the test allows (factor 1 + EPSILON / sqrt(d)). What survives is scored exactly, as the
+cosine of the original vectors in double precision.
 
 The index is fitted on a bounded sample (``SAMPLE_BYTES`` of vectors): centroids by k-means, and the number of probed
-lists, the smallest that finds ``TARGET`` of the sample's true neighbours. Every row is indexed. Lists are cut into chunks and the queries of a
-list into blocks, so a task compares bounded tiles however large a list is; each tile reports its k best for each query.
+lists, the smallest that finds ``TARGET`` of the sample's true neighbours. Every row is indexed. Lists are cut into
+chunks and the queries of a list into blocks, so a task compares bounded tiles however large a list is; each tile reports its k best for each query.
 
 Edge cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
-part; ties go to the smaller id; repeated rows are candidates of their own (a query leaves out its own row only); null ids take
-no part; with fewer candidates than k all are returned; an empty table gives an empty result.
+part; ties go to the smaller id; repeated rows are candidates of their own (a query leaves out its own row only); null
+ids take no part; with fewer candidates than k all are returned; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fieldbook.session import ensure_checkpoint_dir
 
-
+#: Rows of a batch whose texts are Python values at one time.
 SLICE = 256
 
 

@@ -4,8 +4,8 @@ Markup is stripped to lines, one for each block element, in page order. Lines in
 text (scripts, styles, menus, page headers, footers, sidebars, notices, adverts, forms, reader comments, by tag, role,
 class or id) have length zero, and so has link text. Lengths are summed over sliding windows of ``LINES`` lines: where the
 sum rises over ``SURGE`` a stretch begins (with the heading before it), where the sum falls to ``DIVE`` it ends, and the
-longest stretch is the main text. Where the page names its article (``article``, ``main``), surge and dive points are that element's own
-first and last line, since short lines at its ends belong to it too.
+longest stretch is the main text. Where the page names its article (``article``, ``main``), surge and dive points are
+that element's own first and last line, since short lines at its ends belong to it too.
 
 Everything between the points is kept: character references decoded, white space inside a block one space, blocks joined
 by one space. Nothing is cut or capped.

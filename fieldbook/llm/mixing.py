@@ -10,8 +10,8 @@ Scale: running sums inside a source are built from three levels (256 buckets of
 third of all rows is never one task. The end of the mix comes from two histograms of finish times of bounded size;
 only the copies of one fine cell are put in a row. One row per source goes through one task for ranks and targets.
 
-Edge cases: a null text has size 0 and is never taken; a null source is a source of its own, last in order; null ids queue at one
-place; repeated rows are documents of their own; an empty table gives an empty result. Reruns agree.
+Edge cases: a null text has size 0 and is never taken; a null source is a source of its own, last in order; null ids
+queue at one place; repeated rows are documents of their own; an empty table gives an empty result. Reruns agree.
 """
 
 from __future__ import annotations

@@ -8,8 +8,8 @@ once more. Exact sizes of the ranges then place every row on the line of all byt
 stretch of that line. Copies of a text that is not heavy share one place, so they stay together; a heavy text is split
 only where a shard ends. The sample decides how the work is dealt, never the result.
 
-Edge cases: a null text has size 1 and is one group with all null texts; an empty text likewise has size 1, in a group of
-its own; null ids and repeated rows are rows like any other (slots of equal rows are dealt in any order); with
+Edge cases: a null text has size 1 and is one group with all null texts; an empty text likewise has size 1, in a group
+of its own; null ids and repeated rows are rows like any other (slots of equal rows are dealt in any order); with
 fewer texts than shards some shards are empty; an empty table gives an empty result.
 """
 

@@ -2,8 +2,8 @@
 
 Of each document's words, only the suffixes at minimiser positions are kept: in every window of ``LENGTH`` words the
 position of the smallest hash of ``GRAM`` consecutive words. The choice depends on the content alone, so two copies of a
-passage of ``LENGTH`` words keep at least one suffix at the same place in it. Suffixes whose first words occur once are dropped by a count;
-the others get their next and previous ``LENGTH`` words, are sorted over the cluster, and each is compared with its
+passage of ``LENGTH`` words keep at least one suffix at the same place in it. Suffixes whose first words occur once are
+dropped by a count; the others get their next and previous ``LENGTH`` words, are sorted over the cluster, and each is compared with its
 ``DEPTH`` neighbours on either side of the sorted order: the common words to the right and to the left, together at least ``LENGTH``, are a
 repeated passage. Longer passages come out as the union of what their suffixes find. A second sort, by the words to the
 left, finds what the first leaves between suffixes that share much to the right but little to the left.

@@ -8,8 +8,8 @@ reads the same text, so the rest stands. Leaf sums change and are carried up to
 
 Vocabulary files come from a path that is a parameter; each distinct pre-token is encoded once in a task and its count kept.
 
-Edge cases: a null text counts as empty, with 0 tokens; edits outside the text are moved to its ends; null or empty edit lists change
-nothing; very long texts have deeper trees; repeated rows are counted alike; an empty table gives an empty result.
+Edge cases: a null text counts as empty, with 0 tokens; edits outside the text are moved to its ends; null or empty edit
+lists change nothing; very long texts have deeper trees; repeated rows are counted alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -164,8 +164,8 @@ EDIT = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructF
 
 
 def recount(docs: DataFrame, edits: Column, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
-    """(id, n_tokens, n_edits, n_tokens_after, n_encoded, n_encoded_again, text): counts before and after each row's edits, in their
-    order (places count in the text as the edits before left it), the pre-tokens encoded at first and again, and the new text.
+    """(id, n_tokens, n_edits, n_tokens_after, n_encoded, n_encoded_again, text): counts before and after each row's edits
+    in their order (places count in the text as the edits before left it), pre-tokens encoded at first and again, new text.
 
     ``vocabulary`` is a rank file that the driver can read; its (fixed) size is what is broadcast.
     """
