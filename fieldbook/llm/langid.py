@@ -38,8 +38,8 @@ SMOOTHING = 0.5
 EVIDENCE = 10
 #: Words outside the vocabulary whose scores a task keeps.
 CACHE = 200_000
-#: A document is rejected under this score.
-LEAST_SCORE = 0.5
+#: A document is rejected under this score: its words say next to nothing about the language.
+LEAST_SCORE = 0.35
 
 _RUN = re.compile(r"[^\W\d_]+")
 
