@@ -186,18 +186,23 @@ def _neighbours(length: int, borders: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: dict[str, list] | None = None
+        head = seen = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             table = {c: batch.column(c).to_pylist() for c in ("row", "gram", "at", "right", "left")}
+            seen += batch.num_rows
             if last is not None:
                 table = {c: last[c] + table[c] for c in table}
             elif borders:
+                head = min(DEPTH, batch.num_rows)
                 yield _border({c: v[:DEPTH] for c, v in table.items()})
             yield _pairs(table, length)
             last = {c: v[-DEPTH:] for c, v in table.items()}
         if last is not None and borders:
-            yield _border(last)
+            # Of a task with few suffixes, those of its head are there already.
+            new = min(DEPTH, seen - head)
+            yield _border({c: v[len(v) - new :] for c, v in last.items()})
 
     return run
 
