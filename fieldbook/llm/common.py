@@ -8,7 +8,8 @@ from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldbook.session import ensure_checkpoint_dir
@@ -27,6 +28,26 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, name: str = "row") -> DataFrame:
+    """``docs`` with a long column ``name`` that numbers its rows by file and place in the file.
+
+    The number does not depend on how a scan is split, so scans that are planned anew (after a lost executor, say) agree.
+    ``docs`` is a Parquet table of which columns and rows may be left out; a frame that is not stored is written first.
+    One row for each input file is broadcast.
+    """
+    try:
+        meta = docs.metadataColumn("_metadata")
+        docs.select(meta["file_path"], meta["row_index"]).schema  # noqa: B018
+    except AnalysisException:
+        docs = settle(docs, "rows")
+        meta = docs.metadataColumn("_metadata")
+    path, at, file = fresh(docs, "path", "at", "file")
+    placed = docs.withColumns({path: meta["file_path"], at: meta["row_index"]})
+    files = placed.select(path).distinct().withColumn(file, F.row_number().over(Window.orderBy(path)).cast("long"))
+    placed = placed.join(F.broadcast(settle(files, "files")), path)
+    return placed.select(*[column(docs, c) for c in docs.columns if c != name], F.shiftleft(file, 40).bitwiseOR(F.col(at)).alias(name))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names made from ``names`` that ``df`` does not have (in any case)."""
     taken = {c.lower() for c in df.columns}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldbook.llm import ann, decontam, htmltext, langid, mixing, sharding, simhash, suffixes, tokencount, urlfilter
+from fieldbook.llm import ann, decontam, htmltext, langid, manifest, mixing, sharding, simhash, suffixes, tokencount, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeated_passages": suffixes.op1_repeated_passages,
@@ -19,10 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": sharding.op8_sharding,
     "op9_language_id": langid.op9_language_id,
     "op10_html_text": htmltext.op10_html_text,
+    "op11_merkle_manifest": manifest.op11_merkle_manifest,
 }
 
 SQL: dict[str, str] = {
     "op3_decontamination": decontam.OP3_SQL,
     "op6_url_filter": urlfilter.OP6_SQL,
     "op7_mixing": mixing.OP7_SQL,
+    "op11_merkle_manifest": manifest.OP11_SQL,
 }
