@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldbook.llm import ann, decontam, htmltext, langid, manifest, mixing, sharding, simhash, suffixes, tokencount, urlfilter
+from fieldbook.llm import ann, covertree, decontam, hardnegatives, htmltext, langid, manifest, mixing, sharding, simhash, suffixes, tokencount, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeated_passages": suffixes.op1_repeated_passages,
@@ -20,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": langid.op9_language_id,
     "op10_html_text": htmltext.op10_html_text,
     "op11_merkle_manifest": manifest.op11_merkle_manifest,
+    "op12_hard_negatives": hardnegatives.op12_hard_negatives,
+    "op13_embedding_neardup": covertree.op13_embedding_neardup,
 }
 
 SQL: dict[str, str] = {
@@ -27,4 +29,6 @@ SQL: dict[str, str] = {
     "op6_url_filter": urlfilter.OP6_SQL,
     "op7_mixing": mixing.OP7_SQL,
     "op11_merkle_manifest": manifest.OP11_SQL,
+    "op12_hard_negatives": hardnegatives.OP12_SQL,
+    "op13_embedding_neardup": covertree.OP13_SQL,
 }
