@@ -9,13 +9,15 @@ from uuid import uuid4
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldbook.session import ensure_checkpoint_dir
 
 #: Rows of a batch whose texts are Python values at one time.
 SLICE = 256
+#: Row sets of up to so many bytes are broadcast as bitmaps of 4 KB for each 32768 neighbouring rows.
+BITMAPS = 64 << 20
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
@@ -25,7 +27,21 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete settled frames after their last use; nothing that is still to be computed may read them."""
+    for df in frames:
+        remove(df.sparkSession, df.settled_at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def numbered(docs: DataFrame, name: str = "row") -> DataFrame:
@@ -48,6 +64,27 @@ def numbered(docs: DataFrame, name: str = "row") -> DataFrame:
     return placed.select(*[column(docs, c) for c in docs.columns if c != name], F.shiftleft(file, 40).bitwiseOR(F.col(at)).alias(name))
 
 
+def flagged(docs: DataFrame, row: str, chosen: DataFrame, name: str, limit: int = BITMAPS) -> DataFrame:
+    """``docs`` (numbered by ``row``) with a boolean column ``name``: whether the row is among ``chosen`` (column row).
+
+    The chosen rows are packed into bitmaps. Up to ``limit`` bytes of these are broadcast, so that the rows of ``docs`` stay
+    where they are; beyond that the rows are joined by their number.
+    """
+    packed = chosen.groupBy(F.bitmap_bucket_number("row").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("row")).alias("bits"))
+    bits = settle(packed, "bitmaps")
+    if bits.count() * 4096 > limit:
+        drop(bits)
+        hit = chosen.select(F.col("row").alias(row), F.lit(True).alias(name)).distinct()
+        return docs.join(hit, row, "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
+    bucket, map_ = fresh(docs, "bucket", "bits")
+    at = F.bitmap_bit_position(F.col(row))
+    byte = F.conv(F.hex(F.substring(F.col(map_), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.pmod(F.floor(byte / F.pow(F.lit(2), at % 8)), F.lit(2)) == 1, F.lit(False))
+    out = docs.withColumn(bucket, F.bitmap_bucket_number(F.col(row)))
+    out = out.join(F.broadcast(bits.select(F.col("bucket").alias(bucket), F.col("bits").alias(map_))), bucket, "left")
+    return out.select(*[column(docs, c) for c in docs.columns], hit.alias(name))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names made from ``names`` that ``df`` does not have (in any case)."""
     taken = {c.lower() for c in df.columns}
@@ -110,18 +147,24 @@ def components(links: DataFrame) -> DataFrame:
         while True:
             up = parent.select(F.col("a").alias("b"), F.col("b").alias("c"))
             jumped = settle(parent.join(up, "b", "left").select("a", F.coalesce("c", "b").alias("b"), F.col("c").isNotNull().alias("moved")), "parents")
-            parent = jumped.select("a", "b")
+            drop(parent)
+            parent = jumped
             if jumped.where("moved").isEmpty():
                 break
         to = parent.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        if found is None:
-            found = to
-        else:
-            moved = found.join(to.select(F.col("node").alias("root"), F.col("root").alias("above")), "root", "left")
+        before, found = found, to
+        if before is not None:
+            moved = before.join(to.select(F.col("node").alias("root"), F.col("root").alias("above")), "root", "left")
             found = settle(moved.select("node", F.coalesce("above", "root").alias("root")).unionByName(to), "roots")
-        left = left.join(to.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").withColumn("a", F.coalesce("ra", "a"))
-        left = left.join(to.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left").withColumn("b", F.coalesce("rb", "b"))
-        left = settle(left.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+        rest = left.join(to.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").withColumn("a", F.coalesce("ra", "a"))
+        rest = rest.join(to.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left").withColumn("b", F.coalesce("rb", "b"))
+        rest = settle(rest.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+        drop(left)
+        if before is not None:
+            drop(parent)
+        if hasattr(before, "settled_at"):
+            drop(before)
+        left = rest
     if found is None:
         return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return found

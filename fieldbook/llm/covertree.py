@@ -347,7 +347,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", label_col: str = "l
     sums = found.where("other IS NULL").groupBy("node").agg(F.sum("n").alias("links"))
     roots = components(found.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
     members = nodes.select("node", "n", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    best = members.groupBy("root").agg(F.min("first").alias("best"))
+    members = settle(members, "members")
+    # Written, so that both sides of the join are dealt anew and a hot component can be split.
+    best = settle(members.groupBy("root").agg(F.min("first").alias("best")), "best")
     classes = members.join(best, "root").join(sums, "node", "left")
     classes = classes.select("node", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.col("best.id").alias("component_id"))
     # Rows find their class by the vector; the classes of a hot vector are one row.

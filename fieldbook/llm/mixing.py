@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldbook.llm.common import column, fresh, settle
+from fieldbook.llm.common import column, drop, fresh, numbered, settle
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -47,15 +47,19 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float
     return by.select("queue", "source_size", share.alias("target"))
 
 
-def queued(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
-    """(row, id, queue, size, upto): words of the source in shuffled order up to and with each row."""
-    source = column(docs, source_col).cast("string")
-    key = F.md5(F.concat(F.lit(f"{SALT}:"), F.coalesce(column(docs, id_col).cast("string"), F.lit(""))))
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), column(docs, id_col).alias("id"), source.alias("source"),
-        F.coalesce(F.concat(F.lit("s"), source), F.lit("n")).alias("queue"), key.alias("key"),
-        F.coalesce(F.regexp_count(column(docs, text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-    )
+def _queue(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> list:
+    """Columns queue, key and size of a row: the source it waits in, its place there, its words."""
+    return [
+        F.coalesce(F.concat(F.lit("s"), column(docs, source_col).cast("string")), F.lit("n")),
+        F.md5(F.concat(F.lit(f"{SALT}:"), F.coalesce(column(docs, id_col).cast("string"), F.lit("")))),
+        F.coalesce(F.regexp_count(column(docs, text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long"),
+    ]
+
+
+def queued(docs: DataFrame, row: str, id_col: str, source_col: str, text_col: str) -> DataFrame:
+    """(row, id, source, queue, key, size, b1, b2) of each numbered row."""
+    queue, key, size = _queue(docs, id_col, source_col, text_col)
+    rows = docs.select(F.col(row).alias("row"), column(docs, id_col).alias("id"), column(docs, source_col).cast("string").alias("source"), queue.alias("queue"), key.alias("key"), size.alias("size"))
     return settle(rows.withColumns({"b1": F.substring("key", 1, 2), "b2": F.substring("key", 3, 2)}), "queued")
 
 
@@ -72,11 +76,17 @@ def running(rows: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, epochs: int = EPOCHS) -> DataFrame:
-    """(row, id, size, source_size, target, copies) of each row of ``docs`` (a stored table: row is its place in the scan)."""
-    rows = queued(docs, id_col, source_col, text_col)
-    share = settle(targets(rows, weights, budget, epochs), "targets")
-    rows = settle(running(rows).select("row", "id", "queue", "size", "upto").join(share, "queue"), "finish")
+    """(row, id, queue, key, size, source_size, target, copies) of each row of ``docs``."""
+    (row,) = fresh(docs, "row")
+    return _mix(numbered(docs, row), row, id_col, source_col, text_col, weights, budget, epochs)
+
+
+def _mix(docs: DataFrame, row: str, id_col: str, source_col: str, text_col: str, weights: tuple[int, ...], budget: float, epochs: int) -> DataFrame:
+    waiting = queued(docs, row, id_col, source_col, text_col)
+    share = settle(targets(waiting, weights, budget, epochs), "targets")
+    rows = settle(running(waiting).select("row", "id", "queue", "key", "size", "upto").join(share, "queue"), "finish")
     most = share.agg(F.sum("source_size")).first()[0]
+    drop(waiting, share)
     copies = rows.where("size > 0").withColumn("epoch", F.explode(F.array(*[F.lit(e) for e in range(epochs)])))
     copies = copies.select("queue", "size", ((F.col("epoch") * F.col("source_size") + F.col("upto")) / F.col("target")).alias("finish"))
     cut = _cut(copies, budget * (most or 0))
@@ -84,7 +94,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     for e in range(epochs):
         finish = (F.lit(e) * F.col("source_size") + F.col("upto")) / F.col("target")
         taken = taken + F.when(F.lit(True) if cut is None else (finish < cut[0]) | ((finish == cut[0]) & (F.col("queue") <= cut[1])), 1).otherwise(0)
-    return rows.select("row", "id", "size", "source_size", "target", F.when(F.col("size") > 0, taken).otherwise(0).alias("copies"))
+    return rows.select("row", "id", "queue", "key", "size", "source_size", "target", F.when(F.col("size") > 0, taken).otherwise(0).alias("copies"))
 
 
 def _cut(copies: DataFrame, budget: float) -> tuple[float, str] | None:
@@ -113,12 +123,23 @@ def _crossing(cells: list, spent: int, budget: float) -> tuple[int, int | None]:
     return spent, None
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken; columns unchanged. ``docs`` is a stored table."""
-    row, times, again = fresh(docs, "row", "copies", "copy")
-    found = mix(docs, id_col, source_col, text_col).where("copies > 0").select(F.col("row").alias(row), F.col("copies").alias(times))
-    out = docs.withColumn(row, F.monotonically_increasing_id()).join(found, row)
-    return out.withColumn(again, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[column(docs, c) for c in docs.columns])
+def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, epochs: int = EPOCHS) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken; columns unchanged.
+
+    In every source and epoch the mix takes the rows up to one place of the queue, so each source has one row of places
+    and the copies are told in the scan; texts stay where they are.
+    """
+    row, queue, key, size, times, again = fresh(docs, "row", "queue", "key", "size", "copies", "copy")
+    names, docs = docs.columns, numbered(docs, row)
+    place = F.struct("key", "id", "size", "row")
+    ends = [F.max(F.when(F.col("copies") > e, place)).alias(f"{times}{e}") for e in range(epochs)]
+    taken = _mix(docs, row, id_col, source_col, text_col, weights, budget, epochs)
+    last = settle(taken.where("copies > 0").groupBy(F.col("queue").alias(queue)).agg(*ends), "ends")
+    out = docs.withColumns(dict(zip((queue, key, size), _queue(docs, id_col, source_col, text_col), strict=True))).join(last, queue)
+    own = F.struct(F.col(key).alias("key"), column(docs, id_col).alias("id"), F.col(size).alias("size"), F.col(row).alias("row"))
+    copies = sum((F.when(own <= F.col(f"{times}{e}"), 1).otherwise(0) for e in range(epochs)), F.lit(0))
+    out = out.withColumn(times, copies).where((F.col(size) > 0) & (F.col(times) > 0))
+    return out.withColumn(again, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[column(docs, c) for c in names])
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

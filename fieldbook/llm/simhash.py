@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldbook.llm.common import ascii_words, column, components, fresh, pairs_of, settle, texts, union, whole_groups
+from fieldbook.llm.common import ascii_words, column, components, flagged, fresh, numbered, pairs_of, settle, texts, union, whole_groups
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Bits of the six blocks; RADIUS differing bits leave at least two blocks untouched.
@@ -53,9 +53,8 @@ def fingerprint(text: bytes | None, size: int = SHINGLE) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(row, id, fp) for each row of ``docs``; row numbers the rows of a stored table in scan order."""
-    part = docs.select(F.monotonically_increasing_id().alias("row"), column(docs, id_col).alias("id"), column(docs, text_col).cast("string").alias("text"))
+def fingerprints(part: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(row, id, fp) for each row of ``part`` (row, id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,7 +174,17 @@ def links(nodes: DataFrame, tile: int = TILE) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
     """(rows, groups): rows has (row, id, fp) of each row; groups maps each fp to (root, keep): the fingerprint that
     names its component, and the component's first row by (id, nulls last, row)."""
-    rows = settle(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    (row,) = fresh(docs, "row")
+    return _groups(parts(numbered(docs, row), row, id_col, text_col), shingle, tile)
+
+
+def parts(rows: DataFrame, row: str, id_col: str, text_col: str) -> DataFrame:
+    """(row, id, text) of numbered rows."""
+    return rows.select(F.col(row).alias("row"), column(rows, id_col).alias("id"), column(rows, text_col).cast("string").alias("text"))
+
+
+def _groups(part: DataFrame, shingle: int = SHINGLE, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+    rows = settle(fingerprints(part, shingle), "fingerprints")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
     nodes = settle(rows.groupBy("fp").agg(first), "nodes")
     found = components(links(nodes.select("fp"), tile))
@@ -188,14 +197,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component (the smallest id; of repeated ids the first row); columns unchanged.
-
-    ``docs`` must be a stored table, since its rows are recognised by their place in the scan.
-    """
-    rows, groups = near_duplicates(docs, id_col, text_col)
-    (row,) = fresh(docs, "row")
-    gone = rows.join(groups.select("fp", F.col("keep.row").alias("keep")), "fp").where("row <> keep").select(F.col("row").alias(row))
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(gone, row, "left_anti").select(*[column(docs, c) for c in docs.columns])
+    """``docs`` with one row of each component (the smallest id; of repeated ids the first row); columns unchanged."""
+    row, hit = fresh(docs, "row", "gone")
+    docs, names = numbered(docs, row), docs.columns
+    rows, groups = _groups(parts(docs, row, id_col, text_col))
+    gone = rows.join(groups.select("fp", F.col("keep.row").alias("keep")), "fp").where("row <> keep").select("row")
+    return flagged(docs, row, gone, hit).where(~F.col(hit)).select(*[column(docs, c) for c in names])
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

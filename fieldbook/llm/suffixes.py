@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldbook.llm.common import ascii_words, column, fresh, settle, texts, values
+from fieldbook.llm.common import ascii_words, column, fresh, numbered, settle, texts, values
 
 LENGTH, GRAM = 50, 8
 #: Words whose hashes a task keeps.
@@ -207,10 +207,9 @@ def _neighbours(length: int, borders: bool):
     return run
 
 
-def passages(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """(row, start, end, later): stretches of words, of at least ``length`` each, that occur elsewhere too (row: place in
-    the scan); those that occur before are there once more, with ``later``."""
-    part = docs.select(F.monotonically_increasing_id().alias("row"), column(docs, text_col).cast("string").alias("text"))
+def passages(part: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(row, start, end, later): stretches of words, of at least ``length`` each, of the texts of ``part`` (row, text) that
+    occur elsewhere too; those that occur before are there once more, with ``later``."""
     sparse = settle(part.mapInArrow(_sparse(length), "row long, gram long, at int"), "minimisers")
     # Written, so that both sides of the join are dealt anew and a very frequent gram can be split.
     repeated = settle(sparse.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "repeated")
@@ -244,13 +243,14 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """(id, n_words, n_repeated, spans) of each row of ``docs`` (a stored table): words, those inside repeated passages,
-    and the passages as spans of words."""
-    ids = docs.select(
-        F.monotonically_increasing_id().alias("row"), column(docs, id_col).alias("id"),
-        F.coalesce(F.regexp_count(column(docs, text_col).cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("n_words"),
-    )
-    out = ids.join(_by_row(passages(docs, text_col, length).where("NOT later")), "row", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
+    """(id, n_words, n_repeated, spans) of each row of ``docs``: words, those inside repeated passages, and the passages as
+    spans of words."""
+    (row,) = fresh(docs, "row")
+    text = column(docs, text_col).cast("string")
+    rows = numbered(docs, row)
+    ids = rows.select(F.col(row).alias("row"), column(docs, id_col).alias("id"), F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("n_words"))
+    found = passages(rows.select(F.col(row).alias("row"), text.alias("text")), length)
+    out = ids.join(_by_row(found.where("NOT later")), "row", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
     covered = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]).cast("long"))
     return out.select("id", "n_words", covered.alias("n_repeated"), "spans")
 
@@ -261,11 +261,13 @@ def _by_row(spans: DataFrame) -> DataFrame:
 
 
 def cut_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """``docs`` (a stored table) without passages that a neighbour in the suffix order has earlier; the first occurrence of
-    every passage stays. Columns are unchanged; a line break marks each cut."""
+    """``docs`` without passages that a neighbour in the suffix order has earlier; the first occurrence of every passage
+    stays. Columns are unchanged; a line break marks each cut."""
     row, spans = fresh(docs, "row", "spans")
-    found = _by_row(passages(docs, text_col, length).where("later")).select(F.col("row").alias(row), F.col("spans").alias(spans))
-    out = docs.withColumn(row, F.monotonically_increasing_id()).join(found, row, "left")
+    rows = numbered(docs, row)
+    found = passages(rows.select(F.col(row).alias("row"), column(docs, text_col).cast("string").alias("text")), length)
+    found = _by_row(found.where("later")).select(F.col("row").alias(row), F.col("spans").alias(spans))
+    out = rows.join(found, row, "left")
     at, span_at = out.columns.index(text_col), out.columns.index(spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from fieldbook.llm.langid import letters
 
-from test_llm_operators import SCHEMA, brute_components, brute_fingerprint, brute_hits, corpus
+from test_llm_operators import SCHEMA, brute_hits, corpus
+from test_near_copies import brute_firsts
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,11 +29,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     before, after = seen["language_id"]
     assert {r.doc_id for r in before if letters(r.text)} == {r.doc_id for r in after}
     before, after = seen["near_dedup"]
-    of = brute_components([brute_fingerprint(r.text) for r in before])
-    first = {}
-    for r, c in zip(before, of, strict=True):
-        first[c] = min(first.get(c, r.doc_id), r.doc_id)
-    assert sorted(first.values()) == sorted(r.doc_id for r in after)
+    assert brute_firsts([(r.doc_id, r.text) for r in before]) == sorted((r.doc_id is None, r.doc_id or 0) for r in after)
     before, after = seen["decontamination"]
     left = {r.doc_id: r.text for r in after}
     for r in before:
