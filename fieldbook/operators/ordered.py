@@ -12,10 +12,13 @@ bucket.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldbook.session import ensure_checkpoint_dir
+
 
 def once(df: DataFrame, **exprs: Column) -> DataFrame:
     """Add columns that are evaluated once per row.
@@ -27,6 +30,14 @@ def once(df: DataFrame, **exprs: Column) -> DataFrame:
     return df.select(*kept, F.inline(F.array(F.struct(*[e.alias(n) for n, e in exprs.items()]))))
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and read it back: what is joined with an aggregate of itself (as
+    every scan below does) is then computed once, and a lost executor costs no rerun of what stands before."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/stored-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _join_bucket(df: DataFrame, side: DataFrame, on: Sequence[str]) -> DataFrame:
     """Left join on null-safe keys without duplicating the key columns."""
     renamed = side.select(

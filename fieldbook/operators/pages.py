@@ -1,4 +1,4 @@
-"""Page cleaning, sections and page-range joins."""
+"""Page cleaning, sections, page labels and page-range joins."""
 
 from __future__ import annotations
 
@@ -107,3 +107,64 @@ def key_alignment(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     j = x.join(y, key, "full_outer")
     return j.agg(F.count_if(F.col("in_b").isNull()).alias("only_a"), F.count_if(F.col("in_a").isNull()).alias("only_b"),
                  F.count_if(F.col("in_a") & F.col("in_b")).alias("both"))
+
+
+def allowed_title(title: Column, allowed: Column, overlap: float = 0.6, sequence: float = 0.75) -> Column:
+    """K6: struct(ok, title, score) of the first allowed title that matches, else of the best one."""
+    scored = F.transform(allowed, lambda a: F.struct(text.title_match(title, a, overlap, sequence).alias("m"), a.alias("title")))
+    first = F.get(F.filter(scored, lambda s: s["m"]["ok"]), F.lit(0))
+    best = F.array_max(F.transform(scored, lambda s: s["m"]["score"]))
+    return F.struct(first.isNotNull().alias("ok"), first["title"].alias("title"), F.coalesce(first["m"]["score"], best, F.lit(0.0)).alias("score"))
+
+
+def page_labels(pages: DataFrame, cross_major: bool = False, width: int = 256) -> DataFrame:
+    """K6: part, section and subsection of every page, carried forward through its document.
+
+    ``pages``: doc_id, page, what was found on the page (part_found, section_found, subsection_found; null: nothing), what the
+    contents list says (prior_section, prior_subsection; null: nothing), whether the list is trusted (toc_active) and the
+    subsection titles it allows (allowed).
+
+    A trusted list sets the labels first; a section found on the page overrides it (only one that the list agrees with, but
+    for ``cross_major``) and clears the subsection; then a subsection found on the page sets the subsection, unless the
+    section holds notes only or the title is not among the allowed ones: a refused title falls back to the list.
+
+    Whether a title is refused depends on the carried section, never the other way round, so the state machine is three
+    two-level carries in sequence: part, section, and with the section known the subsection. No document is put in
+    order in one task."""
+    c, unknown = F.col, F.lit("Unknown")
+    active = F.coalesce(c("toc_active"), F.lit(False))
+    prior = lambda name: F.when(active & (c(name) != "Unknown"), c(name))
+    differs = lambda a, b: a.isNotNull() & b.isNotNull() & (text.title_norm(a) != text.title_norm(b))
+    rows = pages.withColumns({"__b": F.floor(c("page") / width), "__ps": prior("prior_section"), "__pu": prior("prior_subsection")})
+    other = differs(c("__ps"), c("section_found"))
+    checked = active & (F.size(F.coalesce("allowed", F.array().cast("array<string>"))) > 0) & ~text.is_numbered_heading(c("subsection_found"))
+    rows = ordered.once(
+        rows, __other=other, __taken=c("section_found").isNotNull() & (F.lit(cross_major) | ~other),
+        __match=F.when(c("subsection_found").isNotNull() & checked, allowed_title(c("subsection_found"), c("allowed"))))
+    title = F.when(c("__taken"), c("section_found")).otherwise(c("__ps"))
+    rows = ordered.once(ordered.once(rows, __title=title), __set=F.when(c("__title").isNotNull(), text.canonical_section(c("__title"))))
+    rows = ordered.stored(rows)
+    rows = ordered.carry_last(rows, ["doc_id"], "__b", ["page"], c("part_found"), "part")
+    rows = ordered.carry_last(rows, ["doc_id"], "__b", ["page"], c("__set"), "__section")
+
+    refused = F.coalesce(~c("__match.ok"), F.lit(False))
+    notes_only = (c("__section") == "FINANCIAL STATEMENTS") & text.note_subsection(c("subsection_found")).isNull()
+    accepted = c("subsection_found").isNotNull() & ~refused & ~F.coalesce(notes_only, F.lit(False))
+    rows = ordered.once(rows, rejected=refused, score=F.when(refused, c("__match.score")), __accepted=accepted, __chosen=F.coalesce(F.when(c("__match.ok"), c("__match.title")), c("subsection_found")))
+    title = F.when(c("__accepted"), c("__chosen")).when(c("subsection_found").isNotNull() & active, F.coalesce("__pu", unknown)).when(c("__taken"), unknown).otherwise(c("__pu"))
+    rows = ordered.once(ordered.once(rows, __title=title), __set=F.when(c("__title").isNotNull(), text.canonical_subsection(c("__title"))))
+    again = c("__accepted") & differs(c("__pu"), c("__chosen"))
+    rows = ordered.once(rows, overrides=F.when(c("__taken") & c("__other"), 1).otherwise(0) + F.when(again, 1).otherwise(0))
+    rows = ordered.carry_last(ordered.stored(rows), ["doc_id"], "__b", ["page"], c("__set"), "__subsection")
+    rows = ordered.once(rows, toc_prior_section=text.canonical_section(F.coalesce("__ps", unknown)))
+    rows = ordered.once(rows, toc_prior_subsection=text.canonical_subsection(F.coalesce("__pu", unknown)))
+    # What was set is canonical already.
+    return rows.select(
+        "doc_id", "page", F.coalesce("part", unknown).alias("part"), F.coalesce("__section", unknown).alias("section_title"), F.coalesce("__subsection", unknown).alias("subsection_title"),
+        "toc_prior_section", "toc_prior_subsection", "overrides", "rejected", "score")
+
+
+def label_diagnostics(labels: DataFrame) -> DataFrame:
+    """K6: pages that the contents list labels, overrides of it and refused subsections, by document."""
+    listed = (F.col("toc_prior_section") != "Unknown") | (F.col("toc_prior_subsection") != "Unknown")
+    return labels.groupBy("doc_id").agg(F.count_if(listed).alias("toc_coverage_pages"), F.sum("overrides").alias("toc_override_count"), F.count_if("rejected").alias("subsection_reject_count"))

@@ -137,6 +137,30 @@ SELECT l_orderkey AS doc_id, CAST(1 + l_orderkey % 4 AS INT) AS page, CAST(0 AS
   CASE WHEN l_linenumber % 4 = 0 THEN 'n/a' ELSE CAST(CAST(l_quantity AS BIGINT) AS STRING) || ',' || lpad(CAST(l_suppkey % 1000 AS STRING), 3, '0') END AS c3
 FROM lineitem"""
 
+# Cells of operation tables: two tables on each of three pages of a document, with titles, shift headers, column headers
+# in two layouts, continuation rows, totals and broken cells. Null row numbers never occur.
+VIEWS["opcells"] = """
+SELECT 'R' || CAST(CAST(floor(l_orderkey / 6) AS BIGINT) AS STRING) AS doc_id, CAST(1 + floor((l_orderkey % 6) / 2) AS INT) AS page, CAST(l_orderkey % 2 AS INT) AS table_no, CAST(row_no AS INT) AS row_no,
+  CASE WHEN kind = 'text' THEN st WHEN l_orderkey % 4 < 2 THEN st ELSE ph END AS c0, CASE WHEN l_orderkey % 4 < 2 THEN en ELSE st END AS c1,
+  CASE WHEN l_orderkey % 4 < 2 THEN du ELSE du END AS c2, CASE WHEN l_orderkey % 4 < 2 THEN ph ELSE en END AS c3,
+  CASE WHEN l_orderkey % 4 < 2 THEN oc ELSE ac END AS c4, CASE WHEN l_orderkey % 4 < 2 THEN ac ELSE oc END AS c5,
+  CASE WHEN l_orderkey % 4 < 2 THEN pt ELSE op END AS c6, CASE WHEN l_orderkey % 4 < 2 THEN op ELSE pt END AS c7
+FROM (
+  SELECT o_orderkey AS l_orderkey, 1 AS row_no, 'text' AS kind, 'Operation  Summary' AS st, '' AS en, '' AS du, '' AS ph, '' AS oc, '' AS ac, '' AS pt, '' AS op FROM orders WHERE o_orderkey % 5 = 0
+  UNION ALL SELECT o_orderkey, 2, 'text', CASE WHEN o_orderkey % 9 < 4 THEN '06:00-12:00' ELSE '18:00-00:00 night' END, NULL, '', '', '', '', '', '' FROM orders WHERE o_orderkey % 7 < 3
+  UNION ALL SELECT o_orderkey, 3, 'head', 'Start  Time', 'End Time', CASE WHEN o_orderkey % 2 = 0 THEN 'Dur (hr)' ELSE 'Dur(hr)' END, 'Phase', 'Op Code', 'Activity Code', 'P-T-X', CASE WHEN o_orderkey % 3 = 0 THEN 'Operation' ELSE 'Operation Details' END FROM orders WHERE o_orderkey % 11 <> 3
+  UNION ALL SELECT o_orderkey, 39, 'text', '12:00-18:00', '', '', '', '', '', '', '' FROM orders WHERE o_orderkey % 4 = 1
+  UNION ALL SELECT o_orderkey, 40, 'head', 'Start Time', 'End Time', 'Dur (hr)', 'Phase', 'Op Code', 'Activity Code', 'P-T-X', 'Operation' FROM orders WHERE o_orderkey % 8 = 1
+  UNION ALL SELECT l_orderkey, 10 * n + 1, 'row',
+    CASE (l_partkey + n) % 9 WHEN 0 THEN '' WHEN 1 THEN '24' WHEN 2 THEN 'Total Hrs' WHEN 4 THEN NULL WHEN 5 THEN 'it''s' ELSE CAST(l_suppkey % 24 AS STRING) || ':' || lpad(CAST(l_partkey % 60 AS STRING), 2, '0') END,
+    CASE WHEN (l_partkey + n) % 9 IN (0, 2, 4) THEN '' ELSE CAST(l_partkey % 24 AS STRING) || ':00' END,
+    CASE (l_partkey + n) % 9 WHEN 0 THEN '' WHEN 2 THEN '' WHEN 3 THEN 'x.5h' WHEN 4 THEN '' ELSE CAST(CAST(floor(l_quantity / 4) AS BIGINT) AS STRING) || '.5' END,
+    CASE WHEN (l_partkey + n) % 9 IN (0, 4) THEN '' ELSE 'Phase ' || l_returnflag END, CASE WHEN l_partkey % 9 = 8 THEN NULL WHEN (l_partkey + n) % 9 = 0 THEN '' ELSE 'Drilling' END, CASE WHEN (l_partkey + n) % 9 = 0 THEN 'cont' ELSE 'RIH' END,
+    CASE WHEN (l_partkey + n) % 9 = 0 THEN NULL WHEN l_suppkey % 3 = 0 THEN 't' ELSE 'P' END,
+    CASE (l_partkey + n) % 9 WHEN 4 THEN '' WHEN 0 THEN 'and went on ' || CAST(l_suppkey AS STRING) ELSE 'Worked  item ' || CAST(l_partkey AS STRING) || ' for ' || CAST(l_suppkey AS STRING) END
+  FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS n FROM lineitem) l
+) r"""
+
 # Fixed-size word chunks come from operators; questions from the benchmark.
 VIEWS["questions"] = """
 SELECT item_id AS query_id, text AS question FROM benchmark"""
