@@ -170,3 +170,27 @@ def top_n_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: in
     before the shuffle as well as after it."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(out, F.row_number().over(w)).filter(F.col(out) <= n)
+
+
+def state_scan(blocks: DataFrame, keys: Sequence[str], block: str, maps: str, start: int = 0, fan: int = 256) -> DataFrame:
+    """State on entry to each block of each key, in a column ``entry``.
+
+    ``maps`` (an array) says which state a block leaves for each state it is entered with. Maps are composed over ``fan``
+    neighbouring blocks, these again, and so on, until one is left for each key; the entries are handed down on the way back.
+    A group holds ``fan`` maps at most, whatever the number of blocks."""
+    levels = [blocks.select(*keys, F.col(block).cast("long").alias("__b"), F.col(maps).alias("__m"))]
+    top = levels[0].agg(F.max("__b")).first()[0] or 0
+    gather = F.sort_array(F.collect_list(F.struct("__b", "__m"))).alias("__all")
+    while top > 0:
+        wide = levels[-1].withColumn("__w", F.floor(F.col("__b") / fan).cast("long")).groupBy(*keys, "__w").agg(gather)
+        after = F.aggregate("__all", F.sequence(F.lit(0), F.size(F.col("__all")[0]["__m"]) - 1), lambda s, x: F.transform(s, lambda k: F.get(x["__m"], k)))
+        levels.append(stored(wide.select(*keys, F.col("__w").alias("__b"), after.alias("__m"), "__all")))
+        top //= fan
+    state = levels[-1].select(*keys, "__b", F.lit(start).alias("entry"))
+    for level in reversed(levels[1:]):
+        above = _join_bucket(level.select(*keys, "__b", "__all"), state, [*keys, "__b"])
+        into = F.aggregate(
+            "__all", F.struct(F.col("entry").alias("s"), F.array().cast("array<struct<b:bigint,entry:int>>").alias("out")),
+            lambda a, x: F.struct(F.get(x["__m"], a["s"]).alias("s"), F.concat(a["out"], F.array(F.struct(x["__b"].alias("b"), a["s"].alias("entry")))).alias("out")))["out"]
+        state = above.select(*keys, F.inline(into)).withColumnRenamed("b", "__b")
+    return _join_bucket(blocks, state.withColumnRenamed("__b", block), [*keys, block])

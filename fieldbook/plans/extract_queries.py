@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fieldbook.operators import contents as ct
 from fieldbook.operators import extract as ex
+from fieldbook.operators import packing as pk
 from fieldbook.operators import pages as pg
 from fieldbook.plans.registry import query
-from fieldbook.plans.views import view
+from fieldbook.plans.views import table, view
 
 
 def _cells(s, d):
@@ -92,3 +94,98 @@ def _(s, d):
   count(*) FILTER (rejected) AS subsection_reject_count FROM ({_LABELS}) GROUP BY doc_id""")
 def _(s, d):
     return pg.label_diagnostics(_page_labels(s, d))
+
+
+# Documents as table rows: two hundred to a table; a row's words, facts and category by rule.
+_PACK = """SELECT CAST(floor(doc_id / 200) AS BIGINT) AS table_id, doc_id % 200 AS idx, CAST(12 + floor(doc_id / 200) AS INT) AS head, CAST(1 + n_chars % 97 + CASE WHEN doc_id % 31 = 0 THEN 400 ELSE 0 END AS INT) AS words,
+  CAST(doc_id % 5 AS INT) AS n_facts, CASE WHEN lang = 'en' AND doc_id % 3 > 0 THEN 'General' ELSE 'group ' || lang END AS category, CASE WHEN lang = 'en' AND doc_id % 3 > 0 THEN 0 ELSE 3 END AS shown FROM documents"""
+_WORDS = "CASE WHEN len({c}) = 1 THEN 4 WHEN len({c}) > 1 THEN 2 + 3 * least(len({c}), 4) ELSE 0 END"
+_FACTS = "CASE WHEN {f} > 0 THEN 1 + 4 * least({f}, 24) ELSE 0 END"
+
+
+def _rows(s, d):
+    table(s, d, "documents").createOrReplaceTempView("documents")
+    rows = s.sql(_PACK)
+    return rows.withColumn("facts", F.when(F.col("n_facts") > 0, F.array_repeat(F.lit(4), F.col("n_facts"))).otherwise(F.array().cast("array<int>")))
+
+
+def _groups(kind: str, extend: str, first: str, next_: str) -> str:
+    return f"""WITH RECURSIVE p AS ({_PACK}), g AS ({first} FROM p WHERE idx = 0 UNION ALL SELECT {next_} FROM (SELECT p.*, g.table_id AS t, g.start AS s0, g.n AS n0, g.a AS a0, g.f AS f0, g.sh AS sh0, g.c AS c0,
+  CASE WHEN p.category <> 'General' AND NOT list_contains(g.c, p.category) THEN list_append(g.c, p.category) ELSE g.c END AS c1 FROM g JOIN p ON p.table_id = g.table_id AND p.idx = g.idx + 1) x, LATERAL (SELECT {extend} AS more) y)
+SELECT table_id, start AS row_start_idx, max(idx) AS row_end_idx, CAST(count(*) AS INTEGER) AS n_rows FROM g GROUP BY table_id, start"""
+
+
+_OWN = "CASE WHEN category = 'General' THEN [] ELSE [category] END"
+_TOTAL = f"head + a0 + words + CASE WHEN len(c1) > 1 THEN sh0 + shown ELSE 0 END + {_WORDS.format(c='c1')} + {_FACTS.format(f='(f0 + n_facts)')}"
+
+
+@query("table_row_blocks", "L12", _groups(
+    "rows", f"n0 < 10 AND {_TOTAL} <= 320", f"SELECT table_id, idx, idx AS start, 1 AS n, words AS a, n_facts AS f, shown AS sh, {_OWN} AS c",
+    f"t, idx, CASE WHEN more THEN s0 ELSE idx END, CASE WHEN more THEN n0 + 1 ELSE 1 END, CASE WHEN more THEN a0 ELSE 0 END + words, CASE WHEN more THEN f0 ELSE 0 END + n_facts, CASE WHEN more THEN sh0 ELSE 0 END + shown, CASE WHEN more THEN c1 ELSE {_OWN} END"))
+def _(s, d):
+    return pk.row_blocks(_rows(s, d), ["table_id"], block=32)
+
+
+@query("table_budget_blocks", "L13", _groups(
+    "tokens", "head + a0 + words <= 224", "SELECT table_id, idx, idx AS start, 1 AS n, words AS a, 0 AS f, 0 AS sh, ['x'] AS c",
+    "t, idx, CASE WHEN more THEN s0 ELSE idx END, 1, CASE WHEN more THEN a0 ELSE 0 END + words, 0, 0, c0"))
+def _(s, d):
+    return pk.budget_blocks(_rows(s, d).withColumnRenamed("words", "tokens"), ["table_id"], 224)
+
+
+# Every document is a page of a book of fifty, whose contents list names its pages' first words and a printed number that
+# is off by two (by five in every third book, by a page of its own for every seventh entry).
+_BOOK = """SELECT 'B' || CAST(CAST(floor(doc_id / 50) AS BIGINT) AS STRING) AS doc_id, CAST(1 + doc_id % 50 AS INT) AS page, doc_id AS rec_id, text AS clean_text FROM documents"""
+_ITEMS = """SELECT doc_id, lower(array_to_string(list_slice(regexp_extract_all(clean_text, '[A-Za-z]+'), 1, CAST(1 + rec_id % 9 AS INT)), ' ')) AS title_norm,
+  CAST(page - CASE WHEN rec_id % 7 = 0 THEN page WHEN CAST(floor(rec_id / 50) AS BIGINT) % 3 = 0 THEN 5 ELSE 2 END AS INT) AS start_printed_page FROM bk WHERE page > 2"""
+_TOKENS = "list_filter(regexp_extract_all(title_norm, '[a-z0-9]+'), lambda w: length(w) >= 3)"
+
+
+@query("page_offset", "K4", f"""WITH bk AS ({_BOOK}), it0 AS ({_ITEMS}), it1 AS (SELECT *, {_TOKENS} AS a, list_filter({_TOKENS}, lambda w: w NOT IN ('the', 'and', 'for', 'year', 'to', 'of', 'report', 'statement', 'accounts')) AS b FROM it0),
+it AS (SELECT * EXCLUDE (a, b), CASE WHEN len(b) > 0 THEN b ELSE a END AS toks FROM it1),
+pk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY len(toks) >= 2 DESC, length(title_norm) DESC, start_printed_page DESC, title_norm) AS r, bool_or(len(toks) >= 2) OVER (PARTITION BY doc_id) AS any_ FROM it QUALIFY r <= 5),
+pg AS (SELECT doc_id, page, trim(regexp_replace(regexp_replace(replace(translate(lower(trim(regexp_replace(clean_text, '\\s+', ' ', 'g'))), '’`', ''''''), '&', ' and '), '[^a-z0-9\\s.'']', ' ', 'g'), '\\s+', ' ', 'g')) AS norm FROM bk WHERE page > 2),
+v AS (SELECT pk.doc_id, r, page, page - start_printed_page AS off, len(list_filter(toks, lambda t: contains(norm, t))) AS hit, len(toks) AS n FROM pk JOIN pg USING (doc_id) WHERE (len(toks) >= 2 OR NOT any_) AND start_printed_page > 0 AND len(toks) > 0),
+w AS (SELECT * FROM v WHERE hit >= least(2, n) AND hit / n >= 0.34 QUALIFY row_number() OVER (PARTITION BY doc_id, r ORDER BY hit / n DESC, page) = 1),
+x AS (SELECT doc_id, off, count(*) AS k, min(r) AS f FROM w GROUP BY ALL), y AS (SELECT doc_id, off, k, sum(k) OVER (PARTITION BY doc_id) AS t FROM x QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k DESC, f) = 1),
+z AS (SELECT doc_id, count(*) AS m FROM it GROUP BY 1)
+SELECT doc_id, coalesce(off, 0)::INTEGER AS "offset", round(CASE WHEN t IS NULL THEN 0.15 ELSE 0.5 * k / t + 0.5 * least(1.0, m / 12) END, 6) AS confidence, coalesce(k, 0) AS support_count FROM z LEFT JOIN y USING (doc_id)""")
+def _(s, d):
+    table(s, d, "documents").createOrReplaceTempView("documents")
+    s.sql(_BOOK).createOrReplaceTempView("bk")
+    words = F.regexp_extract_all("clean_text", F.lit("[A-Za-z]+"), F.lit(0))
+    off = F.when(F.col("rec_id") % 7 == 0, F.col("page")).when(F.floor(F.col("rec_id") / 50) % 3 == 0, 5).otherwise(2)
+    items = s.table("bk").filter("page > 2").select(
+        "doc_id", F.lower(F.array_join(F.slice(words, 1, (1 + F.col("rec_id") % 9).cast("int")), " ")).alias("title_norm"), (F.col("page") - off).cast("int").alias("start_printed_page"))
+    out = ct.page_offset(items, s.table("bk"), s.table("bk").filter("page <= 2").select("doc_id", "page"))
+    return out.withColumn("confidence", F.round("confidence", 6))
+
+
+# Lines of contents pages, twenty-five documents to a page and two pages to a book, in every form that an entry may take.
+_TOCLINES = """SELECT 'B' || CAST(CAST(floor(doc_id / 50) AS BIGINT) AS STRING) AS doc_id, CAST(1 + floor((doc_id % 50) / 25) AS INT) AS page, CAST(doc_id % 25 AS INT) AS line_no,
+  CASE (doc_id * 5 + CAST(floor(doc_id / 12) AS BIGINT)) % 12 WHEN 0 THEN 'Item of ' || source || ' ..... ' || CAST(1 + doc_id % 60 AS STRING) WHEN 1 THEN 'Wrapped title ' || lang WHEN 2 THEN CAST(1 + doc_id % 60 AS STRING)
+    WHEN 3 THEN 'MAJOR BAND ' || upper(source) WHEN 4 THEN 'Plain item ' || lang || ' ' || CAST(2 + doc_id % 50 AS STRING) WHEN 5 THEN 'a) lettered ' || lang WHEN 6 THEN 'more of it' WHEN 7 THEN 'Performance  Report'
+    WHEN 8 THEN 'Page' WHEN 9 THEN 'note: see ' || source WHEN 10 THEN 'single' ELSE 'year of ' || lang || ' 9999' END AS text FROM documents"""
+_LEVEL = """CASE WHEN regexp_matches({t}, '(?i)^(?:i|ii|iii|iv|v|vi|vii|viii|ix|x)[.)]\\s+.+$') THEN 3 WHEN regexp_matches({t}, '(?i)^[a-z][.)]\\s+.+$') THEN 2 WHEN contains(lower({t}), 'performance report') THEN 1
+  WHEN length(regexp_replace({t}, '[^A-Z]', '', 'g')) >= 0.75 * length(regexp_replace({t}, '[^A-Za-z]', '', 'g')) AND length(regexp_replace({t}, '[^A-Za-z]', '', 'g')) > 0 THEN 1 ELSE 2 END"""
+
+
+@query("contents_items", "K3 K2", f"""WITH RECURSIVE tl AS ({_TOCLINES}), l0 AS (SELECT doc_id, page, line_no, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM tl),
+l1 AS (SELECT *, CASE WHEN regexp_matches(t, '^\\d+$') THEN 'number' WHEN regexp_matches(t, '^.+ \\d{{1,3}}$') THEN 'entry' WHEN regexp_matches(t, '\\b\\d{{1,4}}$') OR NOT contains(t, ' ') OR starts_with(t, 'note:') THEN 'skip' ELSE 'text' END AS kind,
+  trim(regexp_replace(regexp_replace(t, ' \\d{{1,3}}$', ''), ' \\.+$', '')) AS ti, TRY_CAST(regexp_extract(t, '(\\d+)$', 1) AS INTEGER) AS pg FROM l0),
+l AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, line_no) AS i FROM l1 WHERE kind <> 'skip'),
+g AS (SELECT doc_id, 0::BIGINT AS i, '' AS carry, 0 AS page, NULL::VARCHAR AS et, NULL::INTEGER AS ep, NULL::INTEGER AS el FROM (SELECT DISTINCT doc_id FROM l)
+  UNION ALL SELECT x.doc_id, x.i, CASE WHEN kind <> 'text' THEN '' WHEN cut THEN ti ELSE trim(carry || ' ' || ti) END, x.page,
+    CASE WHEN kind = 'text' AND cut THEN carry WHEN kind = 'number' AND carry <> '' THEN carry WHEN kind = 'entry' THEN trim(carry || ' ' || ti) END, CASE WHEN kind <> 'text' THEN pg END,
+    CASE WHEN carry <> '' THEN {_LEVEL.format(t="carry")} ELSE {_LEVEL.format(t="ti")} END
+  FROM (SELECT l.*, g.carry, carry <> '' AND {_LEVEL.format(t="ti")} = 1 AND {_LEVEL.format(t="carry")} >= 2 AS cut FROM g JOIN l ON l.doc_id = g.doc_id AND l.i = g.i + 1) x),
+e AS (SELECT doc_id, i, page, et, ep, el FROM g WHERE et IS NOT NULL UNION ALL
+  SELECT doc_id, i + 1, 2, carry, NULL, 1 FROM g WHERE carry <> '' AND {_LEVEL.format(t="carry")} = 1 QUALIFY i = max(i) OVER (PARTITION BY doc_id) AND i = (SELECT max(i) FROM l WHERE l.doc_id = g.doc_id)),
+f AS (SELECT doc_id, page AS toc_page, i, et AS title_raw, trim(regexp_replace(regexp_replace(lower(et), '[^a-z0-9\\s.'']', ' ', 'g'), '\\s+', ' ', 'g')) AS title_norm, el AS level,
+  coalesce(ep, first_value(ep IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), last_value(ep IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS start_printed_page FROM e)
+SELECT doc_id, toc_page, start_printed_page, title_raw, title_norm, level FROM f WHERE start_printed_page > 0 QUALIFY row_number() OVER (PARTITION BY doc_id, title_norm, start_printed_page ORDER BY i) = 1""")
+def _(s, d):
+    table(s, d, "documents").createOrReplaceTempView("documents")
+    lines = s.sql(_TOCLINES)
+    pages = lines.groupBy("doc_id", "page").agg(F.lit("no numbers here").alias("clean_text"), F.lit(60).alias("n_pages"))
+    return ct.contents_items(lines, pages).drop("pos")

@@ -52,9 +52,9 @@ def _(s, d):
     return quality.spread_sample(view(s, d, "headers").select("doc_id", "report_date"), 25)
 
 
-@query("header_lookup", "D7", "WITH {ops}, {headers} SELECT seq, coalesce(rig_name, '') AS rig_name, coalesce(head_count, '') AS head_count FROM ops LEFT JOIN (SELECT * FROM headers WHERE report_type = 'Daily') h USING (doc_id)")
+@query("header_lookup", "D7", "WITH {ops}, {headers} SELECT seq, coalesce(rig_name, '') AS rig_name, coalesce(head_count, '') AS head_count FROM ops LEFT JOIN headers h USING (doc_id)")
 def _(s, d):
-    h = view(s, d, "headers").filter("report_type = 'Daily'")
+    h = view(s, d, "headers")
     return quality.header_lookup(view(s, d, "ops").select("seq", "doc_id"), h, ["rig_name", "head_count"]).select("seq", "rig_name", "head_count")
 
 
