@@ -8,6 +8,7 @@ from fieldbook.operators import contents as ct
 from fieldbook.operators import extract as ex
 from fieldbook.operators import packing as pk
 from fieldbook.operators import pages as pg
+from fieldbook.operators import regions as rg
 from fieldbook.plans.registry import query
 from fieldbook.plans.views import table, view
 
@@ -189,3 +190,38 @@ def _(s, d):
     lines = s.sql(_TOCLINES)
     pages = lines.groupBy("doc_id", "page").agg(F.lit("no numbers here").alias("clean_text"), F.lit(60).alias("n_pages"))
     return ct.contents_items(lines, pages).drop("pos")
+
+
+# Line items as printed lines: four orders to a page, heights and gaps by rule, some lines reaching down over the next.
+_SPOTS = """SELECT 'D' || CAST(CAST(floor(l_orderkey / 200) AS BIGINT) AS STRING) AS doc_id, CAST(floor((l_orderkey % 200) / 4) AS INT) AS page, CAST(n AS INT) AS line_no, 'line ' || CAST(l_partkey AS STRING) AS text,
+  CAST(l_suppkey % 9 AS DOUBLE) AS x0, CAST(100 + l_partkey % 50 AS DOUBLE) AS x1, CAST(n * 30 + l_partkey % 23 AS DOUBLE) AS y0, CAST(n * 30 + l_partkey % 23 + l_suppkey % 15 + CASE WHEN l_partkey % 11 = 0 THEN 60 ELSE 0 END AS DOUBLE) AS y1
+FROM (SELECT *, row_number() OVER (PARTITION BY floor(l_orderkey / 4) ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS n FROM lineitem) l"""
+
+
+@query("page_regions", "J12", f"""WITH RECURSIVE sp AS ({_SPOTS}), s AS (SELECT *, row_number() OVER w AS i, y0 - CASE WHEN lag(y1) OVER w = 0 THEN y0 ELSE lag(y1) OVER w END AS away FROM sp WINDOW w AS (PARTITION BY doc_id, page ORDER BY y0, x0, line_no)),
+m AS (SELECT doc_id, page, greatest(18, 1.8 * greatest(coalesce(median(y1 - y0) FILTER (y1 > y0), 10), 1)) AS gap FROM sp GROUP BY ALL),
+g0 AS (SELECT s.*, sum(CASE WHEN away > gap THEN 1 ELSE 0 END) OVER (PARTITION BY s.doc_id, s.page ORDER BY i) AS g FROM s JOIN m USING (doc_id, page)),
+g AS (SELECT doc_id, page, g, min(y0) AS top, max(y1) AS bottom, count(*) AS n FROM g0 GROUP BY ALL),
+r1 AS (SELECT doc_id, page, g, g AS j, bottom, n FROM g WHERE g = 0 UNION ALL SELECT g.doc_id, g.page, g.g, CASE WHEN g.n < 2 AND g.top - r1.bottom <= 10 THEN r1.j ELSE g.g END, CASE WHEN g.n < 2 AND g.top - r1.bottom <= 10 THEN greatest(r1.bottom, g.bottom) ELSE g.bottom END, g.n FROM r1 JOIN g ON g.doc_id = r1.doc_id AND g.page = r1.page AND g.g = r1.g + 1),
+j AS (SELECT doc_id, page, j, sum(n) AS n FROM r1 GROUP BY ALL), k AS (SELECT *, sum(CASE WHEN n >= 2 OR j = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY j) - 1 AS region_index FROM j),
+z AS (SELECT g0.*, k.region_index FROM g0 JOIN r1 USING (doc_id, page, g) JOIN k USING (doc_id, page, j))
+SELECT doc_id, page, CAST(region_index AS INTEGER) AS region_index, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, CAST(count(*) AS INTEGER) AS line_count, string_agg(text, chr(10) ORDER BY y0, x0, line_no) AS text,
+  format('p{{:04d}}_r{{:02d}}', page, CAST(region_index AS INTEGER)) AS region_id FROM z GROUP BY doc_id, page, region_index""".replace("{{", "{").replace("}}", "}"))
+def _(s, d):
+    table(s, d, "lineitem").createOrReplaceTempView("lineitem")
+    return rg.page_regions(s.sql(_SPOTS))
+
+
+# Chunks of a document's words that overlap by none, one, some and all tokens.
+@query("chunk_overlaps", "L20", """WITH w AS (SELECT doc_id, list_filter(string_split_regex(regexp_replace(text, '[^A-Za-z ]+', ' ', 'g'), ' +'), lambda x: x <> '') AS a FROM documents),
+c AS (SELECT doc_id, k, CASE WHEN k = 3 THEN list_slice(a, 30 + 1, 60) WHEN k = 4 THEN ['and'] ELSE list_slice(a, k * (20 - CAST(doc_id % 20 AS INT)) + 1, k * (20 - CAST(doc_id % 20 AS INT)) + 20) END AS t FROM w, (SELECT unnest(range(5)) AS k) WHERE len(a) > 0),
+n AS (SELECT *, CAST(len(t) AS INTEGER) AS token_count, lead(t) OVER (PARTITION BY doc_id ORDER BY k) AS nx FROM c),
+o AS (SELECT *, CAST(coalesce(list_max(list_filter(range(1, least(len(t), len(nx)) + 1), lambda q: list_slice(t, len(t) - q + 1, len(t)) = list_slice(nx, 1, q))), 0) AS INTEGER) AS overlap_next_tokens FROM n),
+p AS (SELECT *, coalesce(lag(overlap_next_tokens) OVER v, 0)::INTEGER AS overlap_prev_tokens, coalesce(sum(token_count - overlap_next_tokens) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS token_start FROM o WINDOW v AS (PARTITION BY doc_id ORDER BY k))
+SELECT doc_id, 1 AS page, 'c' || k AS chunk_id, token_count, overlap_prev_tokens, overlap_next_tokens, token_start, token_start + token_count AS token_end FROM p""")
+def _(s, d):
+    w = table(s, d, "documents").select("doc_id", F.filter(F.split(F.regexp_replace("text", "[^A-Za-z ]+", " "), " +"), lambda x: x != "").alias("a")).filter(F.size("a") > 0)
+    step = (20 - F.col("doc_id") % 20).cast("int")
+    cut = [F.slice("a", F.lit(k) * step + 1, 20) for k in range(3)] + [F.slice("a", 31, 30), F.array(F.lit("and"))]
+    c = w.select("doc_id", F.posexplode(F.array(*cut)).alias("k", "t"))
+    return rg.chunk_overlaps(c.select("doc_id", F.lit(1).alias("page"), F.concat(F.lit("c"), F.col("k").cast("string")).alias("chunk_id"), F.array_join("t", " ").alias("chunk_text")))
