@@ -9,6 +9,7 @@ from fieldbook.operators import extract as ex
 from fieldbook.operators import packing as pk
 from fieldbook.operators import pages as pg
 from fieldbook.operators import regions as rg
+from fieldbook.operators import sleeves as sv
 from fieldbook.plans.registry import query
 from fieldbook.plans.views import table, view
 
@@ -225,3 +226,37 @@ def _(s, d):
     cut = [F.slice("a", F.lit(k) * step + 1, 20) for k in range(3)] + [F.slice("a", 31, 30), F.array(F.lit("and"))]
     c = w.select("doc_id", F.posexplode(F.array(*cut)).alias("k", "t"))
     return rg.chunk_overlaps(c.select("doc_id", F.lit(1).alias("page"), F.concat(F.lit("c"), F.col("k").cast("string")).alias("chunk_id"), F.array_join("t", " ").alias("chunk_text")))
+
+
+# Line items as reports on sleeves: a well of eighteen, a few sentences to a sleeve.
+_SLEEVES = """SELECT 'W' || CAST(l_orderkey % 300 AS STRING) AS well_id, CAST(l_shipdate AS DATE) AS report_date, CAST(l_linenumber AS INT) AS page, l_orderkey * 100000 + l_partkey * 10 + l_linenumber AS seq, CASE (l_orderkey + l_linenumber * 5 + l_suppkey) % 16
+  WHEN 0 THEN 'Observed sleeve #' || n || ' open at ' || CAST(3 + l_suppkey % 3 AS STRING) || ',' || CAST(100 + l_partkey % 900 AS STRING) || ' psi' WHEN 1 THEN 'Breakover at ' || CAST(l_partkey AS STRING) || ' psi on Sleeve ' || n || ', ISIP of ' || CAST(1000 + l_suppkey AS STRING) || ' psi'
+  WHEN 2 THEN 'Injected ' || CAST(l_suppkey % 40 AS STRING) || '.5 bbls into sleeve ' || n || '; inject 3 bbl' WHEN 3 THEN 'Main frac at sleeve ' || n || ': 12,' || CAST(100 + l_partkey % 900 AS STRING) || ' lbs of 100 mesh, 900 lbs sand, 300 bbls linear gel'
+  WHEN 4 THEN 'Staged up rate to ' || CAST(10 + l_suppkey % 9 AS STRING) || '.5 bpm, 4,' || CAST(100 + l_partkey % 900 AS STRING) || ' psi, sleeve ' || n || ' and sleeve #7' WHEN 5 THEN 'No positive indication at sleeve ' || n WHEN 6 THEN 'Packer did not set at sleeve ' || n
+  WHEN 7 THEN 'Packer set, located into sleeve ' || n WHEN 8 THEN 'NCS confirmed sleeve open, sleeve ' || n WHEN 9 THEN 'sleeve 45 and sleeve 0 checked' WHEN 10 THEN '5,000 lbs proppant planned for sleeve ' || n WHEN 11 THEN 'unable to find sleeve ' || n || ', packer not sealing'
+  WHEN 12 THEN NULL ELSE 'Packer not set, sleeve ' || n END AS operation_text FROM (SELECT *, CAST(1 + l_partkey % 18 AS STRING) AS n FROM lineitem) l"""
+_NUM = lambda p, g=1: f"list_transform(regexp_extract_all(t, '(?i){p}', {g}), lambda x: CAST(replace(x, ',', '') AS DOUBLE))"
+
+
+@query("sleeve_status", "I17 I18", f"""WITH o AS ({_SLEEVES}), x AS (SELECT *, coalesce(operation_text, '') AS t FROM o),
+r AS (SELECT well_id, report_date, page, seq, unnest(list_distinct(list_filter(list_transform(regexp_extract_all(t, '(?i)sleeve\\s*#?\\s*(\\d+)', 1), lambda n: CAST(n AS INTEGER)), lambda n: n BETWEEN 1 AND 18))) AS sleeve_no,
+  {_NUM("sleeve #\\d+ open at ([0-9,]+) psi")}[1] AS op, regexp_matches(t, '(?i)open at|NCS confirmed') AS opens, {_NUM("breakover at ([0-9,]+) psi")}[1] AS bo, {_NUM("ISIP of ([0-9,]+) psi")}[1] AS isip,
+  list_sum({_NUM("inject(?:ed)? ([0-9.]+) bbl")}) AS vol, CASE WHEN contains(t, 'Main frac') THEN list_sum(list_filter({_NUM("([0-9,]+) lbs (?:of 100 mesh|sand)")}, lambda v: v > 1000)) END AS lbs, CASE WHEN contains(t, 'Main frac') THEN 300.0::DOUBLE END AS fl,
+  {_NUM("rate to ([0-9.]+) bpm")}[1] AS rate, {_NUM("bpm, ([0-9,]+) psi")}[1] AS treat, regexp_matches(t, 'Packer did not set|packer not sealing|Packer not set') AS fails, regexp_matches(t, 'No positive|unable to find') AS ns, regexp_matches(t, 'Packer set, located') AS loc FROM x),
+e AS (SELECT *, row_number() OVER (PARTITION BY well_id, sleeve_no ORDER BY report_date, page, seq) AS k FROM r),
+f AS (SELECT *, min(k) FILTER (opens) OVER w AS ko FROM e WINDOW w AS (PARTITION BY well_id, sleeve_no)),
+a AS (SELECT well_id, sleeve_no, bool_or(opens) AS opened, arg_min(CASE WHEN ns THEN 'NO INDICATION' ELSE 'LOCATED' END, k) FILTER (ns OR fails OR loc) AS other, min(op) AS open_psi, max(bo) AS breakover_psi, max(isip) AS isip_psi, max(treat) AS max_treat_psi, max(rate) AS max_rate_bpm,
+  sum(vol) AS vol_injected_bbl, sum(lbs) AS proppant_lbs_total, sum(fl) AS fluid_vol_bbl, min(report_date) AS fd, max(report_date) AS ld, arg_min(page, k) AS pg, count(*) FILTER (fails AND (ko IS NULL OR k < ko)) AS nf FROM f GROUP BY ALL),
+b AS (SELECT w.well_id, w.sleeve_no, a.* EXCLUDE (well_id, sleeve_no), coalesce(CASE WHEN opened THEN 'OPENED' ELSE other END, 'NOT FRACKED') AS s0, coalesce(proppant_lbs_total > 0, false) AS tr FROM (SELECT DISTINCT well_id, unnest(range(1, 19))::INTEGER AS sleeve_no FROM o) w LEFT JOIN a USING (well_id, sleeve_no)),
+c AS (SELECT *, CASE WHEN tr THEN 'OPENED' ELSE s0 END AS status FROM b),
+d AS (SELECT *, list_filter([CASE WHEN tr AND open_psi IS NULL THEN 'OPENED inferred from proppant injection only — no opening pressure in DDR text' END, CASE WHEN status = 'OPENED' AND open_psi IS NOT NULL AND NOT tr THEN 'Opening pressure recorded but no proppant volume extracted — check DDR for frac design' END,
+  CASE WHEN vol_injected_bbl > 20 AND status IN ('NO INDICATION', 'LOCATED') THEN 'Fluid injected (' || CAST(round_even(vol_injected_bbl, 0) AS BIGINT) || ' bbl) but sleeve not confirmed open' END,
+  CASE WHEN status = 'LOCATED' AND open_psi IS NULL AND vol_injected_bbl IS NULL THEN 'Packer located but no opening/failure outcome recorded — incomplete DDR coverage' END], lambda v: v IS NOT NULL) AS why FROM c)
+SELECT well_id, sleeve_no, status, open_psi, breakover_psi, isip_psi, max_treat_psi, max_rate_bpm, vol_injected_bbl, proppant_lbs_total, fluid_vol_bbl, strftime(fd, '%d/%m/%Y') AS first_date, strftime(ld, '%d/%m/%Y') AS last_date,
+  coalesce('DDR-' || CASE WHEN day(fd) % 5 = 0 THEN '?' ELSE CAST(day(fd) AS VARCHAR) END || ' · p.' || pg || ' · ' || fd, '') AS ddr_citation, array_to_string(list_concat(list_transform(range(coalesce(nf, 0)), lambda i: 'packer sealing issue'), CASE WHEN tr AND s0 <> 'OPENED' THEN ['proppant injected — sleeve confirmed open'] ELSE [] END), '; ') AS notes,
+  len(why) > 0 AS review_flag, array_to_string(why, ' | ') AS review_reason FROM d""")
+def _(s, d):
+    table(s, d, "lineitem").createOrReplaceTempView("lineitem")
+    ops = s.sql(_SLEEVES)
+    nos = ops.select("report_date").distinct().filter(F.dayofmonth("report_date") % 5 != 0).withColumn("report_no", F.dayofmonth("report_date"))
+    return sv.sleeve_status(sv.sleeve_folds(ops, nos), ops)
