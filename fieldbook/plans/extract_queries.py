@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fieldbook.operators import answers as an
 from fieldbook.operators import contents as ct
 from fieldbook.operators import extract as ex
 from fieldbook.operators import packing as pk
@@ -260,3 +261,49 @@ def _(s, d):
     ops = s.sql(_SLEEVES)
     nos = ops.select("report_date").distinct().filter(F.dayofmonth("report_date") % 5 != 0).withColumn("report_no", F.dayofmonth("report_date"))
     return sv.sleeve_status(sv.sleeve_folds(ops, nos), ops)
+
+
+# Orders as retrieved chunks of forty questions, sentences with figures of every kind.
+_ASKED = """SELECT q AS query_id, CASE q % 6 WHEN 0 THEN 'What was the budget deficit?' WHEN 1 THEN 'What percentage of posts were staff?' WHEN 2 THEN 'How many pages in the published report?' WHEN 3 THEN 'Total cash requirement for services' WHEN 4 THEN 'What did income amount to?' ELSE 'Spending difference on estates and fleet' END AS question
+FROM (SELECT DISTINCT o_orderkey % 40 AS q FROM orders) x"""
+_HITS = """SELECT o_orderkey % 40 AS query_id, o_orderkey AS chunk_id, CAST(1 + floor(o_orderkey / 40) % 20 AS INT) AS rank, o_custkey % 7 = 0 AS is_table, CASE CAST(floor(o_orderkey / 40) AS BIGINT) % 11
+  WHEN 0 THEN 'The budget variance was a deficit of £' || n || ' million against plan' WHEN 1 THEN 'Staff share rose to ' || n || '.5% of posts; was ' || m || ' percent' WHEN 2 THEN 'Total cash requirement £' || n || ',000 for services' WHEN 3 THEN 'Spending (£000) on estates ' || n || ' and fleet (' || m || ')'
+  WHEN 4 THEN 'Report published 2021 with ' || n || ' pages' WHEN 5 THEN 'Retained reserves: reported a surplus of £' || n || 'k, variance surplus' WHEN 6 THEN 'In 2019/20 the rate and 20/2021 no more; then ' || n WHEN 7 THEN '' WHEN 8 THEN 'Income ' || n || ' thousand, cost 1,234,567.80'
+  WHEN 9 THEN NULL ELSE 'core revenue resource underspend 12 bn; £000' END AS chunk_text FROM (SELECT *, CAST(o_custkey % 900 AS STRING) AS n, CAST(o_custkey % 90 AS STRING) AS m FROM orders) o"""
+_FIGURE = "(?i)(?:£\\s*)?(?:\\(\\s*)?[-+]?\\d[\\d,]*(?:\\.\\d+)?(?:\\s*\\))?(?:\\s*(?:\\((?:£)?000\\)|%|percent(?:age)?|k|m|bn|million|millions|billion|billions|thousand|thousands))?"
+_HAS = lambda c, ws: "(" + " OR ".join(f"contains({c}, '{w}')" for w in ws) + ")"
+_CUES = "list_distinct(list_concat(list_concat(CASE WHEN {b} THEN ['variance', 'surplus', 'deficit', 'overspend', 'underspend', 'budget'] ELSE [] END, CASE WHEN {r} THEN ['deficit', 'surplus', 'overspend', 'shortfall', 'variance'] ELSE [] END), CASE WHEN contains(lq, 'total') THEN ['total', 'cash requirement'] ELSE [] END))".format(
+    b=_HAS("lq", ["budget", "spending", "spend", "differ"]), r=_HAS("lq", ["deficit", "surplus"]))
+_CANDIDATES = f"""WITH asked AS ({_ASKED}), hits AS ({_HITS}), h AS (SELECT *, string_split_regex(chunk_text, '{_FIGURE}') AS pc, regexp_extract_all(chunk_text, '{_FIGURE}') AS fd FROM hits WHERE chunk_text IS NOT NULL),
+u AS (SELECT h.* EXCLUDE (pc, fd), fd[i] AS f, CAST(list_sum(list_transform(pc[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(fd[1:i - 1], lambda x: length(x))), 0) AS INTEGER) AS start FROM h, LATERAL (SELECT unnest(range(1, len(fd) + 1)) AS i) t),
+v AS (SELECT *, trim(f) AS found, substr(chunk_text, greatest(start - 120, 0) + 1, start + length(f) + 120 - greatest(start - 120, 0)) AS context, regexp_replace(substr(chunk_text, greatest(start - 6, 0) + 1, start + length(f) + 6 - greatest(start - 6, 0)), '\\s+', '', 'g') AS tight FROM u),
+w AS (SELECT *, lower(context) AS near, lower(found) AS lf FROM v WHERE NOT regexp_matches(tight, '(?:19|20)\\d{{2}}/\\d{{1,2}}|\\d{{1,2}}/(?:19|20)\\d{{2}}') AND regexp_replace(lower(found), '\\s+', '', 'g') NOT IN ('£000', '(000)', '(£000)', '000')),
+x AS (SELECT *, CASE WHEN NOT regexp_matches(lf, '£000|\\(000\\)|\\b(million|thousand|bn|m|k)\\b|%|percent') AND (contains(near, '£000') OR contains(near, '(000)')) THEN found || ' (£000)' ELSE found END AS raw FROM w),
+y AS (SELECT *, lower(raw) AS lr, TRY_CAST(regexp_extract(replace(raw, ',', ''), '[-+]?\\d+(?:\\.\\d+)?') AS DOUBLE) * CASE WHEN regexp_matches(raw, '^\\(\\d+\\)') THEN -1 ELSE 1 END AS b FROM x),
+z AS (SELECT y.*, b * CASE WHEN regexp_matches(lr, '£000|\\(000\\)|thousand|\\dk') THEN 1e3 WHEN regexp_matches(lr, '\\d\\s*m') THEN 1e6 WHEN contains(lr, 'bn') THEN 1e9 ELSE 1 END AS value, CASE WHEN regexp_matches(lr, '%|percent') THEN 'percent' WHEN contains(lr, '£') THEN 'currency' ELSE 'count' END AS dimension, lower(question) AS lq FROM y JOIN asked USING (query_id)),
+q AS (SELECT *, CASE WHEN {_HAS("lq", ["percent", "share", "rate"])} THEN 'percent' WHEN {_HAS("lq", ["cost", "spend", "budget", "deficit", "income"])} THEN 'currency' END AS expected, {_CUES} AS cues, {_HAS("lq", ["budget", "spend", "differ"])} AS ab,
+  len(list_filter(list_distinct(list_filter(regexp_extract_all(lq, '[a-z][a-z0-9-]{{2,}}'), lambda k: k NOT IN ('what', 'was', 'the', 'were', 'how', 'many', 'report', 'total', 'for', 'did', 'amount', 'difference', 'and'))), lambda k: contains(near, k))) AS kw FROM z),
+sc AS (SELECT *, len(list_filter(cues, lambda k: contains(near, k))) AS nc FROM q),
+cand AS (SELECT query_id, chunk_id, rank, start, raw, context, expected, dimension, value, round(0::DOUBLE + greatest(0, 3.0 - 0.2 * (rank - 1)) + 0.9 * kw + CASE WHEN expected = dimension AND dimension <> 'count' THEN 1.5 WHEN expected IS NOT NULL THEN -1 ELSE 0 END
+  + CASE WHEN nc > 0 THEN 1.1 * nc WHEN {_HAS("near", ["deficit", "surplus", "overspend", "shortfall", "budget", "spend", "income", "cost", "expenditure"])} THEN 0.6 ELSE 0 END
+  + CASE WHEN ab AND contains(near, 'variance') AND {_HAS("near", ["surplus", "deficit"])} THEN 2.2 ELSE 0 END + CASE WHEN ab AND contains(near, 'core revenue resource') THEN 0.8 ELSE 0 END + CASE WHEN ab AND {_HAS("near", ["reported a surplus", "retained reserves"])} THEN -2.4 ELSE 0 END
+  + CASE WHEN NOT contains(lq, 'total') AND {_HAS("near", ["total", "cash requirement"])} THEN -1.8 ELSE 0 END + CASE WHEN is_table THEN -0.15 ELSE 0 END
+  + CASE WHEN regexp_matches(near, '\\d{{4}}\\s*/\\s*\\d{{1,2}}') AND length(regexp_replace(raw, '[^0-9]', '', 'g')) BETWEEN 1 AND 2 THEN -2.5 WHEN regexp_matches(raw, '^(19|20)\\d{{2}}$') THEN -2.0 ELSE 0 END
+  + CASE WHEN expected = 'currency' AND abs(value) > 0 AND abs(value) < 100000 THEN -0.8 ELSE 0 END, 6) AS score FROM sc)"""
+
+
+def _figures_of(s, d):
+    table(s, d, "orders").createOrReplaceTempView("orders")
+    return s.sql(_ASKED), an.numeric_candidates(s.sql(_ASKED), s.sql(_HITS))
+
+
+@query("numeric_candidates", "M14", _CANDIDATES + " SELECT query_id, chunk_id, rank, start, raw, expected, dimension, value, score FROM cand")
+def _(s, d):
+    return _figures_of(s, d)[1].drop("context")
+
+
+@query("numeric_answers", "M14", _CANDIDATES + """, p AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS k FROM cand QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank, chunk_id, start) = 1),
+r AS (SELECT query_id, coalesce(k, 0) AS candidate_count, CASE WHEN score IS NULL THEN 'no_numeric_candidates' WHEN score < 1.5 THEN 'low_confidence' WHEN expected = 'currency' AND NOT contains(context, '£') AND NOT regexp_matches(raw, '(?i)£|\\b(m|bn|million|billion|thousand)\\b') THEN 'currency_unit_not_supported' ELSE 'selected' END AS reason, p.* EXCLUDE (query_id) FROM asked LEFT JOIN p USING (query_id))
+SELECT query_id, candidate_count, reason, score, CASE WHEN reason = 'selected' THEN chunk_id END AS chunk_id, CASE WHEN reason = 'selected' THEN raw END AS raw, CASE WHEN reason = 'selected' THEN value END AS value FROM r""")
+def _(s, d):
+    return an.numeric_answers(*_figures_of(s, d))[0].drop("canonical")
