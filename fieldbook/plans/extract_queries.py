@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldbook.operators import answers as an
+from fieldbook.operators import citations as ci
 from fieldbook.operators import contents as ct
 from fieldbook.operators import extract as ex
 from fieldbook.operators import packing as pk
@@ -307,3 +308,32 @@ r AS (SELECT query_id, coalesce(k, 0) AS candidate_count, CASE WHEN score IS NUL
 SELECT query_id, candidate_count, reason, score, CASE WHEN reason = 'selected' THEN chunk_id END AS chunk_id, CASE WHEN reason = 'selected' THEN raw END AS raw, CASE WHEN reason = 'selected' THEN value END AS value FROM r""")
 def _(s, d):
     return an.numeric_answers(*_figures_of(s, d))[0].drop("canonical")
+
+
+# Orders as generated answers, in every form that an answer and its citations may take.
+_SAID = """SELECT o_orderkey AS query_id, CASE o_custkey % 11 WHEN 10 THEN 'timeout' WHEN 9 THEN NULL ELSE ' OK ' END AS raw_status, o_orderkey % 13 > 0 AS requested, CASE o_orderkey % 16
+  WHEN 0 THEN 'Rose by 4 [chunk_id=' || c || ', page=' || p || '] and [chunk_id: other; pages=3]' WHEN 1 THEN 'See (chunk_id: ' || c || ', page: ' || p || ') or chunk_id=' || c || ' page=' || p WHEN 2 THEN '{"answer": "It rose", "citations": [{"chunk_id": "' || c || '", "page": ' || p || '}, {"chunk": "' || c || '", "page_no": "9"}]}'
+  WHEN 3 THEN '```json ' || chr(10) || '{"answer": "Fenced", "citations": ["[chunk_id=' || c || ', page=' || p || ']", 5]} ```' WHEN 4 THEN '{"answer": null, "citations": []}' WHEN 5 THEN 'Insufficient evidence in retrieved context.' WHEN 6 THEN '  ' WHEN 7 THEN NULL
+  WHEN 8 THEN '{"answer": "Pages", "citations": [{"chunk_id": "' || c || '", "pages": [' || p || ', 99]}, {"chunk_id": "", "page": 1}, {"chunk_id": "x", "page": "two"}]}' WHEN 9 THEN '[1, 2] chunk_id=' || c || '; page=' || p WHEN 10 THEN '{"answer": "none cited"} chunk_id=' || c || ', page=' || p
+  WHEN 11 THEN '{"answer": "text cites chunk_id=' || c || ' page=' || p || '", "citations": []}' ELSE 'no citation at all' END AS raw_answer FROM (SELECT *, 'doc:c' || CAST(o_orderkey % 9 AS STRING) AS c, CAST(o_orderkey % 5 + o_custkey % 3 AS STRING) AS p FROM orders) o"""
+
+
+@query("answer_outcomes", "M18 D20", f"""WITH a AS (SELECT *, trim(coalesce(raw_answer, '')) AS t, 'doc:c' || CAST(query_id % 9 AS VARCHAR) AS own FROM ({_SAID})),
+b AS (SELECT *, CASE WHEN json_valid(t) AND json_type(CASE WHEN json_valid(t) THEN t END) = 'OBJECT' THEN t WHEN json_valid(regexp_extract(t, '```json\\s*(\\{{.*\\}})\\s*```', 1, 's')) THEN regexp_extract(t, '```json\\s*(\\{{.*\\}})\\s*```', 1, 's') END AS j FROM a),
+w AS (SELECT query_id, list_distinct(list_transform(regexp_extract_all(t, 'chunk_id\\s*[:=]\\s*[^,; \\]\\)]+[,; ]+pages?\\s*[:=]\\s*\\d+'), lambda m: regexp_extract(m, '[:=]\\s*([^,; ]+)', 1) || '#' || regexp_extract(m, '(\\d+)$', 1))) AS ws FROM b),
+i AS (SELECT query_id, unnest(json_extract(j, '$.citations[*]')) AS it FROM b WHERE j IS NOT NULL),
+k AS (SELECT query_id, CASE WHEN json_type(it) = 'VARCHAR' THEN regexp_replace(it ->> '$', '^.chunk_id=(.*), page=(\\d+).$', '\\1#\\2') ELSE nullif(coalesce(nullif(it ->> '$.chunk_id', ''), it ->> '$.chunk', ''), '') || '#' || CAST(TRY_CAST(coalesce(it ->> '$.page', it ->> '$.page_no', it ->> '$.pages[0]') AS BIGINT) AS VARCHAR) END AS s FROM i WHERE json_type(it) IN ('OBJECT', 'VARCHAR')),
+l AS (SELECT query_id, list(s) AS ls FROM k WHERE s IS NOT NULL GROUP BY 1),
+c AS (SELECT b.*, CASE WHEN len(l.ls) > 0 THEN l.ls ELSE w.ws END AS cs, CASE WHEN t = '' THEN 'empty' WHEN j IS NOT NULL THEN 'json' ELSE 'text_fallback' END AS parse_mode, CASE WHEN j IS NOT NULL THEN trim(j ->> '$.answer') ELSE nullif(t, '') END AS ans FROM b JOIN w USING (query_id) LEFT JOIN l USING (query_id)),
+d AS (SELECT *, list_filter(cs, lambda x: x = own || '#' || CAST(query_id % 5 AS VARCHAR) OR x = own || '#' || CAST(query_id % 5 + 1 AS VARCHAR)) AS good FROM c),
+e AS (SELECT *, CASE WHEN NOT requested THEN 'skipped' WHEN coalesce(lower(trim(raw_status)), '') <> 'ok' OR coalesce(ans, '') = '' THEN coalesce(lower(trim(raw_status)), 'error') WHEN lower(ans) LIKE 'insufficient evidence%' OR len(good) = 0 THEN 'insufficient_evidence' ELSE 'ok' END AS status FROM d)
+SELECT query_id, status, CASE WHEN status = 'ok' THEN ans END AS answer, CASE WHEN status = 'ok' THEN array_to_string(list_sort(good), ' ') ELSE '' END AS citations, CASE WHEN status = 'ok' THEN len(good) / greatest(len(cs), 1) END AS confidence,
+  CAST(len(cs) AS INTEGER) AS citations_parsed, len(good) AS citations_valid, len(cs) - len(good) AS citations_rejected, parse_mode FROM e""")
+def _(s, d):
+    table(s, d, "orders").createOrReplaceTempView("orders")
+    said = s.sql(_SAID)
+    page = (F.col("query_id") % 5).cast("int")
+    chunk = lambda n: F.concat(F.lit("doc:c"), (F.col("query_id") % 9 + n).cast("string"))
+    found = said.select("query_id", F.lit(1).alias("rank"), chunk(0).alias("chunk_id"), F.array(page, page + 1).alias("pages")).unionByName(
+        said.select("query_id", F.lit(2).alias("rank"), chunk(20).alias("chunk_id"), F.array(F.lit(7)).alias("pages")))
+    return ci.answer_outcomes(said, found)
