@@ -90,8 +90,9 @@ def answer_outcomes(answers: DataFrame, retrieved: DataFrame) -> DataFrame:
     outcome = (
         F.when(~F.coalesce("requested", F.lit(False)), "skipped").when((status != "ok") | (body == ""), F.when(status == "", "error").otherwise(status))
         .when((F.lower(body) == NO_EVIDENCE) | (c("valid") == 0), "insufficient_evidence").otherwise("ok"))
-    rows = ordered.once(rows, status=outcome, figure=F.when(numeric.is_bare_figure(c("answer")), numeric.canonical_figure(c("answer"))))
-    ok, n = c("status") == "ok", F.size("citations")
+    accepted = (outcome == "ok") & (body != "") & (c("valid") > 0)
+    rows = ordered.once(rows, status=outcome, accepted=accepted, figure=F.when(numeric.is_bare_figure(c("answer")), numeric.canonical_figure(c("answer"))))
+    ok, n = c("accepted"), F.size("citations")
     kept = F.when(ok, F.transform("kept", lambda x: F.concat_ws("#", x["chunk_id"], x["page"].cast("string"))))
     return rows.select(
         "query_id", "status", F.when(ok, F.coalesce("figure", "answer")).alias("answer"), F.array_join(F.coalesce(kept, F.array().cast("array<string>")), " ").alias("citations"),

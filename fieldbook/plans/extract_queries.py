@@ -12,6 +12,7 @@ from fieldbook.operators import packing as pk
 from fieldbook.operators import pages as pg
 from fieldbook.operators import regions as rg
 from fieldbook.operators import sleeves as sv
+from fieldbook.operators import wellsections as ws
 from fieldbook.plans.registry import query
 from fieldbook.plans.views import table, view
 
@@ -327,7 +328,7 @@ l AS (SELECT query_id, list(s) AS ls FROM k WHERE s IS NOT NULL GROUP BY 1),
 c AS (SELECT b.*, CASE WHEN len(l.ls) > 0 THEN l.ls ELSE w.ws END AS cs, CASE WHEN t = '' THEN 'empty' WHEN j IS NOT NULL THEN 'json' ELSE 'text_fallback' END AS parse_mode, CASE WHEN j IS NOT NULL THEN trim(j ->> '$.answer') ELSE nullif(t, '') END AS ans FROM b JOIN w USING (query_id) LEFT JOIN l USING (query_id)),
 d AS (SELECT *, list_filter(cs, lambda x: x = own || '#' || CAST(query_id % 5 AS VARCHAR) OR x = own || '#' || CAST(query_id % 5 + 1 AS VARCHAR)) AS good FROM c),
 e AS (SELECT *, CASE WHEN NOT requested THEN 'skipped' WHEN coalesce(lower(trim(raw_status)), '') <> 'ok' OR coalesce(ans, '') = '' THEN coalesce(lower(trim(raw_status)), 'error') WHEN lower(ans) LIKE 'insufficient evidence%' OR len(good) = 0 THEN 'insufficient_evidence' ELSE 'ok' END AS status FROM d)
-SELECT query_id, status, CASE WHEN status = 'ok' THEN ans END AS answer, CASE WHEN status = 'ok' THEN array_to_string(list_sort(good), ' ') ELSE '' END AS citations, CASE WHEN status = 'ok' THEN len(good) / greatest(len(cs), 1) END AS confidence,
+SELECT query_id, status, CASE WHEN status = 'ok' THEN ans END AS answer, CASE WHEN status = 'ok' THEN array_to_string(list_sort(good), ' ') ELSE '' END AS citations, CASE WHEN status = 'ok' AND len(good) > 0 THEN len(good) / greatest(len(cs), 1) END AS confidence,
   CAST(len(cs) AS INTEGER) AS citations_parsed, len(good) AS citations_valid, len(cs) - len(good) AS citations_rejected, parse_mode FROM e""")
 def _(s, d):
     table(s, d, "orders").createOrReplaceTempView("orders")
@@ -337,3 +338,42 @@ def _(s, d):
     found = said.select("query_id", F.lit(1).alias("rank"), chunk(0).alias("chunk_id"), F.array(page, page + 1).alias("pages")).unionByName(
         said.select("query_id", F.lit(2).alias("rank"), chunk(20).alias("chunk_id"), F.array(F.lit(7)).alias("pages")))
     return ci.answer_outcomes(said, found)
+
+
+# Orders as tables of four to a page: section titles, header rows (some of one column only), data rows, blank rows.
+SECTION_WORDS = {"casing": ["CASING STRINGS", "CASING DATA"], "mud": ["MUD DATA"], "crew": ["PERSONNEL"]}
+SECTION_COLUMNS = {
+    "casing": {"size": ["size", "od"], "depth": ["depth"], "grade": ["^grade$"]}, "mud": {"weight": ["weight", "density"], "type": ["type"]}, "crew": {"company": ["company"], "count": ["count", "no."]}}
+_WELLCELLS = """SELECT 'R' || CAST(CAST(floor(l_orderkey / 20) AS BIGINT) AS STRING) AS doc_id, CAST(floor((l_orderkey % 20) / 4) AS INT) AS page, CAST(l_orderkey % 4 AS INT) AS table_no, CAST(n AS INT) AS row_no,
+  CASE l_partkey % 12 WHEN 0 THEN 'Casing Strings' WHEN 1 THEN ' MUD DATA (last)' WHEN 2 THEN 'Size' || chr(10) || CAST(l_suppkey AS STRING) WHEN 3 THEN 'Weight' WHEN 4 THEN 'Company' WHEN 5 THEN NULL WHEN 6 THEN 'personnel on board' WHEN 7 THEN 'OD in depth' ELSE 'row ' || CAST(l_partkey AS STRING) END AS c0,
+  CASE l_partkey % 12 WHEN 2 THEN 'Set depth' WHEN 3 THEN 'Mud type' || chr(10) || 'OBM' WHEN 4 THEN 'No. of people' WHEN 7 THEN 'Size ' WHEN 0 THEN '' WHEN 8 THEN 'see the mud data of the day before' WHEN 9 THEN NULL ELSE 'b' || chr(10) || ' c ' || CAST(l_suppkey % 10 AS STRING) END AS c1,
+  CASE WHEN l_partkey % 12 = 5 THEN ' ' WHEN l_partkey % 24 = 2 THEN 'Grade' WHEN l_partkey % 12 = 2 THEN 'Grades' ELSE CAST(l_suppkey % 7 AS STRING) END AS c2
+FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS n FROM lineitem) l"""
+_LOCATED = f"""WITH wc AS ({_WELLCELLS}), f AS (SELECT *, list_filter([trim(coalesce(c0, '')), trim(coalesce(c1, '')), trim(coalesce(c2, ''))], lambda x: x <> '') AS r FROM wc),
+g AS (SELECT *, upper(array_to_string(r, ' ')) AS line, upper(r[1]) AS head FROM f WHERE len(r) > 0),
+w(section, kw) AS (VALUES ('casing', 'CASING STRINGS'), ('casing', 'CASING DATA'), ('mud', 'MUD DATA'), ('crew', 'PERSONNEL')),
+s AS (SELECT doc_id, page, table_no, section, min(row_no) AS start_row FROM g, w WHERE contains(line, kw) AND (NOT {{strict}} OR starts_with(head, kw) OR length(head) < length(kw) + 20) GROUP BY ALL),
+e AS (SELECT DISTINCT doc_id, page, table_no, row_no AS stop FROM g, w WHERE starts_with(head, kw)),
+loc AS (SELECT s.*, min(stop) AS end_row FROM s LEFT JOIN e ON s.doc_id = e.doc_id AND s.page = e.page AND s.table_no = e.table_no AND stop > start_row GROUP BY ALL)"""
+_HEADS = _LOCATED.format(strict="true") + """, i AS (SELECT loc.*, row_no, c0, c1, c2, lower(split_part(trim(c0), chr(10), 1)) AS a, lower(split_part(trim(c1), chr(10), 1)) AS b, lower(split_part(trim(c2), chr(10), 1)) AS c FROM loc JOIN wc USING (doc_id, page, table_no) WHERE row_no > start_row AND (end_row IS NULL OR row_no < end_row)),
+m AS (SELECT *, CASE section WHEN 'casing' THEN CASE WHEN starts_with(a, 'size') THEN [1, 2, CASE WHEN c = 'grade' THEN 3 END] WHEN starts_with(a, 'od in') THEN [1, NULL, NULL] END WHEN 'mud' THEN CASE WHEN a = 'weight' THEN [1, 2] END ELSE CASE WHEN a = 'company' THEN [1, 2] END END AS found FROM i),
+h AS (SELECT doc_id, page, table_no, section, start_row, end_row, min(row_no) AS header_row, arg_min(found, row_no) AS pos FROM m WHERE len(list_filter(found, lambda x: x IS NOT NULL)) >= 2 GROUP BY ALL)"""
+
+
+def _wellcells(s, d):
+    table(s, d, "lineitem").createOrReplaceTempView("lineitem")
+    return s.sql(_WELLCELLS).select("doc_id", "page", "table_no", "row_no", F.array("c0", "c1", "c2").alias("cells"))
+
+
+for _name, _strict in (("sections_strict", True), ("sections_loose", False)):
+    query(_name, "G15", _LOCATED.format(strict=str(_strict).lower()) + " SELECT * FROM loc")(
+        lambda s, d, strict=_strict: ws.locate_sections(_wellcells(s, d), SECTION_WORDS, strict))
+
+
+@query("section_cells", "G15 G16", _HEADS + """, k AS (SELECT h.*, unnest(CASE section WHEN 'casing' THEN ['size', 'depth', 'grade'] WHEN 'mud' THEN ['weight', 'type'] ELSE ['company', 'count'] END) AS "column", unnest(pos) AS spot FROM h WHERE header_row IS NOT NULL),
+v AS (SELECT k.*, row_no, string_split(trim(coalesce([c0, c1, c2][spot], '')), chr(10)) AS ls FROM k JOIN wc USING (doc_id, page, table_no) WHERE spot IS NOT NULL AND row_no > header_row AND (end_row IS NULL OR row_no < end_row))
+SELECT doc_id, page, table_no, section, row_no, "column", CASE WHEN len(ls) > 1 THEN array_to_string(list_filter(list_transform(ls[2:], lambda x: trim(x)), lambda x: x <> ''), ' ') ELSE ls[1] END AS value FROM v""")
+def _(s, d):
+    rows = _wellcells(s, d)
+    heads = ws.section_headers(rows, ws.locate_sections(rows, SECTION_WORDS, True), SECTION_COLUMNS)
+    return ws.section_cells(rows, heads)
