@@ -8,6 +8,10 @@ dropped by a count; the others get their next and previous ``LENGTH`` words, are
 repeated passage. Longer passages come out as the union of what their suffixes find. A second sort, by the words to the
 left, finds what the first leaves between suffixes that share much to the right but little to the left.
 
+In a group of at most ``DEPTH`` + 1 suffixes with the same first words all meet each other. In a larger one (a frequent line)
+neighbours may hide each other, so there every window of ``LENGTH`` words whose kept suffix is of the group is counted by its
+hash as well, with map-side sums: those seen twice are repeated. A window has one kept suffix, so it is counted once.
+
 The sort key ends with the document, so equal suffixes (thousands of copies) are spread over the tasks too; the first
 and last suffixes of each task are compared across tasks in a second, small step. Words are compared by 32-bit hashes
 beyond the 64-bit hash of the first words.
@@ -70,13 +74,18 @@ def gram_hashes(h: np.ndarray, size: int = GRAM) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-def minimisers(grams: np.ndarray, window: int) -> np.ndarray:
-    """Positions of the (first) smallest hash in each run of ``window`` hashes."""
+def owners(grams: np.ndarray, window: int) -> np.ndarray:
+    """Position of the (first) smallest hash in each run of ``window`` hashes."""
     found = []
     for at in range(0, len(grams) - window + 1, 1 << 15):
         part = grams[at : at + (1 << 15) + window - 1]
         found.append(np.lib.stride_tricks.sliding_window_view(part, window).argmin(1) + np.arange(len(part) - window + 1) + at)
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def minimisers(grams: np.ndarray, window: int) -> np.ndarray:
+    """Positions that are the smallest of some run of ``window`` hashes."""
+    return np.unique(owners(grams, window))
 
 
 def _sparse(length: int):
@@ -103,14 +112,19 @@ SUFFIX = "row long, gram long, at int, right binary, left binary"
 
 
 def _suffixes(length: int):
-    """The words after (right) and before (left, nearest first) each kept position, as 32-bit hashes."""
+    """The words after (right) and before (left, nearest first) each kept position, as 32-bit hashes; without words, the
+    windows (hash and place) whose kept position is of a large group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = Words()
         for batch in batches:
             out: list[tuple] = []
             for row, text, places in zip(values(batch.column("row")), texts(batch, "text"), values(batch.column("places")), strict=True):
-                h = hashed(ascii_words(text)) & np.uint64(0xFFFFFFFF)
+                whole = hashed(ascii_words(text))
+                large = np.array([p["at"] for p in places if p["large"]], np.int64)
+                if len(large):
+                    yield _windows(row, whole, large, length)
+                h = whole & np.uint64(0xFFFFFFFF)
                 ahead, back = h.astype(">u4").tobytes(), h[::-1].astype(">u4").tobytes()
                 n = len(h)
                 for p in places:
@@ -125,6 +139,12 @@ def _suffixes(length: int):
     return run
 
 
+def _windows(row: int, words: np.ndarray, large: np.ndarray, length: int) -> pa.RecordBatch:
+    at = np.flatnonzero(np.isin(owners(gram_hashes(words), length - GRAM + 1), large))
+    none = pa.nulls(len(at), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), row)), pa.array(gram_hashes(words, length)[at].view(np.int64)), pa.array(at.astype(np.int32)), none, none], names=["row", "gram", "at", "right", "left"])
+
+
 def _suffix_batch(out: list[tuple]) -> pa.RecordBatch:
     row, gram, at, right, left = zip(*out, strict=True)
     return pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(gram, pa.int64()), pa.array(at, pa.int32()), pa.array(right, pa.binary()), pa.array(left, pa.binary())], names=["row", "gram", "at", "right", "left"])
@@ -212,10 +232,11 @@ def passages(part: DataFrame, length: int = LENGTH) -> DataFrame:
     occur elsewhere too; those that occur before are there once more, with ``later``."""
     sparse = settle(part.mapInArrow(_sparse(length), "row long, gram long, at int"), "minimisers")
     # Written, so that both sides of the join are dealt anew and a very frequent gram can be split.
-    repeated = settle(sparse.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "repeated")
-    kept = sparse.join(repeated, "gram").groupBy("row").agg(F.collect_list(F.struct("at", "gram")).alias("places"))
-    suffixes = settle(part.join(kept, "row").mapInArrow(_suffixes(length), SUFFIX), "suffixes")
-    out = None
+    repeated = settle(sparse.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", (F.col("n") > DEPTH + 1).alias("large")), "repeated")
+    kept = sparse.join(repeated, "gram").groupBy("row").agg(F.collect_list(F.struct("at", "gram", "large")).alias("places"))
+    found = settle(part.join(kept, "row").mapInArrow(_suffixes(length), SUFFIX), "suffixes")
+    suffixes, windows = found.where("right IS NOT NULL"), found.where("right IS NULL").select("row", "gram", "at")
+    out = _counted(windows, length)
     for first, second in (("right", "left"), ("left", "right")):
         order = ["gram", first, second, "row", "at"]
         found = suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours(length, True), FOUND)
@@ -223,10 +244,24 @@ def passages(part: DataFrame, length: int = LENGTH) -> DataFrame:
         across = found.where("start IS NULL").select("row", "gram", "at", "right", "left").repartition(1).sortWithinPartitions(*order)
         across = across.mapInArrow(_neighbours(length, False), FOUND)
         both = found.where("start IS NOT NULL").select("row", "start", "end", "later").unionByName(across.select("row", "start", "end", "later"))
-        out = both if out is None else out.unionByName(both)
+        out = out.unionByName(both)
     return out
 
 
+def _counted(windows: DataFrame, length: int) -> DataFrame:
+    """(row, start, end, later) of the windows (row, gram, at) whose hash is there twice."""
+    place = F.struct("row", "at")
+    # Written, so that both sides of the join are dealt anew and a very frequent window can be split.
+    twice = settle(windows.groupBy("gram").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("gram", "first"), "windows")
+    hit = windows.join(twice, "gram")
+    end = (F.col("at") + length).cast("int")
+    every = hit.select("row", F.col("at").alias("start"), end.alias("end"), F.lit(False).alias("later"))
+    # What comes second in a text of repetitions begins where the first ends.
+    start = F.when(F.col("first.row") == F.col("row"), F.greatest("at", F.col("first.at") + length)).otherwise(F.col("at"))
+    again = hit.where(place > F.col("first")).select("row", start.cast("int").alias("start"), end.alias("end"), F.lit(True).alias("later"))
+    return every.unionByName(again.where("start < end"))
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
