@@ -4,8 +4,13 @@ Markup is stripped to lines, one for each block element, in page order. Lines in
 text (scripts, styles, menus, page headers, footers, sidebars, notices, adverts, forms, reader comments, by tag, role,
 class or id) have length zero, and so has link text. Lengths are summed over sliding windows of ``LINES`` lines: where the
 sum rises over ``SURGE`` a stretch begins (with the heading before it), where the sum falls to ``DIVE`` it ends, and the
-longest stretch is the main text. Where the page names its article (``article``, ``main``), surge and dive points are
-that element's own first and last line, since short lines at its ends belong to it too.
+longest stretch is the main text. Where the page names its article (``article``, ``main``), only its lines take part, and the
+text goes from the first surge (and the short lines right before it) to the last dive in it, so that a gap inside an
+article cuts nothing out.
+
+A class or id counts by its whole name or its head word: ``sidebar``, ``left-sidebar`` and ``sidebar-box``, but not
+``with-sidebar``, ``ad-free`` or ``search-algorithms``. Where nothing is left that surges, the elements dropped for their
+names alone come back, those with most text first.
 
 Everything between the points is kept: character references decoded, white space inside a block one space, blocks joined
 by one space. Nothing is cut or capped.
@@ -47,6 +52,10 @@ NEVER_NAMED = frozenset(
 NEVER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
+#: Words before a name that say what is beside or absent, and words after one that say what part of it this is.
+BESIDE = frozenset("with without has have no not non is".split())
+PARTS = frozenset("left right top bottom main inner outer primary secondary wrapper wrap container content box block area section region bar list item items group links link form panel inner holder row col column widget widgets posts post text".split())
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style)\b[^>]*+(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
@@ -80,6 +89,14 @@ class Element:
         self.tag, self.drops, self.article = tag, drops, article
 
 
+def _named(name: str) -> bool:
+    """Whether a class or id names something that is never article text."""
+    words = [w.lower() for w in _NAME.findall(name)]
+    if not words or words[0] in BESIDE:
+        return False
+    return "".join(words) in NEVER_NAMED or words[-1] in NEVER_NAMED or words[0] in NEVER_NAMED and all(w in PARTS or w in NEVER_NAMED for w in words[1:])
+
+
 def _unwanted(tag: str, attrs: str, inside: bool) -> bool:
     if tag in NEVER:
         return True
@@ -92,13 +109,14 @@ def _unwanted(tag: str, attrs: str, inside: bool) -> bool:
         if name.lower() == "role":
             if value.lower() in NEVER_ROLES:
                 return True
-        elif NEVER_NAMED & {w.lower() for w in _NAME.findall(value)} and not (tag in HEADINGS or inside and value.lower() in ("header",)):
+        elif tag not in HEADINGS and not (inside and value.lower() == "header") and any(map(_named, value.split())):
             return True
     return False
 
 
-def lines_of(page: str) -> list[Line]:
-    """The page's blocks in order, with the marks that the choice needs."""
+def lines_of(page: str) -> tuple[list[Line], set[int]]:
+    """The page's blocks in order, with the marks that the choice needs, and the elements dropped for their names alone."""
+    soft: set[int] = set()
     lines: list[Line] = []
     stack: list[Element] = []
     opened: Counter[str] = Counter()
@@ -175,19 +193,21 @@ def lines_of(page: str) -> list[Line]:
             articles.append(count)
         if unwanted:
             drops.append(count)
+            if tag not in NEVER and not re.search(r"\brole\s*=", token["attrs"]):
+                soft.add(count)
         stack.append(Element(tag, count if unwanted else None, article))
         opened[tag] += 1
         links += tag == "a"
     say(page[at:])
     for line in lines:
         line.dropped = tuple(d for d in line.dropped if d not in forgiven)
-    return lines
+    return lines, soft
 
 
-def stretch(lengths: list[int], headings: list[bool]) -> tuple[int, int]:
-    """[start, end) of the longest stretch between a surge and a dive point."""
+def stretches(lengths: list[int]) -> list[tuple[int, int]]:
+    """[start, end) of each stretch between a surge and a dive point."""
     sums = [sum(lengths[k : k + LINES]) for k in range(len(lengths))]
-    best, at = (0, 0, 0), 0
+    found, at = [], 0
     while at < len(sums):
         if sums[at] < SURGE or not lengths[at]:
             at += 1
@@ -195,20 +215,47 @@ def stretch(lengths: list[int], headings: list[bool]) -> tuple[int, int]:
         start = at
         while at < len(sums) and sums[at] > DIVE:
             at += 1
-        best = max(best, (sum(lengths[start:at]), -start, at))
-    if not best[0]:
+        found.append((start, at))
+    return found
+
+
+def bounds(lengths: list[int], headings: list[bool], whole: bool) -> tuple[int, int]:
+    """[start, end) of the longest stretch, or with ``whole`` from the first surge to the last dive; with the headings right
+    before it."""
+    found = stretches(lengths)
+    if not found:
         return (0, len(lengths)) if any(lengths) else (0, 0)  # too little text for a surge: all of it
-    start, end = -best[1], best[2]
+    longest = max(found, key=lambda f: (sum(lengths[f[0] : f[1]]), -f[0]))
+    start, end = (found[0][0], found[-1][1]) if whole else longest
+    while whole and start and sum(lengths[max(start - LINES, 0) : start]) > DIVE:
+        start -= 1  # short lines at the beginning of a named article belong to it, up to a dive
     while start and headings[start - 1] and lengths[start - 1]:
         start -= 1
     return start, end
 
 
+def _surging(lines: list[Line], soft: set[int]) -> list[Line]:
+    """Lines that are not dropped; where none of them surges, elements dropped for their names alone are taken back."""
+    while True:
+        kept = [x for x in lines if not x.dropped]
+        if stretches([x.plain for x in kept]):
+            return kept
+        held: Counter[int] = Counter()
+        for x in lines:
+            if x.dropped and all(d in soft for d in x.dropped):
+                held[x.dropped[0]] += x.plain
+        most = max(held, key=lambda d: (held[d], -d), default=None)
+        if most is None or held[most] < SURGE:
+            return kept
+        for x in lines:
+            x.dropped = tuple(d for d in x.dropped if d != most)
+
+
 def main_text(page: str | None) -> str:
     """The article's text; empty if there is none."""
     if not page:
         return ""
-    lines = [x for x in lines_of(page) if not x.dropped]
+    lines = _surging(*lines_of(page))
     named: Counter[int] = Counter()
     for x in lines:
         if x.article is not None:
@@ -216,11 +263,9 @@ def main_text(page: str | None) -> str:
     if named:
         most = max(named.values())
         # The page's article, or all of them where it shows several as parts of one text.
-        kept = [x for x in lines if x.article is not None and 4 * named[x.article] >= most]
-    else:
-        start, end = stretch([x.plain for x in lines], [x.heading for x in lines])
-        kept = lines[start:end]
-    return " ".join(t for t in (x.text for x in kept) if t)
+        lines = [x for x in lines if x.article is not None and 4 * named[x.article] >= most]
+    start, end = bounds([x.plain for x in lines], [x.heading for x in lines], bool(named))
+    return " ".join(t for t in (x.text for x in lines[start:end]) if t)
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -435,3 +435,25 @@ def test_main_text_of_the_tables_pages(spark):
 
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+# Findings of later rounds -------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("frame", ["<div class='content with-sidebar'>", "<div id='page' class='has-sidebar'>", "<div class='ad-free-content'>", "<section id='search-algorithms'>", "<div class='widget'>"])
+@pytest.mark.parametrize("article", [False, True])
+def test_class_words_take_no_article_text(frame, article):
+    body = "<h1>Title of it</h1><p>" + "A sentence that goes on for a while. " * 4 + "</p><p class='ad'>Buy now and here</p><p>" + "More of it, plainly told. " * 6 + "</p><p>The end.</p>"
+    tag = frame[1 : frame.index(" ")]
+    page = f"<html><body><div class='left-sidebar'><p>{'Menu words here. ' * 9}</p></div>{frame}{'<article>' * article}{body}{'</article>' * article}</{tag}><div class='comment-list'><p>{'Reader says. ' * 3}</p></div></body></html>"
+    got = htmltext.main_text(page)
+    assert got.startswith("Title of it A sentence") and got.endswith("plainly told. The end.") and "Buy now" not in got and "Reader" not in got and "Menu" not in got
+
+
+def test_few_neighbours_in_small_lists(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((41, 16)) * 3
+    rows = [(50 * k if k < 45 else 10**6 + k, (centres[k % 40] + rng.standard_normal(16) * 0.01).tolist()) for k in range(2400)] + [(5 * 10**7 + 50 * k, (centres[40] + rng.standard_normal(16) * 0.01).tolist()) for k in range(3)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = Counter(r.query_id for r in ann.search(spark.read.parquet(f"{tmp_path}/embeddings.parquet"), F.col("id") % 50 == 0).collect())
+    assert len(found) >= 48 and set(found.values()) == {5}
