@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by adaptive dimension scan.
 
 Vectors are scaled to length one, turned by a random rotation and kept in lists around centroids. A query probes its
-nearest lists. Inside a list, candidates are scanned in blocks of ``BLOCK`` columns: after d of D dimensions the scaled
+nearest lists, as many as hold most true neighbours of a sample and, where these are small, further ones until there is a
+plenty of candidates. Inside a list, candidates are scanned in blocks of ``BLOCK`` columns: after d of D dimensions the scaled
 partial distance is an estimate of the whole one, and a candidate is abandoned when the estimate exceeds the k-th best
 distance so far by more than the test allows (factor 1 + EPSILON / sqrt(d)). What survives is scored exactly, as the
 cosine of the original vectors in double precision.
@@ -27,8 +28,9 @@ from pyspark.sql import functions as F
 from fieldbook.llm.common import column, settle, whole_groups
 
 K, LISTS, BLOCK, EPSILON = 5, 64, 16, 2.1
-#: Of the sampled vectors' true neighbours, those that the probed lists must hold.
-TARGET = 0.97
+#: Of the sampled vectors' true neighbours, those that the probed lists must hold; vectors, in k, that the probed lists of
+#: every query hold at least (all there are, if fewer).
+TARGET, PLENTY = 0.97, 8
 SAMPLE_BYTES, ROUNDS, SEED = 16 << 20, 8, 7
 #: Candidates and queries of a tile.
 CHUNK, QUERIES = 4096, 512
@@ -141,17 +143,22 @@ def _tiles(turn: np.ndarray, k: int):
     return run
 
 
-def _listed(shared, n: int | None):
-    """(row, id, vector, list): the nearest list of each vector, or the probed ones (n)."""
+def _listed(shared, sizes: np.ndarray | None, least: int = 0):
+    """(row, id, vector, list): the nearest list of each vector; with the ``sizes`` of all lists, the probed ones: as many as
+    the index says, and further ones until they hold ``least`` vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(*shared.value)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            near = index.nearest(matrix(batch.column("vector")), n or 1)
-            at = np.repeat(np.arange(batch.num_rows), near.shape[1])
-            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(at)) for c in ("row", "id", "vector")], pa.array(near.ravel().astype(np.int32))], names=["row", "id", "vector", "list"])
+            near = index.nearest(matrix(batch.column("vector")), 1 if sizes is None else len(index.centroids))
+            taken = np.ones(near.shape, bool)
+            if sizes is not None:
+                held = np.cumsum(sizes[near], axis=1) - sizes[near]
+                taken = (np.arange(near.shape[1])[None] < index.probes) | (held < least)
+            at, place = np.nonzero(taken)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(at)) for c in ("row", "id", "vector")], pa.array(near[at, place].astype(np.int32))], names=["row", "id", "vector", "list"])
 
     return run
 
@@ -178,7 +185,10 @@ def search(vectors: DataFrame, asked: Column, id_col: str = "vec_id", vector_col
     shared = spark.sparkContext.broadcast((index.centroids, index.probes))
     schema = "row long, id long, vector array<double>, list int"
     there = settle(raw.mapInArrow(_listed(shared, None), schema), "lists")
-    wanted = settle(raw.where(asked).mapInArrow(_listed(shared, index.probes), schema), "probes")
+    sizes = np.zeros(len(index.centroids), np.int64)
+    for r in there.groupBy("list").count().collect():  # one row for each list
+        sizes[r["list"]] = r["count"]
+    wanted = settle(raw.where(asked).mapInArrow(_listed(shared, sizes, PLENTY * k + 1), schema), "probes")
 
     # One row for each list, so at most LISTS rows are broadcast.
     size = F.broadcast(there.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")))
