@@ -263,18 +263,20 @@ def _counted(windows: DataFrame, length: int) -> DataFrame:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of each row, those that touch joined."""
     for batch in batches:
-        out = []
-        for spans in batch.column("all").to_pylist():
-            own: list[list[int]] = []
-            for s in sorted((s["start"], s["end"]) for s in spans):
-                if own and s[0] <= own[-1][1]:
-                    own[-1][1] = max(own[-1][1], s[1])
-                else:
-                    own.append(list(s))
-            out.append([{"start": s, "end": e} for s, e in own])
+        spans = batch.column("all")
+        row = np.repeat(np.arange(len(spans), dtype=np.int64), spans.value_lengths().to_numpy(zero_copy_only=False))
+        start, end = (spans.flatten().field(c).to_numpy(zero_copy_only=False).astype(np.int64) + (row << 32) for c in ("start", "end"))
+        order = np.argsort(start, kind="stable")
+        row, start, upto = row[order], start[order], np.maximum.accumulate(end[order])
+        first = np.r_[True, start[1:] > upto[:-1]][: len(start)]
+        last = np.r_[first[1:], True][: len(start)]
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, kind)], names=["row", "spans"])
+        low = np.int64((1 << 32) - 1)
+        pairs = pa.StructArray.from_arrays([pa.array((start[first] & low).astype(np.int32)), pa.array((upto[last] & low).astype(np.int32))], ["start", "end"])
+        offsets = np.searchsorted(row[first], np.arange(len(spans) + 1)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.ListArray.from_arrays(pa.array(offsets), pairs).cast(kind)], names=["row", "spans"])
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
