@@ -117,7 +117,7 @@ OP_CODE_CATEGORY = {
     "TDTRIP": "formation_testing",
 }
 
-# Narrative trouble patterns of the text-classified corpus, in order.
+# Narrative trouble patterns of the text-classified corpus; their order is in functions.npt.
 TROUBLE_PATTERNS = {
     "explicit": r"\b(?:npt|non[- ]productive|down\s*time|downtime|on\s+npt)\b",
     "waiting": r"\bwait(?:ing)?\s+on\s+(?:parts|equipment|water|crew|orders|service|vendor)\b",

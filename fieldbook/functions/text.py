@@ -32,10 +32,12 @@ SECTION_MARKERS = [
 ]
 
 # Words ignored when a question is reduced to its entities.
-QUESTION_STOPWORDS = (
-    "a an and are as at be by for from how in is it of on or that the to was what when where which who why with "
-    "year did do does were had has have within between during reported report show shown stated figure value total"
-).split()
+QUESTION_STOPWORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "how", "in", "is", "it", "of", "on", "or", "that",
+    "the", "to", "was", "what", "when", "where", "which", "who", "why", "with", "year", "did", "do", "does", "were",
+    "had", "has", "have", "within", "between", "during", "reported", "report", "show", "shown", "stated", "figure",
+    "value", "total",
+]
 
 # Token spellings folded together when reranking.
 TOKEN_CANON = {
