@@ -17,9 +17,9 @@ def label_of(code: Column, labels: dict[str, str]) -> Column:
     return F.coalesce(F.element_at(known, c), c)
 
 
-def report_no_by_date(headers: DataFrame) -> DataFrame:
-    """The number of the last document (by id, the ingest order) of each date."""
-    return headers.groupBy("report_date").agg(F.max_by("report_no", "doc_id").alias("report_no"))
+def report_no_by_date(headers: DataFrame, order: str = "doc_id") -> DataFrame:
+    """The number of the last document of each date in the order of ingest, a column (ties: by id)."""
+    return headers.groupBy("report_date").agg(F.max_by("report_no", F.struct(order, "doc_id") if order != "doc_id" else F.col("doc_id")).alias("report_no"))
 
 
 def frequent_ngrams(rows: DataFrame, n: int = 2, min_count: int = 8) -> DataFrame:
