@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldbook.functions import text
-from fieldbook.operators import audit, hours
+from fieldbook.operators import audit, hours, ordered
 from fieldbook.plans import oracle as o
 from fieldbook.plans.registry import query
 from fieldbook.plans.views import view
@@ -90,13 +90,13 @@ def _(s, d):
 
 @query("audit_issues", "F7", f"WITH {REC}{ISS} SELECT * FROM iss")
 def _(s, d):
-    return audit.issues(recs(s, d))
+    return audit.issues(ordered.stored(recs(s, d)))
 
 
 @query("audit_summary", "F8", f"""WITH {REC}{ISS}, r AS (SELECT count(*) AS pdf_count, count(*) FILTER (parsed) AS parsed_count, count(*) FILTER (NOT parsed) AS unparsed_count, min(report_date) AS date_range_start, max(report_date) AS date_range_end, min(ddr_number) AS ddr_number_min, max(ddr_number) AS ddr_number_max FROM rec)
 SELECT r.*, (SELECT count(*) FROM iss WHERE severity = 'error') AS blocking_issue_count, (SELECT count(*) FROM iss WHERE severity = 'warning') AS warning_count, (SELECT count(*) FROM iss WHERE issue_type = 'missing_report') AS missing_report_count FROM r""")
 def _(s, d):
-    r = recs(s, d)
+    r = ordered.stored(recs(s, d))
     return audit.summary(r, audit.issues(r))
 
 
