@@ -18,6 +18,16 @@ from fieldbook.session import ensure_checkpoint_dir
 SLICE = 256
 #: Row sets of up to so many bytes are broadcast as bitmaps of 4 KB for each 32768 neighbouring rows.
 BITMAPS = 64 << 20
+#: Rows of a batch that goes to Python where whole texts go.
+BATCH = 1000
+
+
+def lean_batches(spark: SparkSession) -> None:
+    """At most ``BATCH`` rows in a batch for Python from now on: an executor holds a batch of whole texts several times for
+    each running task."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH:
+        spark.conf.set(name, str(BATCH))
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
