@@ -6,6 +6,7 @@ Whitespace means Unicode whitespace; the class is spelled out because Java's
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -69,6 +70,11 @@ SIGNATURE_PATTERN = (
 )
 
 
+def with_value(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def collapse(c: Column) -> Column:
     """Runs of whitespace to one blank, ends trimmed."""
     return F.trim(F.regexp_replace(c, WS + "+", " "))
@@ -397,17 +403,19 @@ def title_match(a: Column, b: Column, overlap: float = 0.6, sequence: float = 0.
 def clean_heading(c: Column) -> Column:
     t = F.regexp_replace(collapse(F.coalesce(c, F.lit(""))), r"(?i)\(\s*cont(?:inued)?\.?\s*\)", "")
     t = F.trim(F.regexp_replace(F.regexp_replace(t, r"(?i)\bcontinued\b", ""), r"\s+", " "))
-    return F.when((t == "") | (F.lower(t) == "unknown"), "Unknown").otherwise(t)
+    return with_value(t, lambda t: F.when((t == "") | (F.lower(t) == "unknown"), "Unknown").otherwise(t))
 
 
 def canonical_section(c: Column) -> Column:
     """Section title folded to a fixed name, else upper case."""
-    s = clean_heading(c)
-    n = title_norm(s)
-    chain = F.when(s == "Unknown", s)
-    for name, pattern in SECTION_TITLES:
-        chain = chain.when(n.rlike(pattern), name)
-    return chain.otherwise(F.upper(s))
+
+    def named(s: Column, n: Column) -> Column:
+        chain = F.when(s == "Unknown", s)
+        for name, pattern in SECTION_TITLES:
+            chain = chain.when(n.rlike(pattern), name)
+        return chain.otherwise(F.upper(s))
+
+    return with_value(clean_heading(c), lambda s: with_value(title_norm(s), lambda n: named(s, n)))
 
 
 def note_subsection(c: Column) -> Column:

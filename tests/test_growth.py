@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from fieldbook.functions import text
 from fieldbook.operators import audit, ordered
 
 
@@ -17,3 +20,12 @@ def test_audit_counts_of_numbers_are_not_broadcast(spark):
     assert kinds == [("duplicate_ddr_number", 1), ("duplicate_ddr_number", 1), ("missing_report", 2), ("unparsed_filename", None)]
     keys = [line.split("BroadcastHashJoin ")[1].split("]")[0] for line in plan(found).splitlines() if "BroadcastHashJoin " in line]
     assert not any("ddr_number" in k or "safe_doc_id" in k for k in keys)
+
+
+def test_section_titles_are_cleaned_once(spark):
+    rows = [("Notes to the accounts (cont.)", "FINANCIAL STATEMENTS"), ("the  performance report continued", "PERFORMANCE REPORT"), ("unknown", "Unknown"), (None, "Unknown"), ("Weather log", "WEATHER LOG")]
+    titles = spark.createDataFrame(rows, "t string, v string")
+    found = titles.select("v", text.canonical_section(F.col("t")).alias("got"))
+    assert all(r.got == r.v for r in found.collect())
+    made = found._jdf.queryExecution().optimizedPlan().toString()
+    assert made.count("regexp_replace") <= 10
