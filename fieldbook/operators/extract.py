@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldbook.functions import dates, text
@@ -51,17 +51,6 @@ def with_column_map(rows: DataFrame) -> DataFrame:
     return rows.withColumn("map", F.when(whole, F.col("map"))).drop("__low", "__start", "__end", "__kinds")
 
 
-def operation_tables(rows: DataFrame) -> DataFrame:
-    """Rows of tables that name an operation summary or hold a clock time with a decimal number after it."""
-    key = ["doc_id", "page", "table_no"]
-    line = F.array_join("cells", " ")
-    here = F.upper(line).contains("OPERATION SUMMARY") | line.rlike(r"\d{1,2}:\d{2}.*?\d+\.\d+")
-    kept = rows.groupBy(*key).agg(
-        F.max(here).alias("here"), F.min(F.when(line.rlike(r"\d{1,2}:\d{2}"), F.col("row_no"))).alias("first"),
-        F.max(F.when(line.rlike(r"\d+\.\d+"), F.col("row_no"))).alias("last"))
-    return rows.join(kept.filter(F.col("here") | F.coalesce(F.col("first") < F.col("last"), F.lit(False))).select(*key), key, "left_semi")
-
-
 def _quoted(c: Column) -> Column:
     """A value as a literal: in single quotes, in double ones where it holds only single ones."""
     back = F.replace(c, F.lit("\\"), F.lit("\\\\"))
@@ -74,36 +63,63 @@ def operation_rows(table_rows: DataFrame, across: bool = False, width: int = WID
 
     A shift header carries down through the document and ends the column map; a column header carries its map down to the
     end of the table (of the document with ``across``, for tables that go on over a page). A row without start and duration
-    is a continuation: its text is appended to the row before it in the same reach, or dropped where there is none. The
-    carries and the row numbers are two-level scans, so no document or table is put in order in one task."""
+    is a continuation: its text is appended to the row before it in the same reach, or dropped where there is none. Only
+    tables that name an operation summary or hold a clock time with a decimal number after it are read.
+
+    Whole rows are dealt out once, by stretches of ``width`` rows of a table. Everything that crosses a stretch (which tables
+    count, the headers on entry, the row that leading continuations belong to) is worked out on one small row per stretch."""
     c = F.col
     clean = ordered.once(table_rows, cells=F.transform(F.coalesce("cells", F.array().cast("array<string>")), lambda x: text.collapse(F.coalesce(x, F.lit("")))))
-    clean = ordered.once(clean, filled=F.size(F.filter("cells", lambda x: x != "")), head=F.coalesce(F.get("cells", F.lit(0)), F.lit("")))
-    rows = with_column_map(operation_tables(clean))
+    clean = ordered.once(clean, filled=F.size(F.filter("cells", lambda x: x != "")), head=F.coalesce(F.get("cells", F.lit(0)), F.lit("")), line=F.array_join("cells", " "))
+    rows = with_column_map(clean)
     title = F.upper("head").startswith("OPERATION SUMMARY") & (c("filled") <= 2)
     shift = ~title & c("head").rlike(SHIFT) & (c("filled") <= 2)
-    rows = ordered.stored(rows.withColumns({"title": title, "shift": shift, "part": F.floor(c("row_no") / width)}))
-    rows = ordered.carry_last(rows, ["doc_id"], "page", ["table_no", "row_no"], F.when(c("shift"), c("head")), "shift_head")
-    rows = rows.withColumn("header", ~c("title") & ~c("shift") & c("map").isNotNull())
+    rows = ordered.once(
+        rows, title=title, shift=shift, part=F.coalesce(F.floor(c("row_no") / width), F.lit(-1)), clock_at=F.when(c("line").rlike(r"\d{1,2}:\d{2}"), c("row_no")),
+        number_at=F.when(c("line").rlike(r"\d+\.\d+"), c("row_no")), here=F.upper("line").contains("OPERATION SUMMARY") | c("line").rlike(r"\d{1,2}:\d{2}.*?\d+\.\d+"))
+    rows = ordered.stored(rows.drop("line").withColumn("header", ~c("title") & ~c("shift") & c("map").isNotNull()))
     event = F.when(c("shift"), F.struct(F.lit(None).cast(rows.schema["map"].dataType).alias("map"))).when(c("header"), F.struct("map"))
-    reach, bucket, order = (["doc_id"], "page", ["table_no", "row_no"]) if across else (["doc_id", "page", "table_no"], "part", ["row_no"])
-    rows = ordered.carry_last(rows, reach, bucket, order, event, "reach")
-    rows = rows.withColumn("map", c("reach.map")).filter(c("map").isNotNull() & ~c("title") & ~c("shift") & ~c("header") & (c("filled") >= 2))
+    shift_head = F.when(c("shift"), c("head"))
+
+    table, doc = ["doc_id", "page", "table_no"], ["doc_id"]
+    at, place = [*table, "part"], ["page", "table_no", "part"]
+    inside = Window.partitionBy(*at).orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
+    reach = Window.partitionBy(*(doc if across else table)).orderBy(*(place if across else ["part"])).rowsBetween(Window.unboundedPreceding, -1)
+    whole, above = Window.partitionBy(*table), Window.partitionBy(*doc).orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
+    order = F.struct("row_no")
+    state = rows.groupBy(*at).agg(
+        F.max("here").alias("here"), F.min("clock_at").alias("first"), F.max("number_at").alias("last"),
+        F.max_by(shift_head, F.when(c("shift"), order)).alias("shift_tail"), F.max_by(event, F.when(event.isNotNull(), order)).alias("event_tail"))
+    counts = F.max("here").over(whole) | F.coalesce(F.min("first").over(whole) < F.max("last").over(whole), F.lit(False))
+    state = state.withColumn("counts", counts).filter("counts").select(
+        *at, F.last("shift_tail", ignorenulls=True).over(above).alias("shift_in"), F.last("event_tail", ignorenulls=True).over(reach).alias("event_in"))
+    rows = rows.select(*at, "row_no", "cells", "title", "shift", "header", "filled", F.last(shift_head, ignorenulls=True).over(inside).alias("shift_head"), F.last(event, ignorenulls=True).over(inside).alias("event"))
+    rows = rows.join(state, at).withColumn("map", F.coalesce("event", "event_in")["map"]).withColumn("shift_head", F.coalesce("shift_head", "shift_in"))
+    rows = rows.filter(c("map").isNotNull() & ~c("title") & ~c("shift") & ~c("header") & (c("filled") >= 2))
 
     cell = {n: F.coalesce(F.try_element_at("cells", F.nullif(c(f"map.{n}"), F.lit(0))), F.lit("")) for n in FIELDS}
-    rows = ordered.once(rows.select("doc_id", "page", "table_no", "row_no", "part", "cells", "map", "shift_head"), **cell)
-    clock, hours = c("start_time").rlike(CLOCK), c("dur_hr").rlike(DURATION)
-    rows = rows.withColumn("goes_on", (c("start_time") == "") & (c("dur_hr") == "") & (c("operation") != ""))
-    rows = rows.filter(c("goes_on") | (((c("start_time") != "") | (c("operation") != "")) & ((c("start_time") == "") | clock | hours)))
-    rows = ordered.prefix_sum(ordered.stored(rows), reach, bucket, order, F.when(c("goes_on"), 0).otherwise(1), "run")
-    kept, more = rows.filter(~c("goes_on")), rows.filter(c("goes_on") & (c("run") > 0))
-    tail = more.groupBy(*reach, "run").agg(F.sort_array(F.collect_list(F.struct("page", "table_no", "row_no", "operation"))).alias("more"))
-    kept = kept.join(tail, [*reach, "run"], "left")
-    body = F.concat_ws(" ", F.substring("operation", 1, OPERATION_CHARS), F.array_join(F.transform("more", lambda x: x["operation"]), " "))
+    rows = ordered.once(rows.select(*at, "row_no", "cells", "map", "shift_head"), **cell).drop("cells", "map")
+    rows = ordered.once(rows, clock=c("start_time").rlike(CLOCK), hours=c("dur_hr").rlike(DURATION), goes_on=(c("start_time") == "") & (c("dur_hr") == "") & (c("operation") != ""))
+    rows = rows.filter(c("goes_on") | (((c("start_time") != "") | (c("operation") != "")) & ((c("start_time") == "") | c("clock") | c("hours"))))
+    # A run is a row and its continuations; run 0 of a stretch goes to the last run of an earlier one in the same reach.
+    rows = rows.withColumn("run", F.sum(F.when(c("goes_on"), 0).otherwise(1)).over(inside))
+    rows = rows.groupBy(*at, "run").agg(
+        F.first(F.when(~c("goes_on"), F.struct("row_no", "shift_head", "clock", "hours", *FIELDS)), ignorenulls=True).alias("kept"),
+        F.sort_array(F.collect_list(F.when(c("goes_on"), F.struct("row_no", "operation")))).alias("more"))
+    rows = rows.withColumn("more", F.transform("more", lambda x: x["operation"])).withColumn("last", c("run") == F.max("run").over(Window.partitionBy(*at)))
+    rows = ordered.stored(rows)
+    ends = rows.filter("last OR run = 0").groupBy(*at).agg(F.max("run").alias("run"), F.max(F.when(c("run") == 0, c("more"))).alias("lead"))
+    owner = F.last(F.when(c("run") > 0, F.struct(*[c(x).alias(f"o_{x}") for x in at])), ignorenulls=True).over(reach)
+    lead = ends.withColumn("owner", owner).filter(c("lead").isNotNull() & c("owner").isNotNull()).groupBy(*[c(f"owner.o_{x}").alias(x) for x in at]).agg(
+        F.sort_array(F.collect_list(F.struct(*[c(x).alias(f"p_{x}") for x in place], "lead"))).alias("lead"))
+    lead = lead.select(*at, F.flatten(F.transform("lead", lambda x: x["lead"])).alias("lead"))
+    ending = rows.filter("last AND run > 0").join(lead, at, "left").withColumn("more", F.concat("more", F.coalesce("lead", F.array().cast("array<string>")))).drop("lead")
+    rows = rows.filter("NOT last AND run > 0").unionByName(ending).select("doc_id", "page", "table_no", "kept.*", "more")
+    body = F.concat_ws(" ", F.substring("operation", 1, OPERATION_CHARS), F.array_join("more", " "))
     warn = F.concat_ws(
-        " ", F.when((c("start_time") != "") & ~clock, F.concat(F.lit("unexpected start_time "), _quoted(c("start_time")))),
-        F.when((c("dur_hr") != "") & ~hours, F.concat(F.lit("unparsed duration "), _quoted(c("dur_hr")))))
-    return kept.select(
+        " ", F.when((c("start_time") != "") & ~c("clock"), F.concat(F.lit("unexpected start_time "), _quoted(c("start_time")))),
+        F.when((c("dur_hr") != "") & ~c("hours"), F.concat(F.lit("unparsed duration "), _quoted(c("dur_hr")))))
+    return rows.select(
         "doc_id", "page", "table_no", "row_no", F.coalesce("shift_head", dates.shift_block(c("start_time"))).alias("shift_block"), "start_time", "end_time",
-        F.when(hours, c("dur_hr").cast("double")).alias("duration_hr"), "phase", "op_code", "activity_code", "pt_x", (F.upper("pt_x") == "T").alias("is_npt"),
-        F.when(c("more").isNull(), F.substring("operation", 1, OPERATION_CHARS)).otherwise(body).alias("operation_text"), warn.alias("parse_warning"))
+        F.when(c("hours"), c("dur_hr").cast("double")).alias("duration_hr"), "phase", "op_code", "activity_code", "pt_x", (F.upper("pt_x") == "T").alias("is_npt"),
+        F.when(F.size("more") == 0, F.substring("operation", 1, OPERATION_CHARS)).otherwise(body).alias("operation_text"), warn.alias("parse_warning"))
