@@ -34,12 +34,18 @@ def _joined(*cols: Column) -> Column:
     return F.trim(F.concat_ws(" ", *[_text(c) for c in cols]))
 
 
-def category(text: Column, op_code: Column, activity: Column) -> Column:
+def joined(*cols: Column) -> Column:
+    """What the rules below read: the columns in one line."""
+    return _joined(*cols)
+
+
+def category(text: Column, op_code: Column, activity: Column, line: Column | None = None) -> Column:
     """H2: first matching rule group, else the op-code table, else ``other_npt``.
 
-    One alternation per group keeps the expression at one branch per category.
+    One alternation per group keeps the expression at one branch per category. ``line``: the columns joined, where the
+    caller has computed that already.
     """
-    combined = _joined(text, op_code, activity)
+    combined = _joined(text, op_code, activity) if line is None else line
     chain = F.when(combined == "", "other_npt")
     for name, patterns in dims.CATEGORY_PATTERNS:
         chain = chain.when(combined.rlike(dims.alternation(patterns)), name)
@@ -51,12 +57,21 @@ def category(text: Column, op_code: Column, activity: Column) -> Column:
 
 def classify_narrative(text: Column, op_code: Column, activity: Column, npt_code: Column) -> Column:
     """H1: struct(is_npt, category) read from the report text."""
-    combined = _joined(text, op_code, activity, npt_code)
-    codes = _joined(op_code, activity)
+    cat = narrative_category(text, op_code, activity, npt_code)
+    return F.struct((cat != "productive").alias("is_npt"), cat.alias("category"))
+
+
+def narrative_category(
+    text: Column, op_code: Column, activity: Column, npt_code: Column, line: Column | None = None, codes: Column | None = None, short: Column | None = None,
+) -> Column:
+    """H1: category read from the report text. ``line``, ``codes`` and ``short`` are all columns, the two codes and all but
+    the last joined, where the caller has computed that already."""
+    combined = _joined(text, op_code, activity, npt_code) if line is None else line
+    codes = _joined(op_code, activity) if codes is None else codes
     hit = {k: "(?i)" + p for k, p in dims.TROUBLE_PATTERNS.items()}
-    cat = (
+    return (
         F.when(combined == "", "productive")
-        .when(F.upper(F.trim(_text(npt_code))).isin(dims.EXPLICIT_NPT_CODES), category(text, op_code, activity))
+        .when(F.upper(F.trim(_text(npt_code))).isin(dims.EXPLICIT_NPT_CODES), category(text, op_code, activity, short))
         .when(codes.rlike(hit["repair_code"]), "equipment")
         .when(combined.rlike(hit["wait_repairs"]), "equipment")
         .when(combined.rlike(hit["breakdown"]), "equipment")
@@ -67,7 +82,6 @@ def classify_narrative(text: Column, op_code: Column, activity: Column, npt_code
         .when(combined.rlike(hit["explicit"]), "other_npt")
         .otherwise("productive")
     )
-    return F.struct((cat != "productive").alias("is_npt"), cat.alias("category"))
 
 
 def category_label(cat: Column) -> Column:

@@ -39,18 +39,16 @@ def apply_corpus_rule(ops: DataFrame, rule: npt.CorpusRule, wellbore: str = "wel
     c = F.col
     field = c("field_name") if "field_name" in ops.columns else F.lit("")
     member = rule.member(c("doc_id"), c(wellbore), field)
-    found = npt.classify_narrative(c("operation_text"), c("op_code"), c("activity_code"), c("pt_x"))
-    flagged = F.coalesce(c("is_npt"), F.lit(False))
-    out = ops.withColumn("__f", F.when(member, found))
-    result = F.struct(
-        F.coalesce(c("__f.is_npt"), flagged).alias("is_npt"),
-        F.when(c("__f").isNotNull(), c("__f.category"))
-        .when(~flagged, "productive")
-        .otherwise(npt.category(c("operation_text"), c("op_code"), c("activity_code"))).alias("npt_category"),
-    )
-    kept = out.drop("__f", "npt_category", "npt_cat_label").columns
-    both = ordered.once(out, __r=result)
-    return both.select(*[x for x in kept if x != "is_npt"], "__r.is_npt", "__r.npt_category").withColumn(
+    words = [c("operation_text"), c("op_code"), c("activity_code")]
+    kept = [x for x in ops.columns if x not in ("is_npt", "npt_category", "npt_cat_label")]
+    # The joined texts and the category are computed once a row, not once for each pattern and each use.
+    out = ordered.once(
+        ops, __member=member, __flag=F.coalesce(c("is_npt"), F.lit(False)), __short=npt.joined(*words), __line=npt.joined(*words, c("pt_x")), __codes=npt.joined(*words[1:]))
+    found = npt.narrative_category(*words, c("pt_x"), c("__line"), c("__codes"), c("__short"))
+    out = ordered.once(out, __cat=F.when(c("__member"), found).when(~c("__flag"), "productive").otherwise(npt.category(*words, c("__short"))))
+    return out.select(
+        *kept, F.when(c("__member"), c("__cat") != "productive").otherwise(c("__flag")).alias("is_npt"), c("__cat").alias("npt_category")
+    ).withColumn(
         "npt_cat_label", npt.category_label(c("npt_category"))
     )
 
@@ -154,7 +152,7 @@ def blocks(ops: DataFrame) -> DataFrame:
         F.coalesce(F.min("txt")["t"], F.lit("")).alias("description"),
         F.sum("n").alias("n_ops"),
     ).withColumn("npt_pct", F.when(F.col("total_h") > 0, 100.0 * F.col("npt_h") / F.col("total_h")).otherwise(0.0))
-    return ordered.position(out, ["well_id"], "report_date", ["block"], "step")
+    return ordered.position(ordered.stored(out), ["well_id"], "report_date", ["block"], "step")
 
 
 def step_filter(
@@ -197,6 +195,7 @@ def npt_streaks(steps: DataFrame, ops: DataFrame, threshold: float = 50.0, min_l
 
     A run is named by the number of breaks before it (a two-level running sum)."""
     hot = F.col("npt_pct") > threshold
+    steps = ordered.stored(steps)
     numbered = ordered.prefix_sum(
         steps, ["well_id"], "report_date", ["block"], F.when(hot, 0).otherwise(1), "run"
     )
@@ -206,12 +205,11 @@ def npt_streaks(steps: DataFrame, ops: DataFrame, threshold: float = 50.0, min_l
         F.min("report_date").alias("d0"), F.max("report_date").alias("d1"),
         F.min_by("phase", "step").alias("phase"),
     ).filter(F.col("n_steps") >= min_len)
-    # Dominant category inside the date window, joined per (well, day, category) rollup.
+    # Dominant category inside the date window, joined per (well, day, category) rollup. Runs share days only at
+    # their ends, so a run's days are at most one row a run and day.
     per_day = ops.filter(_lost()).groupBy("well_id", "report_date", "npt_category").agg(F.sum(_dur()).alias("h"))
-    r, p = runs.alias("r"), per_day.alias("p")
-    inside = r.join(
-        p, (F.col("r.well_id") == F.col("p.well_id")) & F.col("p.report_date").between(F.col("r.d0"), F.col("r.d1"))
-    ).groupBy("r.well_id", "r.run", "p.npt_category").agg(F.sum("p.h").alias("h"))
+    days = runs.select("well_id", "run", F.explode(F.sequence("d0", "d1")).alias("report_date"))
+    inside = days.join(per_day, ["well_id", "report_date"]).groupBy("well_id", "run", "npt_category").agg(F.sum("h").alias("h"))
     cause = inside.groupBy("well_id", "run").agg(
         F.min_by("npt_category", F.struct(-F.col("h"), F.col("npt_category"))).alias("cause")
     )
@@ -354,6 +352,7 @@ def phase_performance(ops: DataFrame) -> DataFrame:
 
 def takeaways(ops: DataFrame, min_phase_h: float = 24.0) -> DataFrame:
     """Primary cause, largest event, riskiest phase, repeat equipment issue per well."""
+    ops = ordered.stored(ops.select("well_id", "seq", "report_date", "phase", "is_npt", "npt_category", "npt_cat_label", "duration_hr", "operation_text"))
     lost = ops.filter(_lost())
     cause = lost.groupBy("well_id", "npt_cat_label").agg(F.sum(_dur()).alias("h")).groupBy("well_id").agg(
         F.min_by("npt_cat_label", F.struct(-F.col("h"), F.col("npt_cat_label"))).alias("cause"), F.max("h").alias("cause_h")
@@ -457,6 +456,7 @@ def cause_comparison(ops: DataFrame, w1: str, w2: str, min_h: float = 5.0) -> Da
 
 def narrative_metrics(ops: DataFrame, headers: DataFrame, min_phase_h: float = 100.0) -> DataFrame:
     """One row of narrative figures per well."""
+    ops = ordered.stored(ops.select("well_id", "report_date", "phase", "is_npt", "npt_category", "duration_hr"))
     ph = hours_by(ops, ["well_id", "phase"]).withColumn(
         "p", 100 * F.col("npt_h") / F.when(F.col("total_h") == 0, 1.0).otherwise(F.col("total_h"))
     )

@@ -38,6 +38,13 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small file out to all cores: texts compress well, so a file of a few MB may hold rows that cost
+    minutes. A scan with a task for every second core stays as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(4 * n) if 2 * df.rdd.getNumPartitions() < n else df
+
+
 def _join_bucket(df: DataFrame, side: DataFrame, on: Sequence[str]) -> DataFrame:
     """Left join on null-safe keys without duplicating the key columns."""
     renamed = side.select(

@@ -16,7 +16,7 @@ DEC = 6
 
 
 def enr(spark, d):
-    return hours.load_ops(view(spark, d, "ops"), RULE)
+    return hours.load_ops(view(spark, d, "ops", spread=True), RULE)
 
 
 def phase_dim(spark):
@@ -127,7 +127,7 @@ c0 AS (SELECT r1.well_id, run, e.npt_category, sum(duration_hr) AS h FROM r1 JOI
 c1 AS (SELECT well_id, run, npt_category AS cause FROM c0 QUALIFY row_number() OVER (PARTITION BY well_id, run ORDER BY h DESC, npt_category) = 1)
 SELECT r1.well_id, step_first, step_last, n_steps, {R('npt_h', 'total_h')}, d0, d1, phase, cause FROM r1 LEFT JOIN c1 USING (well_id, run)""")
 def _(s, d):
-    e = enr(s, d)
+    e = ordered.stored(enr(s, d).select("well_id", "report_date", "report_hour", "seq", "phase", "op_code", "npt_category", "is_npt", "duration_hr", "operation_text"))
     return auto6(hours.npt_streaks(hours.blocks(e), e))
 
 

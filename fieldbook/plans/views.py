@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fieldbook.operators import ordered
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -179,10 +181,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The view as a DataFrame over the parquet tables in ``sf_dir``."""
+def view(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """The view as a DataFrame over the parquet tables in ``sf_dir``; ``spread`` deals their rows out to all cores first."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     sql = VIEWS[name]
     for t in TABLES:
+        if spread and re.search(rf"\bFROM {t}\b", sql):
+            ordered.spread(table(spark, sf_dir, t)).createOrReplaceTempView(f"spread_{t}")
+            sql = re.sub(rf"(\bFROM ){t}\b", rf"\1spread_{t}", sql)
         sql = re.sub(rf"(\bFROM ){t}\b", rf"\1parquet.`{sf_dir}/{t}.parquet`", sql)
     return spark.sql(sql)
