@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldbook.operators import ordered
+
 # Patterns of what is reported on a sleeve, how many sleeves there are, least proppant that counts, fluid that needs a reason.
 SLEEVE = r"(?i)sleeve\s*#?\s*(\d+)"
 OPEN_AT = r"(?i)sleeve\s*#?\s*\d+\s+open\s+at\s+([\d,]+)\s*psi"
@@ -40,16 +44,23 @@ def sleeve_folds(ops: DataFrame, report_nos: DataFrame, sleeves: int = SLEEVES)
     ``ops``: well_id, seq, report_date, page, operation_text; ``report_nos``: report_date, report_no. The status machine is
     mergeable: an opening wins whenever it comes, else the first of the other events does; a packer that fails counts only
     before the first opening. So the fold is one aggregate, rows in any order, and no well is put in order."""
-    c, t = F.col, F.coalesce("operation_text", F.lit(""))
+    c, t, low = F.col, F.col("__t"), F.col("__low")
+    # A pattern is tried only where its plain word stands in the text.
+    has = lambda *words: functools.reduce(lambda a, b: a | b, [low.contains(w) for w in words])
+    ops = ordered.once(ops, __t=F.coalesce("operation_text", F.lit("")))
+    ops = ordered.once(ops, __low=F.lower("__t")).filter(has("sleeve"))
     each = F.filter(F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit(SLEEVE), F.lit(1)), lambda n: n.try_cast("int"))), lambda n: n.between(1, sleeves))
-    first = lambda pattern: F.get(_numbers(t, pattern), F.lit(0))
-    main = t.rlike(MAIN_FRAC)
-    rows = ops.filter(t.rlike(SLEEVE)).select(
-        "well_id", "report_date", "page", F.struct("report_date", "page", "seq").alias("at"), F.explode(each).alias("sleeve_no"),
-        first(OPEN_AT).alias("open_psi"), (t.rlike(OPEN_AT) | t.rlike(CONFIRMED)).alias("opens"), first(BREAKOVER).alias("breakover_psi"), first(ISIP).alias("isip_psi"),
-        _total(_numbers(t, INJECTED)).alias("vol"), _total(F.filter(F.when(main, _numbers(t, PROPPANT)), lambda x: x > LEAST_LBS)).alias("lbs"), _total(F.when(main, _numbers(t, FLUID))).alias("fluid"),
-        F.array_max(_numbers(t, STAGE)).alias("rate"), F.array_max(_numbers(t, STAGE, 2)).alias("treat"), t.rlike(PACKER).alias("fails"),
-        F.when(t.rlike(NO_SIGN), "NO INDICATION").when(t.rlike(PACKER) | t.rlike(LOCATED), "LOCATED").alias("other"))
+    first = lambda word, pattern: F.when(has(word), F.get(_numbers(t, pattern), F.lit(0)))
+    main = has("frac") & t.rlike(MAIN_FRAC)
+    rows = ordered.once(
+        ops, __each=each, __main=main, __open=first("open", OPEN_AT), __open_at=has("open") & t.rlike(OPEN_AT), __fails=has("packer", "integrity") & t.rlike(PACKER))
+    rows = rows.filter(F.size("__each") > 0).select(
+        "well_id", "report_date", "page", F.struct("report_date", "page", "seq").alias("at"), F.explode("__each").alias("sleeve_no"),
+        c("__open").alias("open_psi"), (c("__open_at") | (has("confirm") & t.rlike(CONFIRMED))).alias("opens"), first("breakover", BREAKOVER).alias("breakover_psi"), first("isip", ISIP).alias("isip_psi"),
+        F.when(has("inject"), _total(_numbers(t, INJECTED))).alias("vol"), F.when(c("__main"), _total(F.filter(_numbers(t, PROPPANT), lambda x: x > LEAST_LBS))).alias("lbs"), F.when(c("__main"), _total(_numbers(t, FLUID))).alias("fluid"),
+        F.when(has("stage"), F.array_max(_numbers(t, STAGE))).alias("rate"), F.when(has("stage"), F.array_max(_numbers(t, STAGE, 2))).alias("treat"), c("__fails").alias("fails"),
+        F.when(has("indication", "unable") & t.rlike(NO_SIGN), "NO INDICATION").when(c("__fails") | (has("packer", "located") & t.rlike(LOCATED)), "LOCATED").alias("other"))
+    rows = ordered.stored(rows)  # read for the fold and for the failures before an opening
     key = ["well_id", "sleeve_no"]
     cite = F.struct("report_date", "page")
     agg = rows.groupBy(*key).agg(
