@@ -94,6 +94,7 @@ def corpus_metrics(chunks: DataFrame) -> DataFrame:
     """Chunk and page counts and word statistics per document."""
     from fieldbook.operators import quantiles
 
+    chunks = ordered.stored(chunks.select("doc_id", "page", "word_count"))  # the texts are read once
     a = chunks.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_chunks"), F.countDistinct("page").alias("n_pages"), F.avg("word_count").alias("mean_words"),
         F.max("word_count").alias("max_words"), F.count_if(F.col("word_count") > 300).alias("n_over_300"))
