@@ -39,6 +39,7 @@ def cooccurrence(rows: DataFrame, window: int = 0, min_weight: int = 3) -> DataF
     rows cross buckets."""
     kept = rows.filter(F.size("terms") > 0)
     if window > 0:
+        kept = ordered.stored(kept.select("phase", "report_date", "doc_id", "report_hour", "seq", "terms"))
         day = Window.partitionBy("phase", "report_date").orderBy("doc_id", "report_hour", "seq")
         nxt = kept.withColumn("__t", F.collect_list("terms").over(day.rowsBetween(0, window)))
         heads = ordered.top_n_per(kept.select("phase", "report_date", "doc_id", "report_hour", "seq", "terms"),
@@ -51,8 +52,10 @@ def cooccurrence(rows: DataFrame, window: int = 0, min_weight: int = 3) -> DataF
         short = window + 1 - F.size("__t")
         more = F.transform(F.slice(F.coalesce("lt", F.array()), F.lit(1), F.greatest(short, F.lit(0))), lambda x: x["terms"])
         kept = j.withColumn("terms", F.array_sort(F.array_distinct(F.flatten(F.concat("__t", more)))))
-    p = kept.select("phase", F.explode(_pairs("terms")).alias("p"))
-    return p.groupBy("phase", "p.a", "p.b").agg(F.count(F.lit(1)).alias("weight")).filter(F.col("weight") >= min_weight)
+    # Equal lists are folded first: a list makes as many pairs as the square of its length.
+    lists = kept.groupBy("phase", "terms").agg(F.count(F.lit(1)).alias("__n"))
+    p = lists.select("phase", "__n", F.explode(_pairs("terms")).alias("p"))
+    return p.groupBy("phase", "p.a", "p.b").agg(F.sum("__n").alias("weight")).filter(F.col("weight") >= min_weight)
 
 
 def node_stats(rows: DataFrame) -> DataFrame:
@@ -83,6 +86,7 @@ def _keep(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def prune(edges: DataFrame, min_degree: int = 2, max_nodes: int | None = None) -> DataFrame:
     """One degree cut, then, if ``max_nodes`` is given, all op codes plus the strongest terms up to it per phase;
     nodes left without edge disappear with their edges."""
+    edges = ordered.stored(edges)
     e = _keep(edges, degrees(edges).filter(F.col("degree") >= min_degree))
     if max_nodes is None:
         return e
@@ -95,6 +99,7 @@ def prune(edges: DataFrame, min_degree: int = 2, max_nodes: int | None = None) -
 
 def norm_weights(edges: DataFrame) -> DataFrame:
     """Weight over the phase's largest weight."""
+    edges = ordered.stored(edges)
     m = edges.groupBy("phase").agg(F.max("weight").alias("__m"))
     return edges.join(m, "phase").withColumn("norm_weight", F.bround(F.col("weight") / F.col("__m"), 4)).drop("__m")
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from fieldbook.functions import text
 from fieldbook.operators import ordered
-from fieldbook.session import ensure_checkpoint_dir
 
 # Wording of the phase ladder, first fit wins.
 PHASE_WORDS = [
@@ -164,8 +163,8 @@ def graph_view(edges: DataFrame, nodes: DataFrame, mode: str = "all", min_weight
     kept = edges.filter(F.col("norm_weight") >= min_weight)
     if mode == "all":
         return kept
-    ensure_checkpoint_dir(edges.sparkSession)
-    kept = kept.checkpoint()  # read six times below
+    kept = ordered.stored(kept)  # read six times below
+    nodes = ordered.stored(nodes.select("phase", "term", "npt_ratio", "node_type"))
     has = lambda words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.col("term").contains(w))
     seed = {"risk": F.col("npt_ratio") > 0.35, "workflow": F.col("node_type") == "op_code", "pressure": has(PRESSURE_TERMS), "completion": has(COMPLETION_TERMS)}[mode]
     ends = kept.select("phase", F.col("a").alias("term")).unionByName(kept.select("phase", F.col("b").alias("term"))).distinct()
@@ -208,6 +207,7 @@ def contract_checks(rows: DataFrame, key: Sequence[str], critical: Sequence[str]
 
 def recommendations(ops: DataFrame, events: DataFrame, n_decisions: DataFrame) -> DataFrame:
     """Rule-based hints from one row of totals each."""
+    ops = ordered.stored(ops.groupBy("npt_category", "is_npt").agg(F.sum("duration_hr").alias("duration_hr")))
     cat = ops.filter("is_npt").groupBy("npt_category").agg(F.sum("duration_hr").alias("h"))
     top = cat.agg(F.min_by("npt_category", F.struct((-F.col("h")).alias("h"), "npt_category")).alias("cause"), F.max("h").alias("cause_h"))
     tot = ops.agg(F.sum("duration_hr").alias("all_h"), F.sum(F.when(F.col("is_npt"), F.col("duration_hr")).otherwise(0.0)).alias("npt_h"))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fieldbook.functions import dates
 from fieldbook.functions.text import Vocabulary
 from fieldbook.operators import graph
 from fieldbook.plans import oracle as o
 from fieldbook.plans.hours_queries import PH, auto6, enr, phase_dim
 from fieldbook.plans.registry import query
+from fieldbook.plans.views import view
 
 VOCAB = Vocabulary(
     stop_words=["the", "and", "with", "from", "for", "ahead", "number"], unit_tokens=["bbls", "klbs", "minutes"],
@@ -32,6 +34,11 @@ def rows(s, d):
     return graph.row_terms(enr(s, d), VOCAB)
 
 
+def edge_rows(s, d):
+    """Rows for edges alone, which do not ask whether time was lost."""
+    return graph.row_terms(view(s, d, "ops", spread=True).withColumn("report_hour", dates.report_hour(F.col("start_time"))), VOCAB)
+
+
 @query("graph_terms", "C25 C26", f"WITH {TERMS} SELECT seq, array_to_string(terms, ' ') AS terms FROM rt")
 def _(s, d):
     return rows(s, d).select("seq", F.array_join("terms", " ").alias("terms"))
@@ -39,14 +46,14 @@ def _(s, d):
 
 @query("cooccurrence_edges", "N29", f"WITH {EDGES} SELECT phase, a, b, weight FROM ed")
 def _(s, d):
-    return graph.cooccurrence(rows(s, d))
+    return graph.cooccurrence(edge_rows(s, d))
 
 
 @query("cooccurrence_window2", "N29", TERMS.join(["WITH ", """, rn AS (SELECT phase, terms, row_number() OVER (PARTITION BY phase ORDER BY report_date, doc_id, report_hour, seq) AS rn FROM rt WHERE len(terms) > 0),
 wx AS (SELECT phase, rn, unnest(list_distinct(flatten(list(terms) OVER (PARTITION BY phase ORDER BY rn ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)))) AS term FROM rn)
 SELECT x.phase, x.term AS a, y.term AS b, count(*) AS weight FROM wx x JOIN wx y ON x.phase = y.phase AND x.rn = y.rn AND x.term < y.term GROUP BY 1, 2, 3 HAVING count(*) >= 3"""]))
 def _(s, d):
-    return graph.cooccurrence(rows(s, d), window=2)
+    return graph.cooccurrence(edge_rows(s, d), window=2)
 
 
 @query("graph_node_stats", "N30", f"WITH {TERMS} SELECT phase, term, count(*) AS n_rows, round_even(avg(is_npt::INT), 3) AS npt_ratio, CASE WHEN starts_with(term, 'op:') THEN 'op_code' ELSE 'term' END AS node_type, CASE WHEN starts_with(term, 'op:') THEN substr(term, 4) ELSE term END AS label FROM ex GROUP BY 1, 2")
@@ -56,29 +63,29 @@ def _(s, d):
 
 @query("graph_degrees", "N32", f"WITH {EDGES} SELECT phase, term, degree, strength FROM dg")
 def _(s, d):
-    return graph.degrees(graph.cooccurrence(rows(s, d)))
+    return graph.degrees(graph.cooccurrence(edge_rows(s, d)))
 
 
 @query("graph_pruned", "N31 N36", f"""WITH {EDGES}, e1 AS (SELECT ed.* FROM ed JOIN dg x ON x.phase = ed.phase AND x.term = a AND x.degree >= 2 JOIN dg y ON y.phase = ed.phase AND y.term = b AND y.degree >= 2),
 d1 AS (SELECT phase, term, sum(weight) AS st FROM (SELECT phase, a AS term, weight FROM e1 UNION ALL SELECT phase, b, weight FROM e1) GROUP BY 1, 2)
 SELECT phase, a, b, weight FROM e1""")
 def _(s, d):
-    return graph.prune(graph.cooccurrence(rows(s, d)), max_nodes=None)
+    return graph.prune(graph.cooccurrence(edge_rows(s, d)), max_nodes=None)
 
 
 @query("graph_norm_weights", "N32", f"WITH {EDGES} SELECT phase, a, b, weight, round_even(weight / max(weight) OVER (PARTITION BY phase), 4) AS norm_weight FROM ed")
 def _(s, d):
-    return graph.norm_weights(graph.cooccurrence(rows(s, d)))
+    return graph.norm_weights(graph.cooccurrence(edge_rows(s, d)))
 
 
 @query("strongest_edges", "N57", f"WITH {EDGES} SELECT phase, a, b, weight, (row_number() OVER (PARTITION BY phase ORDER BY weight DESC, a, b))::INT AS rank FROM ed QUALIFY rank <= 15")
 def _(s, d):
-    return graph.strongest_edges(graph.cooccurrence(rows(s, d)))
+    return graph.strongest_edges(graph.cooccurrence(edge_rows(s, d)))
 
 
 @query("graph_communities", "N33")
 def _(s, d):
-    return graph.communities(graph.cooccurrence(rows(s, d)))
+    return graph.communities(graph.cooccurrence(edge_rows(s, d)))
 
 
 WIN = TERMS + f""", {PH},

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldbook.operators import events as ev
-from fieldbook.operators import graph, quality
+from fieldbook.operators import graph, ordered, quality
 from fieldbook.operators import retrieval as rt
 from fieldbook.plans import oracle as o
 from fieldbook.plans.event_queries import EVT, evs
@@ -122,6 +122,14 @@ def _(s, d):
 
 _NW = EDGES + """, nw AS (SELECT phase, a, b, weight, round_even(weight / max(weight) OVER (PARTITION BY phase), 4) AS norm_weight FROM ed),
 nd AS (SELECT phase, term, count(*) AS n_rows, round_even(avg(is_npt::INT), 3) AS npt_ratio, CASE WHEN starts_with(term, 'op:') THEN 'op_code' ELSE 'term' END AS node_type FROM ex GROUP BY 1, 2)"""
+
+
+def _view(terms, mode):
+    """The terms of the rows are read for edges and for nodes."""
+    terms = ordered.stored(terms.select("phase", "is_npt", "terms"))
+    return quality.graph_view(graph.norm_weights(graph.cooccurrence(terms)), graph.node_stats(terms), mode, 0.05)
+
+
 _has = lambda ws: " OR ".join(f"contains(term, '{w}')" for w in ws)
 for _mode, _cond in (("all", None), ("risk", "npt_ratio > 0.35"), ("workflow", "node_type = 'op_code'"), ("pressure", _has(quality.PRESSURE_TERMS)), ("completion", _has(quality.COMPLETION_TERMS))):
     _sql = f"WITH {_NW}, k AS MATERIALIZED (SELECT * FROM nw WHERE norm_weight >= 0.05)" + (" SELECT * FROM k" if _cond is None else f""",
@@ -129,7 +137,7 @@ sd AS MATERIALIZED (SELECT phase, term FROM nd WHERE ({_cond}) AND (phase, term)
 kp AS MATERIALIZED (SELECT phase, term FROM sd UNION SELECT phase, a FROM k WHERE (phase, b) IN (SELECT (phase, term) FROM sd) UNION SELECT phase, b FROM k WHERE (phase, a) IN (SELECT (phase, term) FROM sd))
 SELECT * FROM k WHERE phase NOT IN (SELECT phase FROM sd) OR ((phase, a) IN (SELECT (phase, term) FROM kp) AND (phase, b) IN (SELECT (phase, term) FROM kp))""")
     query(f"graph_view_{_mode}", "N36", _sql)(
-        lambda s, d, m=_mode: quality.graph_view(graph.norm_weights(graph.cooccurrence(rows(s, d))), graph.node_stats(rows(s, d)), m, 0.05).select("phase", "a", "b", "weight", "norm_weight"))
+        lambda s, d, m=_mode: _view(rows(s, d), m).select("phase", "a", "b", "weight", "norm_weight"))
 
 
 @query("graph_summary", "N35", f"""WITH {_NW}, t AS (SELECT phase, string_agg(term, ' ' ORDER BY n_rows DESC, term) AS top_terms FROM (SELECT *, row_number() OVER (PARTITION BY phase ORDER BY n_rows DESC, term) AS rn FROM nd) WHERE rn <= 8 GROUP BY 1)
@@ -157,5 +165,5 @@ h AS (SELECT list_filter([CASE WHEN 100 * t.n / t.a > 30 THEN 'NPT ' || printf('
  CASE WHEN losses > 0 THEN losses || ' mud losses, peak ' || printf('%.0f', rate) || ' bbl/hr' END, CASE WHEN ecd IS NOT NULL THEN 'high ECD, max ' || printf('%.2f', ecd) || ' ppge' END, CASE WHEN dc.n > 0 THEN dc.n || ' decisions recorded' END], lambda x: x IS NOT NULL) AS hs FROM t, c, e, dc)
 SELECT unnest(CASE WHEN len(hs) > 0 THEN hs ELSE ['no specific risks'] END) AS hint FROM h""")
 def _(s, d):
-    n = ev.decisions(view(s, d, "narr")).agg(F.count(F.lit(1)).alias("n_decisions"))
+    n = ev.decisions(view(s, d, "narr", spread=True)).agg(F.count(F.lit(1)).alias("n_decisions"))
     return quality.recommendations(enr(s, d), evs(s, d), n)
