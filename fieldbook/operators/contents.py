@@ -50,6 +50,7 @@ def page_offset(items: DataFrame, pages: DataFrame, toc_pages: DataFrame, most:
     its words, at least two of them. ``items``: doc_id, title_norm, start_printed_page; ``pages``: doc_id, page, clean_text;
     ``toc_pages``: doc_id, page. Every page meets its document's few titles as one row, so the work is linear in the pages."""
     c = F.col
+    items = ordered.stored(items.select("doc_id", "title_norm", "start_printed_page"))  # the titles are read twice
     it = ordered.once(items, tokens=title_tokens(c("title_norm")))
     order = [F.desc("enough"), F.desc(F.length("title_norm")), F.desc("start_printed_page"), F.asc("title_norm")]
     ranked = ordered.top_n_per(it.withColumn("enough", F.size("tokens") >= 2), ["doc_id"], order, most)
