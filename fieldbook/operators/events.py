@@ -6,6 +6,8 @@ and nothing crosses rows before the final grouping.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +42,8 @@ FORMATION = [
     ("ballooning", r"(?i)ballooning|breathing\s+formation|wellbore\s+breathing"),
     ("diff_sticking", r"(?i)differential\s+st(?:ick|uck)|wall\s+stick|diff\s+st(?:ick|uck)"),
 ]
+#: Plain words without which a pattern above cannot match.
+FORMATION_WORDS = {"gas_influx": ["gas"], "instability": ["instab", "caving", "sloughing", "spalling", "heaving", "unconsolidated"], "ballooning": ["ballooning", "breathing"], "diff_sticking": ["diff", "wall"]}
 CASED = r"(?i)inside casing|inside liner|inside 9-7/8|inside 7\"|inside the liner|cased hole|through tubing|inside completion|frac sleeve|ncs sleeve"
 OPEN = r"(?i)open hole|below shoe|below casing shoe|in formation|rat hole|below 9-7/8|open-hole|below 13-3/8"
 LINER = r"(?i)rih liner|set packer|liner hanger|running liner|liner deployment"
@@ -92,13 +96,18 @@ def depths() -> Column:
     return F.filter(F.transform(_all(DEPTH), _num), lambda v: v.between(50, 30000))
 
 
-def hole_type() -> Column:
+def _has(low: Column):
+    """Whether one of some plain words stands in a lower-cased text: a pattern is tried only where its word does."""
+    return lambda *words: functools.reduce(lambda a, b: a | b, [low.contains(w) for w in words])
+
+
+def hole_type(low: Column | None = None) -> Column:
     """By wording, else by phase."""
-    t = _t()
-    chain = F.when(t.rlike(CASED), "cased").when(t.rlike(OPEN), "open")
+    t, has = _t(), _has(F.lower(_t()) if low is None else low)
+    chain = F.when(has("inside", "cased", "tubing", "sleeve") & t.rlike(CASED), "cased").when(has("open", "below", "formation", "rat hole") & t.rlike(OPEN), "open")
     for ph, h in PHASE_HOLE.items():
         chain = chain.when(F.col("phase") == ph, h)
-    return chain.when(F.col("phase") == "PROD1", F.when(t.rlike(LINER), "cased").otherwise("open")).otherwise("unknown")
+    return chain.when(F.col("phase") == "PROD1", F.when(has("liner", "packer") & t.rlike(LINER), "cased").otherwise("open")).otherwise("unknown")
 
 
 def _event(kind: str, sub, depth=None, force=None, volume=None, rate=None, severity=None, lcm=None, ecd=None) -> Column:
@@ -181,7 +190,7 @@ def restrictions() -> Column:
     least 20 klbs, else a pack-off mention."""
     found = F.concat("__do", "__tg")
     pack = F.array(_event("restriction", "packoff", _first_depth()))
-    return F.when((F.size(found) == 0) & _t().rlike(r"(?i)\bpackoff\b"), pack).otherwise(found)
+    return F.when((F.size(found) == 0) & F.col("__low").contains("packoff") & _t().rlike(r"(?i)\bpackoff\b"), pack).otherwise(found)
 
 
 def _rated() -> Column:
@@ -210,26 +219,31 @@ def losses() -> Column:
     sv = F.col("__sv")
     static = F.array(_event("mud_loss", "static", d, rate=sv, severity=F.when(sv < 5, "seepage").otherwise("partial"), lcm=False))
     treat = F.array(_event("mud_loss", "lcm", d, severity="lcm_treatment", lcm=True))
-    return F.when(empty & t.rlike(NO_LOSS), _none()).when(~empty, some).when(sv.isNotNull(), static).when(lcm, treat).otherwise(_none())
+    return F.when(empty & _has(F.col("__low"))("loss", "observed") & t.rlike(NO_LOSS), _none()).when(~empty, some).when(sv.isNotNull(), static).when(lcm, treat).otherwise(_none())
 
 
 def formation() -> Column:
     """ECD above 11 ppge and formation wording."""
     ecd = F.filter(F.transform(F.transform(_all(HIGH_ECD, 0), lambda m: F.regexp_extract(m, r"([\d]{2}\.[\d]{2,3})\s*ppge?", 1).try_cast("double")),
                                lambda v: _event("formation", "high_ecd", _first_depth(), ecd=v)), lambda e: e["ecd_ppge"] > 11.0)
-    flags = F.array_compact(F.array(*[F.when(_t().rlike(p), _event("formation", n, _first_depth())) for n, p in FORMATION]))
-    return F.concat(ecd, flags)
+    has = _has(F.col("__low"))
+    flags = F.array_compact(F.array(*[F.when(has(*FORMATION_WORDS[n]) & _t().rlike(p), _event("formation", n, _first_depth())) for n, p in FORMATION]))
+    return F.concat(F.when(has("ecd"), ecd).otherwise(_none()), flags)
 
 
 def extract_events(ops: DataFrame) -> DataFrame:
     """One row per event with hole type."""
     t = _t()
+    has = _has(F.col("__low"))
+    base = ordered.once(ops.filter(t.isNotNull()).select("seq", "report_date", "phase", "operation_text"), __low=F.lower(t))
     base = ordered.once(
-        ops.filter(t.isNotNull()).select("seq", "report_date", "phase", "operation_text"), __d=depths(), hole_type=hole_type(),
-        __do=_depth_only(), __op=overpulls(), __tg=_tags(), __rt=_rated(), __full=t.rlike(FULL_LOSS), __lcm=t.rlike(LCM),
-        __sv=F.regexp_extract(t, STATIC_LOSS, 1).try_cast("double"),
+        base, __d=F.when(has("ft"), depths()).otherwise(F.array().cast("array<double>")), hole_type=hole_type(F.col("__low")),
+        __do=F.when(has("restriction", "tight", "packoff"), _depth_only()).otherwise(_none()), __op=F.when(has("overpull"), overpulls()).otherwise(_none()),
+        __tg=F.when(has("tagged"), _tags()).otherwise(_none()), __rt=F.when(has("loss"), _rated()).otherwise(F.array().cast("array<struct<v:double,is_rate:boolean>>")),
+        __full=has("loss", "returns") & t.rlike(FULL_LOSS), __lcm=has("lcm", "lost") & t.rlike(LCM), __sv=F.when(has("static"), F.regexp_extract(t, STATIC_LOSS, 1).try_cast("double")),
     )
-    return base.select("seq", "report_date", "phase", "hole_type", F.inline(F.concat(restrictions(), F.col("__op"), losses(), formation())))
+    base = ordered.once(base, __found=F.concat(restrictions(), F.col("__op"), losses(), formation()))
+    return base.select("seq", "report_date", "phase", "hole_type", F.inline("__found"))
 
 
 def assemble(events: DataFrame, header_depth: DataFrame) -> DataFrame:
@@ -291,10 +305,14 @@ def metrics(ops: DataFrame) -> DataFrame:
         return F.filter(a, lambda x: (x["value"] >= lo) & (x["value"] <= hi))
 
     tiny = 1e-9
-    own = F.concat(vals(ROP_INST, "rop_inst", "ft/hr", tiny, 2000), vals(ROP_AVG, "rop_avg", "ft/hr", tiny, 2000))
-    rop = F.when(F.size(own) > 0, own).otherwise(vals(ROP_GEN, "rop_gen", "ft/hr", tiny, 2000))
+    kind = "array<struct<metric_type:string,value:double,unit:string>>"
+    # A pattern is tried only where its plain word stands in the text.
+    where = lambda word, found: F.when(F.col("__low").contains(word), found).otherwise(F.array().cast(kind))
+    ops = ordered.once(ops.filter(_t().isNotNull()), __low=F.lower(_t()))
+    ops = ordered.once(ops, __own=where("rop", F.concat(vals(ROP_INST, "rop_inst", "ft/hr", tiny, 2000), vals(ROP_AVG, "rop_avg", "ft/hr", tiny, 2000))))
+    rop = F.when(F.size("__own") > 0, F.col("__own")).otherwise(where("rop", vals(ROP_GEN, "rop_gen", "ft/hr", tiny, 2000)))
     run = F.when(_t().rlike(TUBING), "tubing_speed").when(_t().rlike(CASING), "casing_speed").otherwise("running_speed")
-    every = F.concat(rop, vals(JOINTS, run, "joints/hr", tiny, 200), vals(WOB, "wob", "klbs", tiny, 100), vals(FLOW, "flow_rate", "gpm", 100, 2000))
+    every = F.concat(rop, where("hr", vals(JOINTS, run, "joints/hr", tiny, 200)), where("wob", vals(WOB, "wob", "klbs", tiny, 100)), where("gpm", vals(FLOW, "flow_rate", "gpm", 100, 2000)))
     return ops.select("seq", "report_date", "phase", _num(F.regexp_extract(_t(), INTERVAL, 1)).alias("depth_from_ft"),
                       _num(F.regexp_extract(_t(), INTERVAL, 2)).alias("depth_to_ft"), F.inline(every))
 
@@ -302,8 +320,9 @@ def metrics(ops: DataFrame) -> DataFrame:
 def metric_summary(m: DataFrame) -> DataFrame:
     """I16: count, range, median and 90th percentile per type and phase."""
     k = ["metric_type", "phase"]
-    a = m.groupBy(*k).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("min_v"), F.max("value").alias("max_v"))
-    return a.join(quantiles.exact_quantiles(m, k, "value", {"p50": 0.5, "p90": 0.9}), k)
+    m = ordered.stored(m.groupBy(*k, "value").agg(F.count(F.lit(1)).alias("times")))  # the texts are read once
+    a = m.groupBy(*k).agg(F.sum("times").alias("n"), F.min("value").alias("min_v"), F.max("value").alias("max_v"))
+    return a.join(quantiles.exact_quantiles(m, k, "value", {"p50": 0.5, "p90": 0.9}, weight="times"), k)
 
 
 def decisions(ops: DataFrame, limit: int = 2) -> DataFrame:

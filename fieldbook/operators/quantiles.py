@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldbook.operators import ordered
+
 
 def exact_quantiles(
     df: DataFrame,
@@ -20,12 +22,13 @@ def exact_quantiles(
     value: str,
     probs: Mapping[str, float],
     cells: int = 1024,
+    weight: str | None = None,
 ) -> DataFrame:
-    """keys → one column per ``probs`` entry (name → probability)."""
-    counts = (
+    """keys → one column per ``probs`` entry (name → probability); ``weight`` counts a row that often."""
+    counts = ordered.stored(
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("__x"))
-        .agg(F.count(F.lit(1)).alias("__n"))
+        .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("__n"))
     )
     span = counts.groupBy(*keys).agg(
         F.min("__x").alias("__lo"), F.max("__x").alias("__hi"), F.sum("__n").alias("__tot")

@@ -39,12 +39,12 @@ COLS = ["seq", "hole_type", "event_type", "sub_type", "depth_ft", "loss_rate_bbl
 
 
 def evs(s, d):
-    return ev.extract_events(view(s, d, "narr"))
+    return ev.extract_events(view(s, d, "narr", spread=True))
 
 
 @query("extract_depths_hole", "I1 I2", f"WITH {{narr}} SELECT seq, {_HOLE} AS hole_type, array_to_string(list_transform({_D}, lambda x: x::BIGINT), ',') AS depths FROM narr")
 def _(s, d):
-    return view(s, d, "narr").select("seq", ev.hole_type().alias("hole_type"), F.array_join(F.transform(ev.depths(), lambda x: x.cast("bigint").cast("string")), ",").alias("depths"))
+    return view(s, d, "narr", spread=True).select("seq", ev.hole_type().alias("hole_type"), F.array_join(F.transform(ev.depths(), lambda x: x.cast("bigint").cast("string")), ",").alias("depths"))
 
 
 @query("loss_formation_events", "I5 I6 S7", f"WITH {EVT} SELECT {', '.join(COLS)} FROM evt WHERE event_type IN ('mud_loss', 'formation')")
@@ -66,13 +66,13 @@ def _(s, d):
  CASE WHEN contains(operation_text, 'until divergen') THEN 'initiation' ELSE 'pass' END AS result FROM narr WHERE regexp_matches(operation_text, 'Performed (FIT|LOT)'))
 SELECT min(seq) AS seq, report_date, phase, arg_min(test_type, seq) AS test_type, limit_ppge, arg_min(result, seq) AS result FROM x GROUP BY report_date, phase, limit_ppge""")
 def _(s, d):
-    return ev.fit_lot(view(s, d, "narr")).select("seq", "report_date", "phase", "test_type", "limit_ppge", "result")
+    return ev.fit_lot(view(s, d, "narr", spread=True)).select("seq", "report_date", "phase", "test_type", "limit_ppge", "result")
 
 
 @query("trip_speed", "I12", f"""WITH {{narr}}, x AS (SELECT seq, phase, operation_text AS t, unnest(list_transform(regexp_extract_all(operation_text, '([0-9]+) ft/min', 1), lambda v: v::DOUBLE)) AS value FROM narr)
 SELECT seq, phase, value, CASE WHEN contains(t, 'open hole') THEN 'OH' WHEN regexp_matches(t, 'cased hole|casing') THEN 'CH' END AS hole_type FROM x WHERE value BETWEEN 1 AND 500""")
 def _(s, d):
-    return ev.trip_speed(view(s, d, "narr")).select("seq", "phase", "value", "hole_type")
+    return ev.trip_speed(view(s, d, "narr", spread=True)).select("seq", "phase", "value", "hole_type")
 
 
 @query("event_summary", "I10 N27", f"""WITH {EVT} SELECT event_type, sub_type, count(*) AS n_events, min(depth_ft) AS min_depth, max(depth_ft) AS max_depth, max(force_klbs) AS max_force, max(loss_rate_bbl_hr) AS max_rate, max(ecd_ppge) AS max_ecd, count(*) FILTER (hole_type = 'open') AS n_open, count(*) FILTER (hole_type = 'cased') AS n_cased FROM evt GROUP BY 1, 2""")
@@ -104,14 +104,14 @@ MET = f"""{{narr}}, m AS MATERIALIZED (SELECT seq, phase, 'rop_inst' AS metric_t
 
 @query("drilling_metrics", "I11 I13 I14 I15", f"WITH {MET} SELECT seq, phase, metric_type, value, unit, TRY_CAST({_ex('from ([0-9]+) ft to ([0-9]+) ft', 1)} AS DOUBLE) AS depth_from_ft, TRY_CAST({_ex('from ([0-9]+) ft to ([0-9]+) ft', 2)} AS DOUBLE) AS depth_to_ft FROM m")
 def _(s, d):
-    return ev.metrics(view(s, d, "narr")).drop("report_date")
+    return ev.metrics(view(s, d, "narr", spread=True)).drop("report_date")
 
 
 @query("metric_summary", "I16 E5", f"WITH {MET} SELECT metric_type, phase, count(*) AS n, min(value) AS min_v, max(value) AS max_v, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90 FROM m GROUP BY 1, 2")
 def _(s, d):
-    return auto6(ev.metric_summary(ev.metrics(view(s, d, "narr"))))
+    return auto6(ev.metric_summary(ev.metrics(view(s, d, "narr", spread=True))))
 
 
 @query("decision_sentences", "I19", f"WITH {{narr}}, x AS (SELECT seq, phase, list_filter(list_transform(regexp_split_to_array(operation_text, '[.•\\n]'), lambda x: trim(x)), lambda x: regexp_matches(x, {o.q(dims.DECISION_PATTERN)}, 'i') AND length(x) > 20)[1:2] AS ss FROM narr) SELECT seq, phase, (unnest(range(len(ss))))::INT AS pos, unnest(ss) AS sentence FROM x")
 def _(s, d):
-    return ev.decisions(view(s, d, "narr"))
+    return ev.decisions(view(s, d, "narr", spread=True))
