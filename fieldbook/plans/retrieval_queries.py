@@ -43,8 +43,8 @@ def questions(s, d):
     return b.select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("scope_id"), F.col("text").alias("question"))
 
 
-def scores(s, d):
-    return rt.bm25(chunks(s, d), questions(s, d))
+def lexical(s, d, k):
+    return rt.rank(rt.bm25_best(chunks(s, d), questions(s, d), k), k)
 
 
 def dense(s, d, k=10):
@@ -76,7 +76,7 @@ def _(s, d):
 
 @query("bm25_scores", "M2", f"WITH {SC} SELECT query_id, chunk_key, round(score, 6) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_key))::INT AS rank FROM sc QUALIFY rank <= {DEPTH}")
 def _(s, d):
-    return auto6(rt.rank(scores(s, d), DEPTH))
+    return auto6(lexical(s, d, DEPTH))
 
 
 @query("bm25_scoped", "M3 B3", f"""WITH {TOK}, nn AS (SELECT scope_id, count(*) AS n, any_value(t) / count(*) AS avgdl FROM ch JOIN (SELECT scope_id, sum(dl) AS t FROM dl GROUP BY 1) USING (scope_id) GROUP BY 1),
@@ -85,7 +85,7 @@ SELECT query_id, chunk_key, round(score, 6) AS score, (row_number() OVER (PARTIT
 SELECT query_id, chunk_key, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
 FROM qt JOIN po USING (scope_id, term) JOIN df USING (scope_id, term) JOIN dl USING (scope_id, chunk_key) JOIN nn USING (scope_id) GROUP BY 1, 2) QUALIFY rank <= {DEPTH}""")
 def _(s, d):
-    return auto6(rt.rank(rt.bm25(chunks(s, d), questions(s, d), scope=["scope_id"]), DEPTH))
+    return auto6(rt.rank(rt.bm25_best(chunks(s, d), questions(s, d), DEPTH, scope=["scope_id"]), DEPTH))
 
 
 @query("dense_top10", "M4 C43", f"WITH {CH}{DN} SELECT query_id, chunk_key, round(score, 6) AS score, rank::INT AS rank FROM dr")
@@ -99,7 +99,7 @@ _FU = f"""WITH {SC}{_dr(DEPTH)}, br AS (SELECT *, row_number() OVER (PARTITION B
 @query("rank_fusion", "M5 D15", _FU + """, fu AS (SELECT query_id, chunk_key, dr.rank::INT AS dense_rank, br.rank::INT AS bm25_rank, coalesce(0.5 / (20 + dr.rank), 0) + coalesce(2.0 / (20 + br.rank), 0) AS score FROM dr FULL JOIN br USING (query_id, chunk_key))
 SELECT query_id, chunk_key, dense_rank, bm25_rank, round(score, 6) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_key))::INT AS rank FROM fu QUALIFY rank <= 10""")
 def _(s, d):
-    return auto6(rt.rank(rt.rrf(dense(s, d, DEPTH), rt.rank(scores(s, d), DEPTH)), 10))
+    return auto6(rt.rank(rt.rrf(dense(s, d, DEPTH), lexical(s, d, DEPTH)), 10))
 
 
 for _name, _ids, _wd, _wb in (("score_fusion", "M6 E21", 0.5, 2.0), ("corpus_fusion", "M7", 0.7, 0.3)):
@@ -107,19 +107,19 @@ for _name, _ids, _wd, _wb in (("score_fusion", "M6 E21", 0.5, 2.0), ("corpus_fus
 b AS (SELECT query_id, chunk_key, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 0 END AS bn FROM br WINDOW w AS (PARTITION BY query_id)),
 fu AS (SELECT query_id, chunk_key, {_wd} * coalesce(dn, 0) + {_wb} * coalesce(bn, 0) AS score FROM a FULL JOIN b USING (query_id, chunk_key))
 SELECT query_id, chunk_key, round(score, 6) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_key))::INT AS rank FROM fu QUALIFY rank <= 10""")(
-        lambda s, d, x=_wd, y=_wb: auto6(rt.rank(rt.score_fusion(dense(s, d, DEPTH), rt.rank(scores(s, d), DEPTH), x, y), 10)))
+        lambda s, d, x=_wd, y=_wb: auto6(rt.rank(rt.score_fusion(dense(s, d, DEPTH), lexical(s, d, DEPTH), x, y), 10)))
 
 
 @query("retrieval_margin", "M19", _FU + " SELECT query_id, round(max(score) FILTER (rank = 1) - max(score) FILTER (rank = 2), 6) AS margin, coalesce(max(score) FILTER (rank = 1) - max(score) FILTER (rank = 2) < 0.002, false) AS low_margin FROM br GROUP BY 1")
 def _(s, d):
-    return auto6(rt.margins(rt.rank(scores(s, d), 10)))
+    return auto6(rt.margins(lexical(s, d, 10)))
 
 
 @query("rank_documents", "M20", f"""WITH {SC}, g AS (SELECT query_id, scope_id AS doc_id, max(score) AS score FROM sc JOIN ch USING (chunk_key) GROUP BY 1, 2)
 SELECT query_id, doc_id, round(score, 6) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id))::INT AS rank FROM g QUALIFY rank <= 5""")
 def _(s, d):
-    j = scores(s, d).join(chunks(s, d).select("chunk_key", F.col("scope_id").alias("doc_id")), "chunk_key")
-    return auto6(rt.rank_documents(j, 5))
+    c = chunks(s, d).withColumnRenamed("scope_id", "doc_id")
+    return auto6(rt.rank_documents(rt.bm25_best(c, questions(s, d), by="doc_id"), 5))
 
 
 _HIT = f"""WITH {CH}{DN}, h AS (SELECT query_id, coalesce(min(rank) FILTER (b.label = a.label AND chunk_key <> query_id), 0) AS hit_rank, any_value(a.label) AS label FROM dr JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = chunk_key GROUP BY 1)"""
