@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import functools
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldbook.functions import dates, text
+from fieldbook.functions import dates
 from fieldbook.operators import ordered
 
 # Patterns of shift headers, clock times and durations; longest text of a row.
@@ -20,35 +23,66 @@ FIELDS = ("start_time", "end_time", "dur_hr", "phase", "op_code", "activity_code
 WIDTH = 4096
 
 
+#: What white-space cleaning may change in a cell: other characters than printable ASCII ones, two blanks, blanks at an end.
+UNCLEAN = r"[^ -~]|  |^ | $"
 # Header cells of the fields after the two times; of several that fit, the first.
 KINDS = [
-    ("dur_hr", lambda c: c.startswith("dur") & c.contains("hr")),
+    ("dur_hr", lambda c: c.startswith("dur") and "hr" in c),
     ("phase", lambda c: c == "phase"),
-    ("op_code", lambda c: c.contains("op code") | (c == "op_code")),
-    ("activity_code", lambda c: c.contains("activity")),
-    ("pt_x", lambda c: c.contains("p-t-x") | c.contains("ptx")),
+    ("op_code", lambda c: "op code" in c or c == "op_code"),
+    ("activity_code", lambda c: "activity" in c),
+    ("pt_x", lambda c: "p-t-x" in c or "ptx" in c),
     ("operation", lambda c: c.startswith("operation")),
 ]
 
 
-def with_column_map(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``map``: the position (from 1) of each field in a header row's ``cells``, null for other rows.
+@functools.lru_cache(maxsize=4096)
+def column_map(cells: tuple[str, ...]) -> tuple[int, ...] | None:
+    """The position (from 1; 0: none) of each field in a header row's ``cells``, None for other rows.
 
     The first cell with start and time, the first other one with end and time; of the rest the last that fits."""
-    low = F.col("__low")
-    time = lambda word: lambda c: c.contains(word) & c.contains("time")
-    head = F.lower(F.array_join("cells", " "))
-    rows = ordered.once(rows, __low=F.when(head.contains("dur") & head.contains("phase"), F.transform("cells", lambda c: F.lower(c))))
-    rows = ordered.once(rows, __start=F.array_position(F.transform(low, time("start")), True))
-    rows = ordered.once(rows, __end=F.array_position(F.transform(low, lambda c, i: time("end")(c) & (i + 1 != F.col("__start"))), True))
-    kind = lambda c: functools.reduce(lambda w, k: w.when(k[1](c), k[0]), KINDS, F.when(F.lit(False), ""))
-    free = lambda i: (i + 1 != F.col("__start")) & (i + 1 != F.col("__end"))
-    rows = ordered.once(rows, __kinds=F.reverse(F.transform(low, lambda c, i: F.coalesce(F.when(free(i), kind(c)), F.lit("")))))
-    back = lambda name: F.array_position("__kinds", name)
-    found = {"start_time": F.col("__start"), "end_time": F.col("__end")} | {n: F.when(back(n) > 0, F.size("__kinds") + 1 - back(n)).otherwise(0) for n, _ in KINDS}
-    rows = ordered.once(rows, map=F.when(low.isNotNull(), F.struct(*[found[n].cast("int").alias(n) for n in FIELDS])))
-    whole = (F.col("map.start_time") > 0) & (F.col("map.dur_hr") > 0) & (F.col("map.operation") > 0)
-    return rows.withColumn("map", F.when(whole, F.col("map"))).drop("__low", "__start", "__end", "__kinds")
+    low = [c.lower() for c in cells]
+    if not all(w in " ".join(low) for w in ("dur", "phase")):
+        return None
+    start = next((i for i, c in enumerate(low, 1) if "start" in c and "time" in c), 0)
+    end = next((i for i, c in enumerate(low, 1) if "end" in c and "time" in c and i != start), 0)
+    found = {next((n for n, fits in KINDS if fits(c)), ""): i for i, c in enumerate(low, 1) if i not in (start, end)} | {"start_time": start, "end_time": end}
+    at = tuple(found.get(n, 0) for n in FIELDS)
+    return at if start and found.get("dur_hr") and found.get("operation") else None
+
+
+def _read(batches):
+    """Cells with white space collapsed, how many are filled, the first, the line they make, and ``map`` of header rows."""
+    for b in batches:
+        cells = b.column(b.num_columns - 1)
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(cells.value_lengths(), 0).to_numpy(zero_copy_only=False))]).astype(np.int32)
+        flat = pc.fill_null(cells.flatten(), "")
+        odd = pc.match_substring_regex(flat, UNCLEAN)
+        flat = pc.replace_with_mask(flat, odd, pa.array([" ".join(c.split()) for c in flat.filter(odd).to_pylist()], flat.type))
+        full = np.concatenate([[0], np.cumsum(pc.not_equal(flat, "").to_numpy(zero_copy_only=False))])
+        cells = pa.ListArray.from_arrays(pa.array(ends), flat)
+        line = pc.binary_join(cells, " ")
+        some = np.flatnonzero(pc.and_(pc.match_substring(line, "dur", ignore_case=True), pc.match_substring(line, "phase", ignore_case=True)).to_numpy(zero_copy_only=False))
+        # Clean cells hold no line break, so it parts the cells of a row; equal rows are looked at once.
+        heads = pc.binary_join(cells.take(pa.array(some)), "\n").dictionary_encode()
+        maps = [column_map(tuple(h.split("\n"))) for h in heads.dictionary.to_pylist()]
+        at, none = np.zeros((len(FIELDS), b.num_rows), np.int32), np.ones(b.num_rows, bool)
+        if maps:
+            which = heads.indices.to_numpy()
+            at[:, some] = np.array([m or (0,) * len(FIELDS) for m in maps], np.int32)[which].T
+            none[some] = np.array([m is None for m in maps])[which]
+        first = pa.array(np.where(ends[1:] > ends[:-1], ends[:-1], -1), mask=ends[1:] == ends[:-1])
+        cols = [*b.columns[:-1], cells, pa.array((full[ends[1:]] - full[ends[:-1]]).astype(np.int32)), pc.fill_null(flat.take(first), ""), line,
+                pa.StructArray.from_arrays([pa.array(x) for x in at], list(FIELDS), mask=pa.array(none))]
+        yield pa.RecordBatch.from_arrays(cols, [*b.schema.names, "filled", "head", "line", "map"])
+
+
+def read_cells(table_rows: DataFrame) -> DataFrame:
+    """Rows of (doc_id, page, table_no, row_no, cells) with their cells cleaned, and what is read off them."""
+    own = ["doc_id", "page", "table_no", "row_no"]
+    fields = ", ".join(f"{n}: int" for n in FIELDS)
+    schema = ", ".join(f"{c} {table_rows.schema[c].dataType.simpleString()}" for c in own)
+    return table_rows.select(*own, "cells").mapInArrow(_read, f"{schema}, cells array<string>, filled int, head string, line string, map struct<{fields}>")
 
 
 def _quoted(c: Column) -> Column:
@@ -69,14 +103,12 @@ def operation_rows(table_rows: DataFrame, across: bool = False, width: int = WID
     Whole rows are dealt out once, by stretches of ``width`` rows of a table. Everything that crosses a stretch (which tables
     count, the headers on entry, the row that leading continuations belong to) is worked out on one small row per stretch."""
     c = F.col
-    clean = ordered.once(table_rows, cells=F.transform(F.coalesce("cells", F.array().cast("array<string>")), lambda x: text.collapse(F.coalesce(x, F.lit("")))))
-    clean = ordered.once(clean, filled=F.size(F.filter("cells", lambda x: x != "")), head=F.coalesce(F.get("cells", F.lit(0)), F.lit("")), line=F.array_join("cells", " "))
-    rows = with_column_map(clean)
+    rows = read_cells(table_rows)
     title = F.upper("head").startswith("OPERATION SUMMARY") & (c("filled") <= 2)
     shift = ~title & c("head").rlike(SHIFT) & (c("filled") <= 2)
     rows = ordered.once(
         rows, title=title, shift=shift, part=F.coalesce(F.floor(c("row_no") / width), F.lit(-1)), clock_at=F.when(c("line").rlike(r"\d{1,2}:\d{2}"), c("row_no")),
-        number_at=F.when(c("line").rlike(r"\d+\.\d+"), c("row_no")), here=F.upper("line").contains("OPERATION SUMMARY") | c("line").rlike(r"\d{1,2}:\d{2}.*?\d+\.\d+"))
+        number_at=F.when(c("line").rlike(r"\d+\.\d+"), c("row_no")), here=F.upper("line").contains("OPERATION SUMMARY") | c("line").rlike(r"\d:\d{2}.*?\d\.\d"))
     rows = ordered.stored(rows.drop("line").withColumn("header", ~c("title") & ~c("shift") & c("map").isNotNull()))
     event = F.when(c("shift"), F.struct(F.lit(None).cast(rows.schema["map"].dataType).alias("map"))).when(c("header"), F.struct("map"))
     shift_head = F.when(c("shift"), c("head"))

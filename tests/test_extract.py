@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from fieldbook.functions import text
 from fieldbook.operators import extract, pages
 
 CELLS = "doc_id string, page int, table_no int, row_no int, cells array<string>"
@@ -88,3 +90,25 @@ def test_page_labels_equal_a_plain_loop(spark, cross):
     want = [x for doc in "abc" for x in plain_labels([r for r in rows if r[0] == doc], cross)]
     assert [(r.doc_id, r.page, r.part, r.section_title, r.subsection_title, r.overrides, r.rejected) for r in got] == want
     assert pages.label_diagnostics(pages.page_labels(frame, cross)).agg(F.sum("subsection_reject_count")).first()[0] == sum(x[6] for x in want)
+
+
+def test_equal_headers_are_mapped_once(spark):
+    head = [" Start  Time", "End Time", "Dur (hr)", "Phase ", "Op Code", "Activity Code", "P-T-X", "Operation Details"]
+    cells = [None, [], [None, " a\t b\u0085"], *[head] * 500, ["dur", "phase"], ["x​y", "", "  "]]
+    batch = pa.RecordBatch.from_pydict({"row_no": list(range(len(cells))), "cells": pa.array(cells, pa.list_(pa.string()))})
+    extract.column_map.cache_clear()
+    (got,) = extract._read([batch])
+    seen = extract.column_map.cache_info()
+    assert seen.hits + seen.misses == 2
+    rows = got.to_pylist()
+    assert [(r["cells"], r["filled"], r["head"], r["line"]) for r in rows[:3]] == [([], 0, "", ""), ([], 0, "", ""), (["", "a b"], 1, "", " a b")]
+    assert rows[-1]["cells"] == ["x​y", "", ""] and rows[-1]["map"] is rows[-2]["map"] is rows[0]["map"] is None
+    assert all(list(r["map"].values()) == [1, 2, 3, 4, 5, 6, 7, 8] and r["line"] == "Start Time End Time Dur (hr) Phase Op Code Activity Code P-T-X Operation Details" for r in rows[3:503])
+    assert got.num_rows == extract.read_cells(spark.createDataFrame([("d", 1, 0, k, c) for k, c in enumerate(cells)], CELLS)).count()
+
+
+def test_cells_are_cleaned_as_by_collapse(spark):
+    blanks = [chr(k) for k in range(0x3100) if not 0xD800 <= k < 0xE000]
+    rows = spark.createDataFrame([("d", 1, 0, k, [f"{c}a{c}{c}b{c}", f"a{c}b", f" {c}"]) for k, c in enumerate(blanks)], CELLS)
+    want = rows.select("row_no", F.transform("cells", text.collapse).alias("cells"))
+    assert extract.read_cells(rows).select("row_no", "cells").exceptAll(want).count() == 0
